@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, minhash, mixing, packing, pii, quality, tokens, topk
+from . import langid, lines, minhash, mixing, packing, pii, quality, substrings, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_language_id(spark, sf_dir):
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.kept_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("tkey")
 
@@ -47,5 +51,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.line_frequency_rules(table(spark, sf_dir, "documents")).drop("host", "tkey")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_pii, op4_line_dedup, op5_language_id, op7_minhash_near_dedup, op8_exact_top_k, op9_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_pii, op4_line_dedup, op5_language_id, op6_substring_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_mixing, op10_quality_rules)}
 SQL: dict[str, str] = {}
