@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, minhash, mixing, packing, pii, quality, substrings, tokens, topk
+from . import langid, lines, minhash, mixing, packing, pii, quality, sql, substrings, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,4 +52,4 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_pii, op4_line_dedup, op5_language_id, op6_substring_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_mixing, op10_quality_rules)}
-SQL: dict[str, str] = {}
+SQL = sql.SQL
