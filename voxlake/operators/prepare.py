@@ -228,7 +228,7 @@ def preprocess_series(files: DataFrame, cfg: Preprocessor | None = None, *, seri
     """One row a series: its files (series, position, path, content) in order, prepared together with a common crop, size and padding."""
     cfg = cfg or Preprocessor()
 
-    def one(key, t: pa.Table) -> pa.Table:
+    def one(key, t):
         from voxlake.functions.arrow import to_batches
 
         t = t.sort_by(position)

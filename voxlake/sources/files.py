@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,6 @@ def load_source(spark: SparkSession, path: str, kind: str = "dicom") -> DataFram
 
 def with_inode(files: DataFrame, path: str = "path") -> DataFrame:
     """Adds inode where a file system has them, else 0; sorting by it is an option of disks, not of object stores."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def inode(p: pd.Series) -> pd.Series:
         import os
@@ -64,8 +63,6 @@ def with_inode(files: DataFrame, path: str = "path") -> DataFrame:
 
 def relative_to(files: DataFrame, root: str, path: str = "path") -> Column:
     """The path from `root`, with .. where it isn't below."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def relative(p: pd.Series) -> pd.Series:
         import os
