@@ -76,6 +76,12 @@ def test_mixing(spark):
     assert twice.columns == docs.columns and twice.count() == sum(r.copies for r in rows)
 
 
+def test_mixing_with_names_of_its_own(spark):
+    docs = frame(spark).selectExpr("*", "1 weight", "2 copies", "'x' rest", "'y' s", "'z' tokens")
+    out = mixing.mix_sources(docs, block_docs=16)
+    assert sorted(out.columns) == sorted([*docs.columns, "n_tokens"]) and out.count() == docs.count()
+
+
 def test_mixing_targets():
     t = {"a": 1000, "b": 100, "c": 10}
     e = mixing.plan(t, target_entropy=0.7)

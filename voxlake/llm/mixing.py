@@ -12,7 +12,8 @@ in one source is spread over its blocks.
 
 Defined results: a null source is one source; a source without tokens has no
 weight and its rows are kept once; null and empty texts count no tokens; rows
-that are equal in every used column are interchangeable; an empty table stays empty.
+that are equal in every used column are interchangeable; an empty table stays empty;
+columns of docs named n_tokens, weight or copies are replaced.
 """
 
 from __future__ import annotations
@@ -90,28 +91,23 @@ def mix_sources(docs: DataFrame, *, source: str = "source", key: str = "doc_id",
     for r in totals:
         t, own = int(r["t"]), made["sources"].get(r["__src"])
         rows.append((r["__src"], own["weight"] if own else 0.0, own["draw"] // t if own else 1, own["draw"] % t if own else 0, max(1, -(-int(r["n"]) // block_docs))))
-    table = spark.createDataFrame(rows, "s string, weight double, epochs long, rest long, blocks long")
-    dealt = base.join(F.broadcast(table), F.col("__src").eqNullSafe(F.col("s"))).withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 1), "__rank"), F.col("blocks")))
+    table = spark.createDataFrame(rows, "__s string, __weight double, __epochs long, __rest long, __blocks long")
+    dealt = base.join(F.broadcast(table), F.col("__src").eqNullSafe(F.col("__s"))).withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 1), "__rank"), F.col("__blocks")))
     # Blocks in permuted order; only sums of blocks meet in a source's task.
-    sums = base_sums(dealt, seed)
-    at = Window.partitionBy("s").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sums.withColumn("before", F.coalesce(F.sum("tokens").over(at), F.lit(0)))
-    blocks = materialize(blocks.where("rest > 0 and before < rest").select("s", "block", "before", "tokens"), "blocks")
-    joined = dealt.join(blocks.select(F.col("s").alias("bs"), F.col("block").alias("bb"), "before", F.col("tokens").alias("btokens")), F.col("__src").eqNullSafe(F.col("bs")) & (F.col("__block") == F.col("bb")), "left")
-    whole = F.col("before").isNotNull() & (F.col("before") + F.col("btokens") <= F.col("rest"))
-    edge = F.col("before").isNotNull() & ~whole
-    extra = [c for c in ("__block", "s", "epochs", "rest", "blocks", "bs", "bb", "before", "btokens", "__src", "__rank")]
-    full = joined.where(~edge).withColumn("copies", F.col("epochs") + F.when(whole, 1).otherwise(0)).drop(*extra)
+    sums = dealt.groupBy("__s", "__block").agg(F.sum("n_tokens").alias("tokens"), F.first("__rest").alias("rest")).withColumn("place", F.xxhash64(F.lit(seed + 2), "__s", "__block"))
+    at = Window.partitionBy("__s").orderBy("place", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.withColumn("before", F.coalesce(F.sum("tokens").over(at), F.lit(0))).where("rest > 0 and before < rest")
+    blocks = materialize(blocks.select(F.col("__s").alias("__bs"), F.col("__block").alias("__bb"), F.col("before").alias("__before"), F.col("tokens").alias("__btokens")), "blocks")
+    joined = dealt.join(blocks, F.col("__src").eqNullSafe(F.col("__bs")) & (F.col("__block") == F.col("__bb")), "left")
+    whole = F.coalesce(F.col("__before") + F.col("__btokens") <= F.col("__rest"), F.lit(False))
+    edge = F.col("__before").isNotNull() & ~whole
+    names = [*[c for c in docs.columns if c not in ("n_tokens", "weight", "copies")], "n_tokens", F.col("__weight").alias("weight"), "copies"]
+    full = joined.where(~edge).withColumn("copies", F.col("__epochs") + F.when(whole, 1).otherwise(0)).select(*names)
     run = Window.partitionBy("__src", "__block").orderBy("__rank", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    part = joined.where(edge).withColumn("copies", F.col("epochs") + F.when(F.col("before") + F.sum("n_tokens").over(run) <= F.col("rest"), 1).otherwise(0)).drop(*extra)
+    part = joined.where(edge).withColumn("copies", F.col("__epochs") + F.when(F.col("__before") + F.sum("n_tokens").over(run) <= F.col("__rest"), 1).otherwise(0)).select(*names)
     return full.unionByName(part)
 
 
-def base_sums(dealt: DataFrame, seed: int) -> DataFrame:
-    """(s, block, place, rest, tokens): one row a block."""
-    return dealt.groupBy("s", F.col("__block").alias("block")).agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest")).withColumn("place", F.xxhash64(F.lit(seed + 2), "s", "block"))
-
-
 def realise(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Rows as often as the mix takes them."""
     return mixed.where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
