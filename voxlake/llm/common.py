@@ -31,7 +31,8 @@ def hash64(data: bytes) -> int:
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """64-bit hashes, without a Python integer for each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,15 +44,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each n consecutive word hashes."""
+    """A 64-bit hash of each n consecutive word hashes, from hashes of parts whose lengths are powers of two."""
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(m, np.uint64(n), np.uint64)
-    for i in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + m])
-    return out
+    out, done, part, size = None, 0, mix(h + np.uint64(n)), 1
+    while True:
+        if n & size:
+            piece = part[done : done + m]
+            out = piece if out is None else joined_hash(out, piece)
+            done += size
+        if done == n:
+            return out
+        part = joined_hash(part[: len(part) - size], part[size:])
+        size *= 2
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -119,6 +130,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def pieces(it: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of a stream of batches: what Python objects are made of at a time stays small."""
+    for b in it:
+        for s in range(0, b.num_rows, size):
+            yield b.slice(s, size)
+
+
 def map_rows(df: DataFrame, each: Callable[..., Iterator[tuple]], ddl: str) -> DataFrame:
     """each(*values of one row) yields output rows; Arrow batches in and out."""
 
@@ -126,7 +144,7 @@ def map_rows(df: DataFrame, each: Callable[..., Iterator[tuple]], ddl: str) -> D
 
     def run(it):
         def rows():
-            for b in it:
+            for b in pieces(it):
                 for values in zip(*(c.to_pylist() for c in b.columns)):
                     yield from each(*values)
 

@@ -8,9 +8,8 @@ Items are posted under keys; two items can be linked only if they share one.
 3. Inside a group, sketches of fixed size rule out most pairs; what remains forms
    a graph of which only a spanning forest leaves the task. Its components are cells.
 4. The items' texts are fetched once for each small cell, and once for each group
-   for the items of a large cell, and links are confirmed on whole texts, most
-   similar pairs first; pairs already in one class are skipped, so again a
-   spanning forest leaves the task.
+   for the items of a large cell, and links are confirmed on whole texts; again
+   only a spanning forest leaves the task.
 5. Components of the confirmed links are the classes.
 """
 
@@ -28,7 +27,7 @@ SEED = 11
 
 
 class Classes:
-    """Union-find over 0..n-1."""
+    """Union-find over 0..n-1; the smallest position stands for its class."""
 
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -40,16 +39,23 @@ class Classes:
             i = up[i]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         i, j = self.top(i), self.top(j)
-        if i == j:
-            return False
         self.up[max(i, j)] = min(i, j)
-        return True
 
-    def edges(self, items: list[int]) -> list[tuple[int, int]]:
-        """A star for each class: (first item, other item)."""
-        return [(items[t], items[i]) for i in range(len(items)) if (t := self.top(i)) != i]
+
+def first_reached(links: np.ndarray) -> np.ndarray:
+    """For each position the first position of its component in a symmetric boolean matrix."""
+    out = np.full(len(links), -1)
+    for i in range(len(links)):
+        if out[i] >= 0:
+            continue
+        out[i] = i
+        front = np.array([i])
+        while len(front):
+            front = np.flatnonzero(links[front].any(0) & (out < 0))
+            out[front] = i
+    return out
 
 
 def shared_keys(postings: DataFrame) -> DataFrame:
@@ -85,31 +91,22 @@ def split_groups(shared: DataFrame, bound: int, finer: list[str]) -> DataFrame:
 
 def link_items(
     postings: DataFrame, sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *, near: Callable[[list[bytes]], "np.ndarray"],
-    confirm: Callable[[list], Callable[[int, int], bool]], rank: Callable[[list], "np.ndarray"], finer: list[str] | None = None, bound: int = 1024, cell_bound: int = 250, width: int = 1,
+    classes_of: Callable[[list[str]], "np.ndarray"], finer: list[str] | None = None, bound: int = 1024, cell_bound: int = 250,
 ) -> DataFrame:
     """(node, comp) for the items that are linked to another one.
 
     postings: (key, item, *finer); sketches: (item, sketch); texts_of(items) gives (item, text) of the asked items.
-    near(sketches) is a boolean matrix of pairs worth confirming. rank(texts) is a
-    matrix of similarity, -1 where a pair can't be linked; confirm(texts) tells of two positions.
+    near(sketches) is a boolean matrix of pairs worth confirming. classes_of(texts) confirms links on whole
+    texts and gives for each text the position of the first one of its class.
     """
     groups = materialize(split_groups(shared_keys(postings), bound, finer or []), "groups")
 
     def forest(_key, t):
+        t = t.sort_by("item")  # the least item stands for its component in every group, so equal edges of different groups are one
         items = t.column("item").to_pylist()
-        alike = near(t.column("sketch").to_pylist())
-        left = np.ones(len(items), bool)
-        for i in range(len(items)):
-            if not left[i]:
-                continue
-            left[i] = False
-            front = [i]
-            while front:
-                new = np.flatnonzero(alike[front].any(0) & left)
-                left[new] = False
-                for j in new:
-                    yield items[i], items[j]
-                front = list(new)
+        for i, first in enumerate(first_reached(near(t.column("sketch").to_pylist()))):
+            if first != i:
+                yield items[first], items[i]
 
     edges = by_groups(groups.join(sketches, "item"), forest, "a long, b long")
     cells = components(edges)
@@ -121,16 +118,11 @@ def link_items(
     texts = texts_of(sized.select("item"))
 
     def verify(_key, t):
-        items, held = t.column("item").to_pylist(), t.column("text").to_pylist()
-        if len(items) < 2:
-            return
-        same, done = confirm(held), Classes(len(items))
-        order = rank(held)
-        iu, ju = np.nonzero(np.triu(order >= 0, 1))
-        for at in np.argsort(-order[iu, ju], kind="stable"):
-            i, j = int(iu[at]), int(ju[at])
-            if done.top(i) != done.top(j) and same(i, j):
-                done.join(i, j)
-        yield from done.edges(items)
+        t = t.sort_by("item")
+        items = t.column("item").to_pylist()
+        if len(items) > 1:
+            for i, first in enumerate(classes_of(t.column("text").to_pylist())):
+                if first != i:
+                    yield items[first], items[i]
 
     return components(by_groups(rooms.join(texts, "item"), verify, "a long, b long"))
