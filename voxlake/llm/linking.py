@@ -58,6 +58,13 @@ def first_reached(links: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_first(t, column: str) -> tuple[list[int], list]:
+    """Items of a group in rising order, so that the least one stands for its component in every group and equal edges of different groups are one."""
+    items, values = t.column("item").to_numpy(), t.column(column).to_pylist()
+    order = np.argsort(items, kind="stable")
+    return items[order].tolist(), [values[i] for i in order]
+
+
 def shared_keys(postings: DataFrame) -> DataFrame:
     """Postings whose key has two different items or more, once each, with the number of items."""
     several = postings.groupBy("key").agg(F.min("item").alias("a"), F.max("item").alias("b")).where("a <> b").select("key")
@@ -102,9 +109,8 @@ def link_items(
     groups = materialize(split_groups(shared_keys(postings), bound, finer or []), "groups")
 
     def forest(_key, t):
-        t = t.sort_by("item")  # the least item stands for its component in every group, so equal edges of different groups are one
-        items = t.column("item").to_pylist()
-        for i, first in enumerate(first_reached(near(t.column("sketch").to_pylist()))):
+        items, sketches = least_first(t, "sketch")
+        for i, first in enumerate(first_reached(near(sketches))):
             if first != i:
                 yield items[first], items[i]
 
@@ -118,10 +124,9 @@ def link_items(
     texts = texts_of(sized.select("item"))
 
     def verify(_key, t):
-        t = t.sort_by("item")
-        items = t.column("item").to_pylist()
+        items, held = least_first(t, "text")
         if len(items) > 1:
-            for i, first in enumerate(classes_of(t.column("text").to_pylist())):
+            for i, first in enumerate(classes_of(held)):
                 if first != i:
                     yield items[first], items[i]
 
