@@ -130,6 +130,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole documents travel in smaller Arrow batches than Spark's 10,000 rows; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def pieces(it: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of a stream of batches: what Python objects are made of at a time stays small."""
     for b in it:

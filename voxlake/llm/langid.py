@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_groups, mix
+from .common import by_groups, mix, pieces
 
 BITS = 14
 DIM = 1 << BITS
@@ -76,7 +76,7 @@ def document_frequency(train: DataFrame) -> tuple[np.ndarray, int]:
 
     def partial(it):
         df, n = np.zeros(DIM + 1, np.int64), 0
-        for b in it:
+        for b in pieces(it):
             for t in b.column(0).to_pylist():
                 c = counts_of(t)
                 if c is not None:
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: dict | None, *, text: str = "text") -> DataF
 
     def run(it):
         m = held.value
-        for b in it:
+        for b in pieces(it):
             pred, score, far = [], [], []
             for t in b.column(b.schema.get_field_index(text)).to_pylist():
                 c = counts_of(t) if m else None

@@ -21,10 +21,11 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, bit_filter, hash64, in_filter, map_rows, materialize
+from .common import arrow_schema, batches_of, bit_filter, hash64, in_filter, map_rows, materialize, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -168,7 +169,7 @@ def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
         bits = np.frombuffer(held, np.int64)
 
         def rows():
-            for b in it:
+            for b in pieces(it):
                 for text in b.column(0).to_pylist():
                     if text:
                         key = hash64(text.encode())
@@ -197,8 +198,6 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
                 at = e
         return "".join([*out, text[at:]])
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def mended(text: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else mend(t, b if b is not None else (), x if x is not None else ()) for t, b, x in zip(text, base, terms)])

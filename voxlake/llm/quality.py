@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, hash64, map_rows, materialize, words_of
+from .common import SPACES, hash64, map_rows, materialize, pieces, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -112,7 +112,7 @@ def with_text_key(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(it):
-        for b in it:
+        for b in pieces(it):
             keys = [hash64((t or "").encode()) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, "__tkey"])
 

@@ -28,14 +28,12 @@ rows that repeat lose all their windows' words; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, bit_filter, by_groups, grams, hash64, hash_words, in_filter, map_rows, materialize, words_of
+from .common import arrow_schema, batches_of, bit_filter, by_groups, few_rows_a_batch, grams, hash64, hash_words, in_filter, map_rows, materialize, pieces, words_of
 
 WIDTH = 35
 GRAM = 8
@@ -93,7 +91,7 @@ class WaveletMatrix:
         """How often c stands before place i, less the start of c's own stretch (the same for every i)."""
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
             one = self.ones[level][i]
-            i = np.where((c >> b) & 1, one + self.zeros[level], i - one)
+            i = np.where((c >> b) & 1, one + np.int32(self.zeros[level]), i - one)
         return i
 
 
@@ -110,7 +108,7 @@ class FMIndex:
         inside = np.ones(len(text), bool)
         inside[self.start[1:] - 1] = False
         text[inside] = ids + 1
-        self.text, self.inside = text, inside
+        self.text = text.astype(np.int32)
         rank = text.copy()
         rank[~inside] = np.arange(n_sep)  # separators differ and come first
         rank[inside] += n_sep
@@ -130,21 +128,25 @@ class FMIndex:
         self.bits = max(1, int(len(kinds)).bit_length())
         self.wavelet = WaveletMatrix(bwt, self.bits)
         counts = np.bincount(text, minlength=len(kinds) + 2)
-        self.before = np.concatenate(([0], np.cumsum(counts)))[: len(kinds) + 2]
-        self.origin = self.wavelet.rank(np.arange(len(kinds) + 1), np.zeros(len(kinds) + 1, np.int64))
+        self.before = np.concatenate(([0], np.cumsum(counts)))[: len(kinds) + 2].astype(np.int32)
+        self.origin = self.wavelet.rank(np.arange(len(kinds) + 1, dtype=np.int32), np.zeros(len(kinds) + 1, np.int32))
         owner = np.repeat(np.arange(n_sep), lengths + 1)
         self.weight = np.concatenate(([0], np.cumsum(weight[owner[sa]])))
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(c)
+        both = self.wavelet.rank(np.concatenate((c, c)), np.concatenate((lo, hi)))
         base = self.before[c] - self.origin[c]
-        return base + self.wavelet.rank(c, lo), base + self.wavelet.rank(c, hi)
+        return base + both[:n], base + both[n:]
 
     def match_back(self, end: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """For text places end: the smallest place s >= stop so that text[s..end] occurs at least twice; end + 1 if none does."""
-        lo = np.zeros(len(end), np.int64)
-        hi = np.full(len(end), len(self.text), np.int64)
         at = end + 1
-        alive = np.arange(len(end))
+        last = self.text[end]
+        lo, hi = self.before[last], self.before[last + 1]  # the rows that start with the last word
+        good = self.weight[hi] - self.weight[lo] >= 2
+        at[good] = end[good]
+        alive = np.flatnonzero(good & (end > stop))
         while len(alive):
             p = at[alive] - 1
             a, b = self.extend(self.text[p], lo[alive], hi[alive])
@@ -160,33 +162,47 @@ def repeated_windows(segments: list[np.ndarray], weight: np.ndarray, width: int)
     fm = FMIndex(segments, weight)
     n = np.array([len(s) for s in segments])
     windows = n - width + 1
-    masks = [np.zeros(k, bool) for k in windows]
     base = fm.start[:-1]
-    # The whole segment first: if it occurs twice, so does every window.
-    live = np.arange(len(segments))
-    got = fm.match_back(base + n - 1, base)
-    for i in live[got == base]:
-        masks[i][:] = True
-    live = live[got > base]
-    # Then windows from the left: what ends at a mismatch rules out every window across it.
-    s = np.zeros(len(segments), np.int64)
+    masks = [np.zeros(k, bool) for k in windows]
+    # The longest repeated suffix: every window inside it is repeated.
+    suffix = fm.match_back(base + n - 1, base) - base
+    for i in np.flatnonzero(suffix < windows):
+        masks[i][suffix[i] :] = True
+    # What stands before the word that ended it, in one search likewise.
+    live = np.flatnonzero((suffix > 0) & (suffix - 1 >= width))
+    got = fm.match_back(base[live] + suffix[live] - 2, base[live]) - base[live]
+    for i, g, end in zip(live, got, suffix[live] - 1):
+        masks[i][g : max(g, end - width + 1)] = True
+    # Then the windows left, from the left: a word where a window's match ends rules out every window across it.
+    s = np.array([_first_open(m, 0) for m in masks])
+    live = np.flatnonzero(s < windows)
     while len(live):
         first = base[live] + s[live]
         got = fm.match_back(first + width - 1, first)
         hit = got == first
         for i in live[hit]:
             masks[i][s[i]] = True
-        s[live] = np.where(hit, s[live] + 1, got - base[live])
+        after = np.where(hit, s[live] + 1, got - base[live])
+        s[live] = [_first_open(masks[i], int(a)) for i, a in zip(live, after)]
         live = live[s[live] < windows[live]]
     return masks
 
 
+def _first_open(mask: np.ndarray, at: int) -> int:
+    """The first unset place from `at` on, or the mask's length."""
+    while at < len(mask) and mask[at]:
+        at += 1
+    return at
+
+
 # ---------------------------------------------------------------- the operator
 
 
 def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, bound: int = 2000, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(tkey, starts): the first words of the repeated windows of each distinct text that has any."""
 
+    few_rows_a_batch(docs.sparkSession)
+
     def each(text):
         if text:
             yield hash64(text.encode()), len(words_of(text))
@@ -197,7 +213,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, bou
     place = arrow_schema("key long, tkey long, run int")
 
     def anchors(it):
-        for b in it:
+        for b in pieces(it):
             out = []
             for text in b.column(0).to_pylist():
                 if text:
@@ -230,7 +246,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, bou
 
     def cut(it):
         def rows():
-            for b in it:
+            for b in pieces(it):
                 cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("tkey", "text", "runs", "copies")]
                 for tkey, text, runs_, copies in zip(*cols):
                     h, first, last, anchor = runs_of(words_of(text), width, gram)
@@ -308,9 +324,5 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, **options) -> DataFra
 
 
 def kept_digests(docs: DataFrame, **options) -> DataFrame:
-    """The digest columns of the query from the operator's texts."""
-
-    def each(doc_id, n_words, n_removed, kept):
-        yield doc_id, n_words, n_removed, hashlib.sha256(kept.encode()).hexdigest()
-
-    return map_rows(remove_repeats(docs, **options), each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    """The digest columns of the query from the operator's texts; hashed by Spark, without another Python worker a task."""
+    return remove_repeats(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, map_rows, materialize, new_path
+from .common import arrow_schema, batches_of, map_rows, materialize, new_path, pieces
 
 BLOCK_TOKENS = 1 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -59,7 +59,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = VOCABULAR
         target = f"{path}/{uuid.uuid4().hex}.bin"
         store, at = opened(target)
         out, size = None, 0
-        for b in it:
+        for b in pieces(it):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if out is None:
                     store.create_dir(at.rpartition("/")[0], recursive=True)
