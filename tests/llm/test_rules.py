@@ -65,6 +65,41 @@ def test_keep_good_returns_the_columns(spark):
     assert out.count() == kept
 
 
+def brute_cut(rows, min_docs, share):
+    texts, held = defaultdict(set), defaultdict(set)
+    fold = lambda x: " ".join(W.findall(x)).lower()
+    for r in rows:
+        texts[r[3]].add(r[1] or "")
+        for x in (r[1] or "").split("\n"):
+            if W.search(x):
+                held[r[3], fold(x)].add(r[1])
+    often = {k for k, v in held.items() if len(v) > max(min_docs, share * len(texts[k[0]]))}
+    return [(r[0], r[1] and "\n".join(x for x in r[1].split("\n") if not W.search(x) or (r[3], fold(x)) not in often), *r[2:]) for r in rows]
+
+
+def test_frequent_lines_are_cut(spark):
+    key = lambda r: tuple((x is None, x) for x in r)
+    rows = make()
+    rows += [(7000 + i, f"own words of page {i}\n\n  The Common\tFooter of this host,  all rights\nmore {i}", None, None, None, None, None, None) for i in range(8)]
+    rows += [(7100 + i, "\n".join(["the only line"] * (i + 1)), None, "t", None, None, None, None) for i in range(8)]
+    got = quality.cut_frequent_lines(frame(spark, rows), min_docs=4, share=0.05)
+    assert got.columns == frame(spark).columns
+    want = brute_cut(rows, 4, 0.05)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert sum(a[1] != b[1] for a, b in zip(rows, want)) > 20 and any(a[1] and b[1] == "" for a, b in zip(rows, want))
+    assert quality.cut_frequent_lines(empty(spark)).count() == 0
+
+
+def test_pipeline_stage_cuts_frequent_lines(spark):
+    import corpus_pipeline
+
+    own = [" ".join(f"w{i}x{j}" for j in range(25)) for i in range(20)]
+    rows = [(i, f"all rights reserved by this host\n{own[i]}", None, "s", None, None, None, None) for i in range(20)]
+    rows += [(99, "all rights reserved by this host\nshort", None, "s", None, None, None, None)]
+    got = corpus_pipeline.quality_stage(spark, frame(spark, rows).select(*corpus_pipeline.COLUMNS), "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == list(enumerate(own))
+
+
 def test_quality_empty(spark):
     assert quality.line_frequency_rules(empty(spark)).count() == 0
 

@@ -5,9 +5,12 @@ host the distinct documents that hold a line are counted; byte-identical texts
 of a host are one document, so a group of exact copies isn't boilerplate. A line
 in more than max(min_docs, share * documents of the host) documents is removed,
 and a document is rejected when fewer than `min_left` of its words remain.
+cut_frequent_lines() returns the documents without those lines.
 
 Defined results: a null text is empty; an empty text has no lines, so it is never
-depleted (but the word rule fails it); a null host is one host of its own;
+depleted (but the word rule fails it); a null host is one host of its own; a cut
+line goes with its line break, lines without words stay, a null text stays null
+and a text of nothing but frequent lines becomes empty;
 repeated rows get equal verdicts; extra columns are ignored.
 """
 
@@ -54,6 +57,11 @@ def repeat_words(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(cover[:-1]) > 0).sum())
 
 
+def line_hash(own: list[bytes]) -> int:
+    """The hash of a line's folded words."""
+    return hash64(b" ".join(own).decode().lower().encode())
+
+
 def text_stats(text: str | None) -> tuple:
     t = text or ""
     words = words_of(t)
@@ -63,7 +71,7 @@ def text_stats(text: str | None) -> tuple:
         if own:
             dup += line in seen
             seen.add(line)
-            h = hash64(b" ".join(own).decode().lower().encode())
+            h = line_hash(own)
             lines[h] = lines.get(h, 0) + len(own)
     return (
         len(words), len(t) - sum(map(t.count, SPACES)), sum(map(t.count, SYMBOLS)), dup, repeat_words(words), [{"h": h, "w": w} for h, w in lines.items()]
@@ -74,6 +82,12 @@ def line_frequency_rules(
     docs: DataFrame, *, host: str = "source", min_docs: int = 10, share: float = 0.02, min_left: float = 0.2, min_words: int = 20, max_repeat_pct: int = 30
 ) -> DataFrame:
     """One row per document: base counts, words left without frequent lines, verdict."""
+    options = {"host": host, "min_docs": min_docs, "share": share, "min_left": min_left, "min_words": min_words, "max_repeat_pct": max_repeat_pct}
+    return judged(docs, **options)[0]
+
+
+def judged(docs: DataFrame, *, host: str, min_docs: int, share: float, min_left: float, min_words: int, max_repeat_pct: int) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, hits): line_frequency_rules' rows, and (host, tkey, h, w) of every frequent line of every text."""
 
     def each(doc_id, h, text):
         yield (doc_id, h, hash64((text or "").encode()), *text_stats(text))
@@ -87,15 +101,17 @@ def line_frequency_rules(
     limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("docs"))
     same_host = F.col("c.host").eqNullSafe(F.col("p.host"))
     frequent = counts.where(F.col("docs_with") > min_docs).alias("c").join(per_host.alias("p"), same_host).where(F.col("docs_with") > limit).select(F.col("c.host").alias("fhost"), F.col("c.h").alias("fh"))
-    gone = held.join(frequent, F.col("host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh"))).groupBy(F.col("host").alias("ghost"), F.col("tkey").alias("gkey")).agg(F.sum("w").alias("gone"), F.count("*").alias("n_frequent_lines"))
+    hits = held.join(frequent, F.col("host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh"))).select("host", "tkey", "h", "w")
+    gone = hits.groupBy(F.col("host").alias("ghost"), F.col("tkey").alias("gkey")).agg(F.sum("w").alias("gone"), F.count("*").alias("n_frequent_lines"))
     out = stats.drop("lines").join(gone, F.col("host").eqNullSafe(F.col("ghost")) & (F.col("tkey") == F.col("gkey")), "left")
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_pct) * F.col("n_words"))
     depleted = left < F.lit(min_left) * F.col("n_words")
-    return out.select(
+    verdicts = out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
         left.alias("n_words_left"), F.coalesce("n_frequent_lines", F.lit(0).cast("long")).alias("n_frequent_lines"), "host", "tkey",
     )
+    return verdicts, hits
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
@@ -107,6 +123,41 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     return keyed.join(good, (F.col("__tkey") == F.col("__k")) & F.col(host).cast("string").eqNullSafe(F.col("__h")), "left_semi").drop("__tkey")
 
 
+def cut_frequent_lines(
+    docs: DataFrame, *, good_only: bool = False, host: str = "source", min_docs: int = 10, share: float = 0.02, min_left: float = 0.2, min_words: int = 20, max_repeat_pct: int = 30
+) -> DataFrame:
+    """docs with the frequent lines of their host cut from `text`; good_only: without the rows that the rules reject.
+
+    Lines are counted over all of docs, rejected rows too.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    verdicts, hits = judged(docs, host=host, min_docs=min_docs, share=share, min_left=min_left, min_words=min_words, max_repeat_pct=max_repeat_pct)
+    cuts = hits.groupBy(F.col("host").alias("__h"), F.col("tkey").alias("__k")).agg(F.collect_set("h").alias("__cut"))
+    how = "left"
+    if good_only:
+        good = verdicts.where("kept").select(F.col("host").alias("__gh"), F.col("tkey").alias("__gk")).distinct()
+        cuts = good.join(cuts, (F.col("__gk") == F.col("__k")) & F.col("__gh").eqNullSafe(F.col("__h")), "left").select(F.col("__gh").alias("__h"), F.col("__gk").alias("__k"), "__cut")
+        how = "inner"
+    names = docs.columns
+    joined = with_text_key(docs).join(cuts, (F.col("__tkey") == F.col("__k")) & F.col(host).cast("string").eqNullSafe(F.col("__h")), how).select(*names, "__cut")
+
+    def cut(it):
+        for b in pieces(it):
+            at = b.schema.get_field_index("text")
+            new = []
+            for t, gone in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("__cut")).to_pylist()):
+                if t and gone:
+                    gone = set(gone)
+                    t = "\n".join(x for x in t.split("\n") if not ((own := words_of(x)) and line_hash(own) in gone))
+                new.append(t)
+            cols = [pa.array(new, pa.string()) if n == "text" else b.column(b.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return joined.mapInArrow(cut, T.StructType(docs.schema.fields))
+
+
 def with_text_key(docs: DataFrame) -> DataFrame:
     """docs plus __tkey, the hash that the stages use for a text."""
     import pyarrow as pa
