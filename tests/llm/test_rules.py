@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -160,3 +161,48 @@ def test_disclosing_terms(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "Zebulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[4][1]
     assert pii.sanitise(df).columns == df.columns
+
+
+def brute_terms(rows, support=3, generalise=0.7, remove=0.95):
+    """text -> (start, end, action) of its disclosing terms."""
+    free, entities = {}, {}
+    for t in {r[1] or "" for r in rows}:
+        base = pii.base_spans(t)
+        entities[t] = {pii.entity_of(k, t[s:e]) for k, s, e in base}
+        free[t] = [(m.group().lower(), *m.span()) for m in pii.TERM.finditer(t) if not any(s < m.end() and m.start() < e for _, s, e in base)]
+    n_t, n_c, n_ct = Counter(), Counter(), Counter()
+    for t in free:
+        own = {w for w, _, _ in free[t]}
+        n_t.update(own)
+        n_c.update(entities[t])
+        n_ct.update((c, w) for c in entities[t] for w in own)
+    share = {}
+    for (c, w), n in n_ct.items():
+        if n >= support and n_c[c] < len(free):
+            x = math.log(n * len(free) / (n_c[c] * n_t[w])) / math.log(len(free) / n_c[c])
+            if x >= generalise:
+                share[w] = max(x, share.get(w, 0))
+    return {t: [(s, e, "remove" if share[w] >= remove - 1e-12 else "generalise") for w, s, e in free[t] if w in share] for t in free}
+
+
+def test_disclosing_terms_everywhere(spark):
+    """A term is counted over whole texts and marked wherever it stands: far from the entity, and without it."""
+    far = " ".join(["we wrote at noon about it"] * 30)
+    rows = [(i, f"Zebulon {'wxyz'[i] * 5} {far} to box.seven@mail.example.com {far} by Quimby", None, None, None, None, None, None) for i in range(4)]
+    rows += [(50, f"we saw Zebulon and QUIMBY at noon {far}", None, None, None, None, None, None), (51, "Quimby alone", None, None, None, None, None, None)]
+    rows += [(100 + i, f"{far} to nobody by number{'wxyzabcdefgh'[i % 12]}{'abcdefgh'[i // 12]}", None, None, None, None, None, None) for i in range(60)]
+    got = {r.doc_id: [rows[k][1][x["s"] : x["e"]] for x in r.terms or ()] for r in pii.disclosures(frame(spark, rows)).collect() for k in range(len(rows)) if rows[k][0] == r.doc_id}
+    assert got[0] == ["Zebulon", "Quimby"] and got[50] == ["Zebulon", "QUIMBY"] and got[51] == ["Quimby"] and not got[100]
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert not any(w in t.lower() for t in clean.values() for w in ("zebulon", "quimby"))
+
+
+def test_disclosing_terms_match_brute_force(spark):
+    rows = make(90) + [(8000 + i, f"page {w} of joe.1@mail.example.com and 10.0.0.7 by {w} x", None, None, None, None, None, None) for i, w in enumerate(["alpha", "beta", "alpha", "gamma", "beta", "alpha"])]
+    rows += [(8100, "alpha and beta elsewhere\nmail", None, None, None, None, None, None)] * 2
+    want = brute_terms(rows)
+    got = pii.disclosures(frame(spark, rows)).collect()
+    text = {r[0]: r[1] or "" for r in rows}
+    assert len(got) == len(rows) and sum(map(bool, want.values())) > 5
+    for r in got:
+        assert [(x["s"], x["e"], x["action"]) for x in r.terms or ()] == want[text[r.doc_id]], r.doc_id

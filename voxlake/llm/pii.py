@@ -2,13 +2,14 @@
 
 Base spans come from patterns (email, ip, card, phone). The protected entities
 are the values found (digits of a card or phone, a folded email, an address).
-Words near an entity are its context. Over the corpus the pointwise mutual
-information of a word t and an entity c, PMI = log(n_ct N / (n_c n_t)) with
-counts of distinct texts, is compared with the entity's own information
-IC = log(N / n_c): a word whose PMI/IC reaches `generalise` discloses the entity
-and is generalised to a placeholder; from `remove` on it is removed. A pair
-counts only from `support` distinct texts on, so that a word seen once isn't
-taken as a disclosure. Byte-identical texts count as one.
+The words of a text that holds an entity, outside base spans, are its context,
+however far off. Over the corpus the pointwise mutual information of a word t and
+an entity c, PMI = log(n_ct N / (n_c n_t)) with counts of distinct texts, is
+compared with the entity's own information IC = log(N / n_c): a word whose PMI/IC
+reaches `generalise` with any entity discloses it and is generalised to a
+placeholder wherever it stands, in texts without the entity too; from `remove` on
+it is removed. A pair counts only from `support` distinct texts on, so that a word
+seen once isn't taken as a disclosure. Byte-identical texts count as one.
 
 Defined results: a null text is empty; base spans always stay, and a term that
 touches one isn't added; repeated rows get equal spans; a text without spans
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{2,}")
 DOCS = (
     "doc_id long, tkey long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<k:int,s:int,e:int>>, "
-    "context array<struct<c:long,t:long,s:int,e:int>>, entities array<long>"
+    "entities array<long>"
 )
 
 
@@ -100,87 +103,154 @@ def entity_of(kind: int, value: str) -> int:
     return hash64(f"{KINDS[kind]}:{norm}".encode())
 
 
-def term_key(word: str) -> int:
-    return hash64(word.lower().encode())
-
-
 def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def scan_text(text: str, reach: int) -> tuple[list, list, list]:
-    """Base spans, and every (entity, term, start, end) with the term within `reach` terms of the entity."""
-    base = base_spans(text)
-    if not base:
-        return [], [], []
-    near, entities, taken = [], set(), sorted((s, e) for _, s, e in base)
+def free_terms(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(folded term, start, end) of every term that touches no base span."""
+    taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
-    for k, s, e in base:
-        c = entity_of(k, text[s:e])
-        entities.add(c)
-        from_ = max(0, s - 40 * reach)
-        before = [m.span() for m in TERM.finditer(text, from_, s) if m.start() > from_ or not from_][-reach:]
-        after = [m.span() for _, m in zip(range(reach), TERM.finditer(text, e))]
-        for a, b in before + after:
-            i = int(np.searchsorted(starts, b))
-            if not any(x < b and a < y for x, y in taken[max(0, i - 4) : i + 1]):
-                near.append((c, term_key(text[a:b]), a, b))
-    return base, near, sorted(entities)
-
-
-def disclosures(docs: DataFrame, *, reach: int = 8, support: int = 3, generalise: float = 0.7, remove: float = 0.95) -> DataFrame:
+    ends = list(accumulate((e for _, e in taken), max))
+    out = []
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        n = bisect_left(starts, b)
+        if not n or ends[n - 1] <= a:
+            out.append((m.group().lower(), a, b))
+    return out
+
+
+def term_set(text: str) -> set[str]:
+    base = base_spans(text)
+    return {w for w, _, _ in free_terms(text, base)} if base else {w.lower() for w in set(TERM.findall(text))}
+
+
+def disclosures(docs: DataFrame, *, support: int = 3, generalise: float = 0.7, remove: float = 0.95) -> DataFrame:
     """One row per document: base spans and disclosing terms, each as an array of (kind, start, end, action)."""
 
     def each(doc_id, text):
         t = text or ""
-        base, near, entities = scan_text(t, reach)
+        base = base_spans(t)
         n = np.bincount([k for k, _, _ in base], minlength=4)
-        yield (
-            doc_id, hash64(t.encode()), *map(int, n), [{"k": k, "s": s, "e": e} for k, s, e in base],
-            [{"c": c, "t": w, "s": s, "e": e} for c, w, s, e in near], entities,
-        )
+        yield doc_id, hash64(t.encode()), *map(int, n), [{"k": k, "s": s, "e": e} for k, s, e in base], sorted({entity_of(k, t[s:e]) for k, s, e in base})
 
     source = docs.select(F.col("doc_id").cast("long"), "text")
     found = materialize(map_rows(source, each, DOCS), "pii")
-    context = found.where(F.size("context") > 0).select("tkey", F.explode("context").alias("x")).select("tkey", F.col("x.c").alias("c"), F.col("x.t").alias("t"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-    pairs = context.select("c", "t", "tkey").distinct().groupBy("c", "t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    pairs = materialize(pairs, "pairs")
-    terms = pairs.select("t").distinct()
-    n_t = term_frequency(source, terms)
-    n_c = found.select("tkey", F.explode("entities").alias("c")).distinct().groupBy("c").agg(F.count("*").alias("n_c"))
-    n_docs = found.select("tkey").distinct().agg(F.count("*").alias("n_docs"))
-    total = int(n_docs.first()[0])
-    pmi = F.log(F.col("n_ct") * float(total) / (F.col("n_c") * F.col("n_t")))
-    ic = F.log(F.lit(float(max(total, 1))) / F.col("n_c"))
-    strong = pairs.join(n_c, "c").join(n_t, "t").withColumn("share", F.when(ic > 0, pmi / ic)).where(F.col("share") >= generalise).select("c", "t", "share")
-    added = context.join(strong, ["c", "t"]).groupBy("tkey", "s", "e").agg(F.max("share").alias("share")).groupBy("tkey").agg(
+    texts = materialize(found.groupBy("tkey").agg(F.count("*").alias("rows")), "texts")
+    total = float(texts.count())
+    holds = found.select("tkey", F.explode("entities").alias("c")).distinct()
+    n_c = holds.groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
+    holds = materialize(holds.join(n_c, "c"), "entities")
+    # n_ct is at most n_c: a term in more texts than this reaches `generalise` with no entity of the text.
+    most = F.lit(max(total, 1.0)) ** F.lit(1 - generalise) * F.col("n_c").cast("double") ** F.lit(generalise) * (1 + 1e-9)
+    holders = holds.groupBy("tkey").agg(F.max("n_c").alias("n_c")).select("tkey", most.alias("most"))
+    held = materialize(terms_of(source, holders.select("tkey")).join(holders, "tkey"), "terms")
+    terms = materialize(held.groupBy("t").agg(F.count("*").alias("n_h")).where(F.col("n_h") >= support).select("t"), "asked")
+    n_t = materialize(term_frequency(source, terms, texts), "frequency")
+    rare = held.join(n_t, "t").where(F.col("n_t") <= F.col("most")).select("tkey", "t", "n_t")
+    pairs = rare.join(holds, "tkey").where(F.col("n_t") <= most).groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
+    pmi = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t")))
+    ic = F.log(F.lit(max(total, 1.0)) / F.col("n_c"))
+    strong = pairs.where(F.col("n_ct") >= support).withColumn("share", F.when(ic > 0, pmi / ic)).where(F.col("share") >= generalise)
+    strong = materialize(strong.groupBy("t").agg(F.max("share").alias("share")), "strong")
+    added = places_of(source, strong).join(strong, "t").groupBy("tkey", "s", "e").agg(F.max("share").alias("share")).groupBy("tkey").agg(
         F.array_sort(F.collect_list(F.struct("s", "e", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")))).alias("terms")
     )
-    return found.drop("context", "entities").join(added, "tkey", "left")
+    return found.drop("entities").join(added, "tkey", "left")
+
+
+def terms_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(tkey, t): the distinct terms of the texts asked for."""
+    held = bit_filter(keys, "tkey", hashed=True)
+
+    def each(text):
+        if text and in_filter(np.frombuffer(held, np.int64), key := hash64(text.encode())):
+            for w in term_set(text):
+                yield key, hash64(w.encode())
+
+    return map_rows(docs.select("text"), each, "tkey long, t long").join(keys, "tkey", "left_semi").distinct()
+
+
+def term_frequency(docs: DataFrame, terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """(t, n_t): distinct texts of the whole corpus that hold each of the terms asked for.
+
+    Texts of one row are counted where they are; only those that may have copies send their key along.
+    """
+    held = bit_filter(terms, "t", hashed=True)
+    copied = bit_filter(texts.where("rows > 1"), "tkey", hashed=True)
+    ddl = "t long, tkey long, n long"
+    schema = arrow_schema(ddl)
+
+    def run(it):
+        bits, twice = np.frombuffer(held, np.int64), np.frombuffer(copied, np.int64)
+
+        def rows():
+            once: dict[int, int] = {}
+            hashes: dict[str, int | None] = {}
+            for b in pieces(it):
+                for text in b.column(0).to_pylist():
+                    if not text:
+                        continue
+                    own = in_filter(twice, key := hash64(text.encode()))
+                    for w in term_set(text):
+                        if w in hashes:
+                            h = hashes[w]
+                        else:
+                            h = hash64(w.encode())
+                            h = hashes[w] = h if in_filter(bits, h) else None
+                        if h is None:
+                            continue
+                        if own:
+                            yield h, key, 1
+                        else:
+                            once[h] = once.get(h, 0) + 1
+                    if len(hashes) > 200000:
+                        hashes.clear()
+                    if len(once) > 200000:
+                        yield from ((h, None, n) for h, n in once.items())
+                        once = {}
+            yield from ((h, None, n) for h, n in once.items())
+
+        yield from batches_of(rows(), schema, 65536)
+
+    every = docs.select("text").mapInArrow(run, ddl).join(terms, "t", "left_semi")
+    copies = every.where("tkey is not null").select("t", "tkey").distinct().select("t", F.lit(1).cast("long").alias("n"))
+    return every.where("tkey is null").select("t", "n").unionByName(copies).groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
-def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(t, n_t): distinct texts of the whole corpus that hold each of the terms asked for."""
+def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(tkey, t, s, e): where the texts of the whole corpus hold terms that may be among those asked for."""
     held = bit_filter(terms, "t", hashed=True)
-    ddl = "t long, tkey long"
+    ddl = "tkey long, t long, s int, e int"
     schema = arrow_schema(ddl)
 
     def run(it):
         bits = np.frombuffer(held, np.int64)
 
         def rows():
+            hashes: dict[str, int | None] = {}
             for b in pieces(it):
                 for text in b.column(0).to_pylist():
-                    if text:
+                    if not text:
+                        continue
+                    hit = False
+                    for w in {w.lower() for w in set(TERM.findall(text))}:
+                        if w not in hashes:
+                            h = hash64(w.encode())
+                            hashes[w] = h if in_filter(bits, h) else None
+                        hit = hit or hashes[w] is not None
+                    if hit:
                         key = hash64(text.encode())
-                        for w in set(TERM.findall(text.lower())):
-                            if in_filter(bits, h := hash64(w.encode())):
-                                yield h, key
+                        for w, s, e in free_terms(text, base_spans(text)):
+                            if (h := hashes[w]) is not None:
+                                yield key, h, s, e
+                    if len(hashes) > 200000:
+                        hashes.clear()
 
         yield from batches_of(rows(), schema, 65536)
 
-    every = docs.select("text").mapInArrow(run, ddl)
-    return every.join(terms, "t", "left_semi").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
+    return docs.select("text").mapInArrow(run, ddl)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
@@ -189,8 +259,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     from .quality import with_text_key
 
     def mend(text, base, terms):
-        cuts = [(x["s"], x["e"], f"[{KINDS[x['k']].upper()}]") for x in base or ()]
-        cuts += [(x["s"], x["e"], "" if x["action"] == "remove" else "[TERM]") for x in terms or ()]
+        cuts = [(x["s"], x["e"], f"[{KINDS[x['k']].upper()}]") for x in base]
+        cuts += [(x["s"], x["e"], "" if x["action"] == "remove" else "[TERM]") for x in terms]
         out, at = [], 0
         for s, e, put in sorted(cuts):
             if s >= at:
