@@ -1,12 +1,12 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, hashes, filters of fixed size, components."""
+"""Shared helpers: scratch tables in the cluster's shared folder, hashes, filters, components."""
 
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +69,17 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one of our own.
+
+    A folder of our own is on this machine, so only a local master may use one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="voxlake-")
             spark.sparkContext.setCheckpointDir(base)
@@ -102,7 +107,15 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the scratch tables of materialize() that nothing will read again."""
+    for df in frames:
+        drop_path(df.sparkSession, df._scratch)
 
 
 # ---------------------------------------------------------------- Arrow
@@ -130,11 +143,19 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole documents travel in smaller Arrow batches than Spark's 10,000 rows; a smaller setting of the session stays."""
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole documents travel in smaller Arrow batches than Spark's 10,000 rows for the jobs run inside; a smaller setting of the session stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows:
-        spark.conf.set(name, str(rows))
+    before = spark.conf.get(name, "10000")
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def pieces(it: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
@@ -190,50 +211,34 @@ def by_groups(df: DataFrame, each: Callable[[object, pa.Table], Iterator[tuple]]
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, ddl)
 
 
-# ---------------------------------------------------------------- a filter of fixed size
+# ---------------------------------------------------------------- filters
 
-FILTER_WORDS = 1 << 16
+#: Bits of a filter a key, and the most bits of one: 2^27 bits, 16 MB, whatever the input's size.
+BITS_A_KEY = 12
+MOST_BITS = 1 << 27
 
 
-def bit_filter(df: DataFrame, col: str, hashed: bool = False) -> bytes:
-    """A one-hash Bloom filter over a long column: 2^22 bits, 512 KB, whatever the input's size.
+def bit_filter(df: DataFrame, col: str) -> bytes:
+    """A one-hash Bloom filter over a column of 64-bit hashes, sized by the number of its rows (df should be a scratch table).
 
-    It saves shuffling rows that can't match; at larger inputs it fills up and
-    passes more rows, and the exact join behind it still decides. hashed: the column is a hash already.
+    It saves shuffling rows that can't match. From about ten million keys on it is as large as it gets and lets
+    more rows pass; the exact join behind it decides at every size.
     """
-    at = F.pmod(F.col(col) if hashed else F.xxhash64(F.col(col)), F.lit(FILTER_WORDS * 64))
+    bits = 1 << max(12, min(MOST_BITS, BITS_A_KEY * max(1, df.count())).bit_length() - 1)
+    at = F.pmod(F.col(col), F.lit(bits))
     rows = df.select((at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator()
-    bits = np.zeros(FILTER_WORDS, np.int64)
+    words = np.zeros(bits // 64, np.int64)
     for w, b in rows:
-        bits[w] = b
-    return bits.tobytes()
+        words[w] = b
+    return words.tobytes()
 
 
 def in_filter(bits: np.ndarray, h: int) -> bool:
-    """Whether a hash may be among those of bit_filter(..., hashed=True)."""
-    at = h % (FILTER_WORDS * 64)
+    """Whether a hash may be among those of bit_filter()."""
+    at = h & (len(bits) * 64 - 1)
     return bool((int(bits[at >> 6]) >> (at & 63)) & 1)
 
 
-def passes(bits_of: bytes, col: str) -> Callable[[DataFrame], DataFrame]:
-    """df -> rows of df whose key may be in the filter; the filter travels as one binary literal."""
-
-    def apply(df: DataFrame) -> DataFrame:
-        def run(it):
-            bits = np.frombuffer(bits_of, np.int64)
-            for b in it:
-                at = b.column(b.schema.get_field_index("__at")).to_numpy()
-                hit = (bits[at >> 6] >> (at & 63)) & 1
-                out = b.filter(pa.array(hit.astype(bool)))
-                if out.num_rows:
-                    yield out.drop_columns(["__at"])
-
-        at = F.coalesce(F.pmod(F.xxhash64(F.col(col)), F.lit(FILTER_WORDS * 64)), F.lit(0))
-        return df.withColumn("__at", at).mapInArrow(run, df.schema)
-
-    return apply
-
-
 # ---------------------------------------------------------------- connected components
 
 
@@ -241,7 +246,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): comp is the smallest node reachable. Label spreading with pointer jumping.
 
     Each round is an aggregate (combined before its shuffle) and a join that AQE
-    may split; labels are written to the shared folder between rounds.
+    may split; labels are written to the shared folder between rounds, and those
+    of the round before are removed.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -251,13 +257,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = labels.join(near, "node", "left").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         new = materialize(new, "labels")
         up = new.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        new = materialize(new.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"), "old"), "labels")
-        changed = new.where("comp <> old").limit(1).count()
-        labels = new.select("node", "comp")
-        if not changed:
-            return labels
-
-
-def natural(name: str) -> int:
-    m = re.match(r"op(\d+)_", name)
-    return int(m[1]) if m else 0
+        jumped = materialize(new.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"), "old"), "labels")
+        release(labels, new)
+        labels = jumped
+        if not labels.where("comp <> old").limit(1).count():
+            release(both)
+            out = labels.select("node", "comp")
+            out._scratch = labels._scratch
+            return out

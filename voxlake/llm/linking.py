@@ -1,133 +1,179 @@
 """Exact links among items that share keys, without emitting the pairs of a group.
 
 Items are posted under keys; two items can be linked only if they share one.
-1. Keys of one item go (aggregated before the shuffle, then a join AQE may split).
-2. Keys with more than `bound` items are split by finer keys if the caller has
-   them, and what is still larger is dealt into pairs of blocks, so that every two
-   items still meet and no task gets more than about `bound` items.
-3. Inside a group, sketches of fixed size rule out most pairs; what remains forms
-   a graph of which only a spanning forest leaves the task. Its components are cells.
-4. The items' texts are fetched once for each small cell, and once for each group
-   for the items of a large cell, and links are confirmed on whole texts; again
-   only a spanning forest leaves the task.
+
+1. A key's posting list is dropped if it has one item, or if another key has the
+   same items (a count and a hash of the members tell, aggregated before the shuffle).
+2. A list of more than `bound` items is dealt into blocks, each with two pivots of
+   the whole list. Inside a list or block, sketches are compared only for pairs not
+   yet connected, and only a spanning forest leaves the task. Near copies of one
+   text, however many, become one component here at a cost in proportion to their number.
+3. Of the lists that were dealt, those whose items are all in one component are done.
+   In the others two items of different components may still have to meet: finer
+   keys (if the caller has them; no pair is lost by them) make shorter lists, and in what
+   is still long the items outside the largest component (the probes) meet all
+   others, block by block.
+4. The components of the sketches' graph are cells. Small cells are confirmed on
+   whole texts in one room. In a large cell every item first meets the least item
+   it was connected to; then 3. is done again with texts, for lists whose items
+   aren't in one confirmed component. Rooms are bounded by items and by bytes.
 5. Components of the confirmed links are the classes.
+
+A pair that shares a key is compared in every case, whatever the sizes, unless its
+items are connected already; so the classes don't depend on the bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_groups, components, materialize
-
-SEED = 11
+from .common import by_groups, components, materialize, release
 
+EDGE = "a long, b long"
 
-class Classes:
-    """Union-find over 0..n-1; the smallest position stands for its class."""
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+def forest(n: int, hits: Callable[[int, np.ndarray], np.ndarray], classes: np.ndarray | None = None, probes: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Edges that connect 0..n-1 as the links do; hits(i, others) tells which others i is linked to.
 
-    def top(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.top(i), self.top(j)
-        self.up[max(i, j)] = min(i, j)
+    classes: what is connected already. probes: only pairs with a probe are asked for. Connected pairs never are.
+    """
+    own = np.arange(n) if classes is None else np.unique(classes, return_inverse=True)[1]
+    ask = np.ones(n, bool) if probes is None else probes
+    for i in np.flatnonzero(ask):
+        open_ = own != own[i]
+        open_[:i] &= ~ask[:i]  # two probes meet once
+        others = np.flatnonzero(open_)
+        if not len(others):
+            continue
+        hit = others[hits(i, others)]
+        if len(hit):
+            tops, at = np.unique(own[hit], return_index=True)
+            for j in hit[at]:
+                yield int(i), int(j)
+            own[np.isin(own, tops)] = own[i]
+
+
+def sharing_lists(postings: DataFrame) -> DataFrame:
+    """(key, item, n): the lists of two different items or more, one for each set of items. A row of postings is a different (key, item) each."""
+    member = F.xxhash64("item")
+    facts = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("item").alias("a"), F.max("item").alias("b"), F.bit_xor(member).alias("x")).where("a <> b")
+    keys = materialize(facts.groupBy("n", "a", "b", "x").agg(F.min("key").alias("key")).select("key", "n"), "keys")
+    lists = materialize(postings.join(keys, "key").select("key", "item", "n"), "lists")
+    release(keys)
+    return lists
+
+
+def dealt(lists: DataFrame, bound: int) -> DataFrame:
+    """(key, item): long lists as blocks of about `bound` items, the least and the greatest item of the list in each block."""
+    blocks = F.ceil(F.col("n") / bound)
+    block = F.when(F.col("n") > bound, F.xxhash64("key", F.pmod(F.xxhash64("item", "key"), blocks))).otherwise(F.col("key"))
+    rows = lists.select(block.alias("key"), "item")
+    ends = lists.where(F.col("n") > bound).groupBy("key").agg(F.first("n").alias("n"), F.min("item").alias("a"), F.max("item").alias("b"))
+    number = F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("o")
+    ends = ends.select("key", number, F.array("a", "b").alias("ends")).select(F.xxhash64("key", "o").alias("key"), F.explode("ends").alias("item"))
+    return rows.unionByName(ends)
+
+
+def crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, item, label, weight, probe, u, n, uw, w): lists with items of different labels. Probes are the items outside the list's commonest label."""
+    rows = lists.join(labels, "item").select("key", "item", "label", "weight")
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("weight").alias("cw"))
+    top = F.max(F.struct("c", "label", "cw"))
+    facts = per.groupBy("key").agg(top.alias("top"), F.sum("c").alias("n"), F.sum("cw").alias("w"), F.count("*").alias("k")).where("k > 1")
+    facts = materialize(facts.select("key", F.col("top.label").alias("commonest"), (F.col("n") - F.col("top.c")).alias("u"), (F.col("w") - F.col("top.cw")).alias("uw"), "n", "w"), "facts")
+    return rows.join(facts, "key").withColumn("probe", F.col("label") != F.col("commonest")).drop("commonest")
+
+
+def rooms(crossed: DataFrame, bound: int, room_bytes: int) -> DataFrame:
+    """(key, item, label, probe): every probe meets every item of its list, in rooms of about `bound` items and `room_bytes`."""
+    fits = (F.col("n") <= bound) & (F.col("w") <= room_bytes)
+    small = crossed.where(fits).select("key", "item", "label", "probe")
+    parts = lambda n, w: F.greatest(F.lit(1).cast("long"), F.ceil(F.col(n) * 2 / bound), F.ceil(F.col(w) * 2 / room_bytes)).cast("long")
+    long = crossed.where(~fits).withColumns({"mu": parts("u", "uw"), "mn": parts("n", "w"), "h": F.xxhash64("item", "key")})
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+    asking = long.where("probe").withColumns({"ub": F.pmod("h", "mu"), "nb": every("mn")})
+    asked = long.withColumns({"nb": F.pmod("h", "mn"), "ub": every("mu"), "probe": F.lit(False)})
+    both = asking.unionByName(asked.select(*asking.columns))
+    return small.unionByName(both.select(F.xxhash64("key", "ub", "nb").alias("key"), "item", "label", "probe"))
+
+
+def least_first(t: pa.Table, value: str) -> tuple[np.ndarray, list, np.ndarray | None, np.ndarray | None]:
+    """Items of a room in rising order with their values, labels and probes, so that equal edges of different rooms are one."""
+    items = t.column("item").to_numpy()
+    order = np.argsort(items, kind="stable")
+    values = t.column(value).to_pylist()
+    more = [t.column(c).to_numpy(zero_copy_only=False)[order] if c in t.column_names else None for c in ("label", "probe")]
+    return items[order], [values[i] for i in order], *more
 
 
-def first_reached(links: np.ndarray) -> np.ndarray:
-    """For each position the first position of its component in a symmetric boolean matrix."""
-    out = np.full(len(links), -1)
-    for i in range(len(links)):
-        if out[i] >= 0:
-            continue
-        out[i] = i
-        front = np.array([i])
-        while len(front):
-            front = np.flatnonzero(links[front].any(0) & (out < 0))
-            out[front] = i
-    return out
+def linked(df: DataFrame, value: str, hits_of: Callable) -> DataFrame:
+    """The edges of each room's forest, the smaller item first. hits_of(values, probes) gives forest()'s hits."""
 
+    def each(_key, t):
+        if t.num_rows > 1:
+            items, values, labels, probes = least_first(t, value)
+            for i, j in forest(len(items), hits_of(values, probes), labels, probes):
+                if items[i] != items[j]:
+                    yield int(min(items[i], items[j])), int(max(items[i], items[j]))
 
-def least_first(t, column: str) -> tuple[list[int], list]:
-    """Items of a group in rising order, so that the least one stands for its component in every group and equal edges of different groups are one."""
-    items, values = t.column("item").to_numpy(), t.column(column).to_pylist()
-    order = np.argsort(items, kind="stable")
-    return items[order].tolist(), [values[i] for i in order]
-
-
-def shared_keys(postings: DataFrame) -> DataFrame:
-    """Postings whose key has two different items or more, once each, with the number of items."""
-    several = postings.groupBy("key").agg(F.min("item").alias("a"), F.max("item").alias("b")).where("a <> b").select("key")
-    return postings.join(several, "key", "left_semi").distinct()
-
-
-def split_groups(shared: DataFrame, bound: int, finer: list[str]) -> DataFrame:
-    """(key, item) with at most about `bound` items a key; see 2."""
-    shared = materialize(shared, "shared")
-    out = None
-    level = shared
-    for col in [*finer, None]:
-        sizes = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = materialize(sizes, "sizes")
-        cold = level.join(sizes.where(F.col("n") <= bound), "key", "left_semi").select("key", "item")
-        out = cold if out is None else out.unionByName(cold)
-        if not sizes.where(F.col("n") > bound).limit(1).count():
-            return out
-        hot = level.join(sizes.where(F.col("n") > bound), "key")
-        if col is not None:
-            level = materialize(hot.withColumn("key", F.xxhash64("key", col)).drop("n"), "finer")
-            continue
-        half = max(1, bound // 2)
-        m = F.ceil(F.col("n") / half).cast("int")
-        own = F.pmod(F.xxhash64("item", F.lit(SEED)), m).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")
-        pairs = hot.select("key", "item", m.alias("m"), own.alias("b")).select("key", "item", "b", other)
-        out = out.unionByName(pairs.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("key"), "item"))
-    return out
+    return by_groups(df, each, EDGE)
 
 
 def link_items(
-    postings: DataFrame, sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *, near: Callable[[list[bytes]], "np.ndarray"],
-    classes_of: Callable[[list[str]], "np.ndarray"], finer: list[str] | None = None, bound: int = 1024, cell_bound: int = 250,
+    postings: DataFrame, sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *, near: Callable, confirm: Callable,
+    finer: Callable[[DataFrame], DataFrame] | None = None, bound: int = 512, cell_bound: int = 250, room_bytes: int = 1 << 25,
 ) -> DataFrame:
     """(node, comp) for the items that are linked to another one.
 
-    postings: (key, item, *finer); sketches: (item, sketch); texts_of(items) gives (item, text) of the asked items.
-    near(sketches) is a boolean matrix of pairs worth confirming. classes_of(texts) confirms links on whole
-    texts and gives for each text the position of the first one of its class.
+    postings: (key, item), distinct; sketches: (item, sketch, weight), weight being the bytes of the item's text;
+    texts_of(items) gives (item, text) of the asked items. near(sketches, probes) and confirm(texts, probes) give hits
+    for forest(): pairs worth confirming, and links on whole texts. finer(rows (key, item) of long lists) gives (key, item)
+    such that two items that share a long list and are near share a finer key or a list that isn't long.
     """
-    groups = materialize(split_groups(shared_keys(postings), bound, finer or []), "groups")
-
-    def forest(_key, t):
-        items, sketches = least_first(t, "sketch")
-        for i, first in enumerate(first_reached(near(sketches))):
-            if first != i:
-                yield items[first], items[i]
-
-    edges = by_groups(groups.join(sketches, "item"), forest, "a long, b long")
+    lists = sharing_lists(postings)
+    drawn = sketches.select("item", "sketch")
+    edges = materialize(linked(dealt(lists, bound).join(drawn, "item"), "sketch", near), "edges")
     cells = components(edges)
-    sizes = cells.groupBy("comp").agg(F.count("*").alias("size"))
-    sized = materialize(cells.join(sizes, "comp").select(F.col("node").alias("item"), "comp", "size"), "cells")
-    small = sized.where(F.col("size") <= cell_bound).select(F.xxhash64("comp").alias("key"), "item")
-    large = groups.join(sized.where(F.col("size") > cell_bound), "item").select(F.xxhash64("comp", "key").alias("key"), "item")
-    rooms = small.unionByName(large)
-    texts = texts_of(sized.select("item"))
-
-    def verify(_key, t):
-        items, held = least_first(t, "text")
-        if len(items) > 1:
-            for i, first in enumerate(classes_of(held)):
-                if first != i:
-                    yield items[first], items[i]
-
-    return components(by_groups(rooms.join(texts, "item"), verify, "a long, b long"))
+    long = lists.where(F.col("n") > bound)
+    if long.limit(1).count():
+        held = materialize(own_labels(long, cells, sketches), "labels")
+        again = crossing(long.select("key", "item"), held)
+        if finer is not None:
+            fine = sharing_lists(finer(again.select("key", "item")).distinct())
+            again = crossing(fine.select("key", "item"), held)
+        met = linked(rooms(again, bound, 1 << 62).join(drawn, "item"), "sketch", near)
+        edges = materialize(edges.unionByName(met), "edges")
+        cells = components(edges)
+    members = cells.select(F.col("node").alias("item"), "comp").join(sketches.select("item", "weight"), "item")
+    sizes = materialize(members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("weight").alias("bytes")), "sizes")
+    sized = materialize(members.join(sizes, "comp"), "cells")
+    is_small = (F.col("size") <= cell_bound) & (F.col("bytes") <= room_bytes)
+    small = sized.where(is_small).select(F.xxhash64("comp").alias("key"), "item")
+    large = sized.where(~is_small).select("item", "comp", "weight")
+    if not large.limit(1).count():
+        return components(linked(small.join(texts_of(small.select("item")), "item"), "text", confirm))
+    texts = materialize(texts_of(sized.select("item")), "texts")
+    done = linked(small.join(texts, "item"), "text", confirm)
+    # Every item of a large cell and the least item that the sketches connected it to.
+    star = edges.join(large.select(F.col("item").alias("b"), F.col("weight")), "b").groupBy("b").agg(F.min("a").alias("a"), F.first("weight").alias("weight"))
+    rays = star.groupBy("a").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    parts = F.greatest(F.ceil(F.col("n") / bound), F.ceil(F.col("w") / room_bytes)).cast("long")
+    rays = materialize(rays.select("a", parts.alias("m")), "rays")
+    leaf = star.join(rays, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), "m")).alias("key"), F.col("b").alias("item"), F.lit(False).alias("probe"))
+    root = rays.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("o")).select(F.xxhash64("a", "o").alias("key"), F.col("a").alias("item"), F.lit(True).alias("probe"))
+    direct = materialize(linked(leaf.unionByName(root).join(texts, "item"), "text", confirm), "direct")
+    held = materialize(own_labels(large, components(direct), sketches), "labels")
+    in_cell = lists.join(large.select("item", "comp"), "item").select(F.xxhash64("comp", "key").alias("key"), "item")
+    across = linked(rooms(crossing(in_cell, held), bound, room_bytes).join(texts, "item"), "text", confirm)
+    return components(done.unionByName(direct).unionByName(across))
+
+
+def own_labels(items: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(item, label, weight): the component of each item, or the item itself."""
+    asked = items.select("item").distinct().join(sketches.select("item", "weight"), "item")
+    return asked.join(comps, asked.item == comps.node, "left").select("item", F.coalesce("comp", "item").alias("label"), "weight")
