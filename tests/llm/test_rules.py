@@ -163,12 +163,12 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(df).columns == df.columns
 
 
-def brute_terms(rows, support=3, generalise=0.7, remove=0.95):
+def brute_terms(rows, support=3, sigmas=3, generalise=0.7, remove=0.95):
     """text -> (start, end, action) of its disclosing terms."""
     free, entities = {}, {}
     for t in {r[1] or "" for r in rows}:
         base = pii.base_spans(t)
-        entities[t] = {pii.entity_of(k, t[s:e]) for k, s, e in base}
+        entities[t] = pii.entities_of(t, base)
         free[t] = [(m.group().lower(), *m.span()) for m in pii.TERM.finditer(t) if not any(s < m.end() and m.start() < e for _, s, e in base)]
     n_t, n_c, n_ct = Counter(), Counter(), Counter()
     for t in free:
@@ -178,13 +178,41 @@ def brute_terms(rows, support=3, generalise=0.7, remove=0.95):
         n_ct.update((c, w) for c in entities[t] for w in own)
     share = {}
     for (c, w), n in n_ct.items():
-        if n >= support and n_c[c] < len(free):
+        chance = n_c[c] * n_t[w] / len(free)
+        if n >= support and n >= chance + sigmas * chance**0.5 and n_c[c] < len(free):
             x = math.log(n * len(free) / (n_c[c] * n_t[w])) / math.log(len(free) / n_c[c])
             if x >= generalise:
                 share[w] = max(x, share.get(w, 0))
     return {t: [(s, e, "remove" if share[w] >= remove - 1e-12 else "generalise") for w, s, e in free[t] if w in share] for t in free}
 
 
+def test_entities_of_one_text_are_protected_through_their_classes(spark):
+    """Addresses and numbers of one text each: what stands by the kind, the domain or the area only is found, other words aren't."""
+    rows = []
+    for i in range(200):
+        t = f"we wrote at noon about it to nobody number{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 20]}"
+        if i % 20 == 0:
+            t += f" hotline Wagner at +1 (743) 555-{1000 + i}"
+        if i % 20 == 10:
+            t += f" postbox of Quimby {'qwertzuiop'[i // 20] * 5}@box{i % 40}.example.com"
+        rows.append((i, t, None, None, None, None, None, None))
+    got = {r.doc_id: {rows[r.doc_id][1][x["s"] : x["e"]] for x in r.terms or ()} for r in pii.disclosures(frame(spark, rows)).collect()}
+    assert got[0] == {"hotline", "Wagner"} and got[10] == {"postbox", "of", "Quimby"} and not any(got[i] for i in range(200) if i % 10)
+
+
+def test_terms_are_found_in_the_test_data(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = pii.span_digests(pii.disclosures(docs)).selectExpr("sum(n_terms) n", "count(*) r").first()
+    assert got.n > 0 and got.r == docs.count()
+
+
+def test_classes_of_a_value():
+    assert pii.classes_of(0, "Jo.Smith7@Mail.example.com") == {"email:jo.smith7@mail.example.com", "email:", "email:@mail.example.com", "email:smith@"}
+    assert pii.classes_of(1, "010.0.2.3") == {"ip:010.0.2.3", "ip:", "ip:10.0.2.", "ip:10.0."}
+    assert pii.classes_of(2, "4111 1111-1111 1111") == {"card:4111111111111111", "card:", "card:411111-"}
+    assert pii.classes_of(3, "+1 (212) 555-0123") == {"phone:12125550123", "phone:", "phone:1212-"}
+
+
 def test_disclosing_terms_everywhere(spark):
     """A term is counted over whole texts and marked wherever it stands: far from the entity, and without it."""
     far = " ".join(["we wrote at noon about it"] * 30)

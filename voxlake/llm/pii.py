@@ -1,19 +1,26 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans come from patterns (email, ip, card, phone). The protected entities
-are the values found (digits of a card or phone, a folded email, an address).
+are the values found and the classes each value belongs to: its kind; an email's
+domain and the words of its local part; an address's nets of 24 and 16 bits; a card's
+issuer digits; a phone's country and area. A value that stands in one text or two
+has too few texts for statistics of its own and is protected through its classes.
+
 The words of a text that holds an entity, outside base spans, are its context,
 however far off. Over the corpus the pointwise mutual information of a word t and
 an entity c, PMI = log(n_ct N / (n_c n_t)) with counts of distinct texts, is
 compared with the entity's own information IC = log(N / n_c): a word whose PMI/IC
 reaches `generalise` with any entity discloses it and is generalised to a
 placeholder wherever it stands, in texts without the entity too; from `remove` on
-it is removed. A pair counts only from `support` distinct texts on, so that a word
-seen once isn't taken as a disclosure. Byte-identical texts count as one.
-
-Defined results: a null text is empty; base spans always stay, and a term that
-touches one isn't added; repeated rows get equal spans; a text without spans
-has the hash of the empty string; extra columns are ignored.
+it is removed. A pair counts as evidence only from `support` distinct texts on, and only
+if it lies `sigmas` standard deviations above what chance gives (n_c n_t / N), so that
+neither a word seen once nor an entity in very many texts makes disclosures by
+accident. Byte-identical texts count as one.
+
+Defined results: a null text is empty; a text of any length is taken whole; base
+spans always stay, and a term that touches one isn't added; of overlapping base spans
+sanitise() replaces the first; repeated rows get equal spans; a null doc_id stays null;
+a text without spans has the hash of the empty string; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +45,12 @@ PART = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{2,}")
-DOCS = (
+#: A row for each document and, in the same table, rows of term counts (t, n; `of`: the text's key if the text has copies).
+FOUND = (
     "doc_id long, tkey long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<k:int,s:int,e:int>>, "
-    "entities array<long>"
+    "entities array<long>, terms array<long>, t long, n long, of long"
 )
+HELD = 200_000
 
 
 def emails(t: str):
@@ -98,9 +107,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [(k, s, e) for k, find in enumerate(FINDERS) for s, e in find(text)]
 
 
-def entity_of(kind: int, value: str) -> int:
+def classes_of(kind: int, value: str) -> set[str]:
+    """The names of a value and of the classes it belongs to."""
     norm = value.lower() if kind < 2 else re.sub(r"[^0-9]", "", value)
-    return hash64(f"{KINDS[kind]}:{norm}".encode())
+    own = [norm, ""]
+    if kind == 0:
+        local, _, domain = norm.partition("@")
+        own += ["@" + domain, *(w + "@" for w in re.findall(r"[a-z]{3,}", local))]
+    elif kind == 1:
+        parts = [p.lstrip("0") or "0" for p in norm.split(".")]
+        own += [".".join(parts[:3]) + ".", ".".join(parts[:2]) + "."]
+    elif kind == 2:
+        own.append(norm[:6] + "-")
+    else:
+        own.append(norm[:-7] + "-")
+    return {f"{KINDS[kind]}:{x}" for x in own}
+
+
+def entities_of(text: str, base: list[tuple[int, int, int]]) -> set[int]:
+    """The hashes of all protected entities of a text."""
+    return {hash64(x.encode()) for k, s, e in base for x in classes_of(k, text[s:e])}
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
@@ -121,118 +147,112 @@ def free_terms(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, i
     return out
 
 
-def term_set(text: str) -> set[str]:
-    base = base_spans(text)
+def term_set(text: str, base: list[tuple[int, int, int]]) -> set[str]:
+    """The distinct folded terms of a text outside its base spans."""
     return {w for w, _, _ in free_terms(text, base)} if base else {w.lower() for w in set(TERM.findall(text))}
 
 
-def disclosures(docs: DataFrame, *, support: int = 3, generalise: float = 0.7, remove: float = 0.95) -> DataFrame:
-    """One row per document: base spans and disclosing terms, each as an array of (kind, start, end, action)."""
-
-    def each(doc_id, text):
-        t = text or ""
-        base = base_spans(t)
-        n = np.bincount([k for k, _, _ in base], minlength=4)
-        yield doc_id, hash64(t.encode()), *map(int, n), [{"k": k, "s": s, "e": e} for k, s, e in base], sorted({entity_of(k, t[s:e]) for k, s, e in base})
-
-    source = docs.select(F.col("doc_id").cast("long"), "text")
-    found = materialize(map_rows(source, each, DOCS), "pii")
-    texts = materialize(found.groupBy("tkey").agg(F.count("*").alias("rows")), "texts")
-    total = float(texts.count())
-    holds = found.select("tkey", F.explode("entities").alias("c")).distinct()
-    n_c = holds.groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support)
-    holds = materialize(holds.join(n_c, "c"), "entities")
-    # n_ct is at most n_c: a term in more texts than this reaches `generalise` with no entity of the text.
-    most = F.lit(max(total, 1.0)) ** F.lit(1 - generalise) * F.col("n_c").cast("double") ** F.lit(generalise) * (1 + 1e-9)
-    holders = holds.groupBy("tkey").agg(F.max("n_c").alias("n_c")).select("tkey", most.alias("most"))
-    held = materialize(terms_of(source, holders.select("tkey")).join(holders, "tkey"), "terms")
-    terms = materialize(held.groupBy("t").agg(F.count("*").alias("n_h")).where(F.col("n_h") >= support).select("t"), "asked")
-    n_t = materialize(term_frequency(source, terms, texts), "frequency")
-    rare = held.join(n_t, "t").where(F.col("n_t") <= F.col("most")).select("tkey", "t", "n_t")
-    pairs = rare.join(holds, "tkey").where(F.col("n_t") <= most).groupBy("c", "t").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
-    pmi = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t")))
-    ic = F.log(F.lit(max(total, 1.0)) / F.col("n_c"))
-    strong = pairs.where(F.col("n_ct") >= support).withColumn("share", F.when(ic > 0, pmi / ic)).where(F.col("share") >= generalise)
-    strong = materialize(strong.groupBy("t").agg(F.max("share").alias("share")), "strong")
-    added = places_of(source, strong).join(strong, "t").groupBy("tkey", "s", "e").agg(F.max("share").alias("share")).groupBy("tkey").agg(
-        F.array_sort(F.collect_list(F.struct("s", "e", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")))).alias("terms")
-    )
-    return found.drop("entities").join(added, "tkey", "left")
-
-
-def terms_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(tkey, t): the distinct terms of the texts asked for."""
-    held = bit_filter(keys, "tkey", hashed=True)
-
-    def each(text):
-        if text and in_filter(np.frombuffer(held, np.int64), key := hash64(text.encode())):
-            for w in term_set(text):
-                yield key, hash64(w.encode())
+def with_key(docs: DataFrame, name: str = "tkey") -> DataFrame:
+    return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
-    return map_rows(docs.select("text"), each, "tkey long, t long").join(keys, "tkey", "left_semi").distinct()
 
+def scanned(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """One pass over the texts: spans, entities, the terms of texts with entities, and in how many texts of the task each term is.
 
-def term_frequency(docs: DataFrame, terms: DataFrame, texts: DataFrame) -> DataFrame:
-    """(t, n_t): distinct texts of the whole corpus that hold each of the terms asked for.
-
-    Texts of one row are counted where they are; only those that may have copies send their key along.
+    Texts of one row are counted where they are; those that may have copies send their key along, once a task.
     """
-    held = bit_filter(terms, "t", hashed=True)
-    copied = bit_filter(texts.where("rows > 1"), "tkey", hashed=True)
-    ddl = "t long, tkey long, n long"
-    schema = arrow_schema(ddl)
+    copied = bit_filter(texts.where("rows > 1"), "tkey")
+    schema = arrow_schema(FOUND)
+    no_count, no_doc = (None,) * 3, (None,) * 9
 
     def run(it):
-        bits, twice = np.frombuffer(held, np.int64), np.frombuffer(copied, np.int64)
+        twice = np.frombuffer(copied, np.int64)
 
         def rows():
             once: dict[int, int] = {}
-            hashes: dict[str, int | None] = {}
+            hashes: dict[str, int] = {}
+            seen: set[int] = set()
             for b in pieces(it):
-                for text in b.column(0).to_pylist():
-                    if not text:
-                        continue
-                    own = in_filter(twice, key := hash64(text.encode()))
-                    for w in term_set(text):
-                        if w in hashes:
-                            h = hashes[w]
-                        else:
-                            h = hash64(w.encode())
-                            h = hashes[w] = h if in_filter(bits, h) else None
-                        if h is None:
-                            continue
-                        if own:
-                            yield h, key, 1
-                        else:
+                for doc_id, key, text in zip(*(c.to_pylist() for c in b.columns)):
+                    t = text or ""
+                    base = base_spans(t)
+                    kinds = np.bincount([k for k, _, _ in base], minlength=4)
+                    again = key in seen
+                    own = []
+                    if t and not again:
+                        for w in term_set(t, base):
+                            h = hashes.get(w)
+                            if h is None:
+                                h = hashes[w] = hash64(w.encode())
+                            own.append(h)
+                    yield doc_id, key, *map(int, kinds), [{"k": k, "s": s, "e": e} for k, s, e in base], sorted(entities_of(t, base)), own if base else [], *no_count
+                    if in_filter(twice, key):
+                        if not again:
+                            seen.add(key)
+                            yield from ((*no_doc, h, 1, key) for h in own)
+                    else:
+                        for h in own:
                             once[h] = once.get(h, 0) + 1
-                    if len(hashes) > 200000:
+                    if len(hashes) > HELD:
                         hashes.clear()
-                    if len(once) > 200000:
-                        yield from ((h, None, n) for h, n in once.items())
+                    if len(once) > HELD:
+                        yield from ((*no_doc, h, n, None) for h, n in once.items())
                         once = {}
-            yield from ((h, None, n) for h, n in once.items())
+            yield from ((*no_doc, h, n, None) for h, n in once.items())
 
-        yield from batches_of(rows(), schema, 65536)
+        yield from batches_of(rows(), schema)
 
-    every = docs.select("text").mapInArrow(run, ddl).join(terms, "t", "left_semi")
-    copies = every.where("tkey is not null").select("t", "tkey").distinct().select("t", F.lit(1).cast("long").alias("n"))
-    return every.where("tkey is null").select("t", "n").unionByName(copies).groupBy("t").agg(F.sum("n").alias("n_t"))
+    return materialize(docs.select("doc_id", "tkey", "text").mapInArrow(run, FOUND), "pii")
+
+
+def disclosures(docs: DataFrame, *, support: int = 3, sigmas: float = 3.0, generalise: float = 0.7, remove: float = 0.95) -> DataFrame:
+    """One row per document: base spans and disclosing terms, each as an array of (kind, start, end, action)."""
+    source = with_key(docs.select(F.col("doc_id").cast("long"), "text"))
+    texts = materialize(source.groupBy("tkey").agg(F.count("*").alias("rows")), "texts")
+    total = float(max(1, texts.count()))
+    table = scanned(source, texts)
+    found = table.where("t is null").drop("t", "n", "of")
+    holds = found.select("tkey", F.explode("entities").alias("c")).distinct()
+    n_c = materialize(holds.groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support), "entities")
+    # n_ct is at most n_c: a term in more texts than this reaches `generalise` with no entity of so many texts.
+    most = F.lit(total ** (1 - generalise)) * F.col("n_c").cast("double") ** F.lit(generalise) * (1 + 1e-9)
+    top = n_c.agg(F.max(most)).first()[0] or 0.0
+    held = materialize(found.where("size(terms) > 0").select("tkey", F.explode("terms").alias("t")).distinct(), "terms")
+    asked = materialize(held.groupBy("t").agg(F.count("*").alias("n_h")).where(F.col("n_h") >= support).select("t"), "asked")
+    counts = table.where("t is not null")
+    once = counts.where("of is null").select("t", "n")
+    copies = counts.where("of is not null").select("t", "of").distinct().select("t", F.lit(1).cast("long").alias("n"))
+    n_t = once.unionByName(copies).groupBy("t").agg(F.sum("n").alias("n_t")).where(F.col("n_t") <= top)
+    n_t = materialize(n_t.join(asked, "t", "left_semi"), "frequency")
+    pairs = held.join(n_t, "t").join(holds.join(n_c, "c"), "tkey").where(F.col("n_t") <= most)
+    pairs = pairs.groupBy("c", "t", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
+    chance = F.col("n_c") * F.col("n_t") / total
+    pmi, ic = F.log(F.col("n_ct") / chance), F.log(F.lit(total) / F.col("n_c"))
+    strong = pairs.where((F.col("n_ct") >= support) & (F.col("n_ct") >= chance + sigmas * F.sqrt(chance)))
+    strong = strong.withColumn("share", F.when(ic > 0, pmi / ic)).where(F.col("share") >= generalise)
+    strong = materialize(strong.groupBy("t").agg(F.max("share").alias("share")), "strong")
+    action = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")
+    added = places_of(source, strong).join(strong, "t").groupBy("tkey").agg(F.array_sort(F.collect_set(F.struct("s", "e", action))).alias("terms"))
+    return found.drop("entities", "terms").join(materialize(added, "added"), "tkey", "left")
 
 
 def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(tkey, t, s, e): where the texts of the whole corpus hold terms that may be among those asked for."""
-    held = bit_filter(terms, "t", hashed=True)
+    """(tkey, t, s, e): where the texts of the whole corpus hold terms that may be among those asked for; of a task's copies one is read."""
+    held = bit_filter(terms, "t")
     ddl = "tkey long, t long, s int, e int"
     schema = arrow_schema(ddl)
 
     def run(it):
         bits = np.frombuffer(held, np.int64)
+        if not bits.any():
+            return
 
         def rows():
             hashes: dict[str, int | None] = {}
+            hits: set[int] = set()
             for b in pieces(it):
-                for text in b.column(0).to_pylist():
-                    if not text:
+                for key, text in zip(*(c.to_pylist() for c in b.columns)):
+                    if not text or key in hits:
                         continue
                     hit = False
                     for w in {w.lower() for w in set(TERM.findall(text))}:
@@ -241,22 +261,21 @@ def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
                             hashes[w] = h if in_filter(bits, h) else None
                         hit = hit or hashes[w] is not None
                     if hit:
-                        key = hash64(text.encode())
+                        hits.add(key)
                         for w, s, e in free_terms(text, base_spans(text)):
                             if (h := hashes[w]) is not None:
                                 yield key, h, s, e
-                    if len(hashes) > 200000:
+                    if len(hashes) > HELD:
                         hashes.clear()
 
         yield from batches_of(rows(), schema, 65536)
 
-    return docs.select("text").mapInArrow(run, ddl)
+    return docs.select("tkey", "text").mapInArrow(run, ddl)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with `text` sanitised: base spans and generalised terms become placeholders, removed terms go."""
-    found = disclosures(docs, **options).select("tkey", "base", "terms").dropDuplicates(["tkey"])
-    from .quality import with_text_key
+    found = materialize(disclosures(docs, **options).select("tkey", "base", "terms").dropDuplicates(["tkey"]), "cuts")
 
     def mend(text, base, terms):
         cuts = [(x["s"], x["e"], f"[{KINDS[x['k']].upper()}]") for x in base]
@@ -272,7 +291,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     def mended(text: pd.Series, base: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else mend(t, b if b is not None else (), x if x is not None else ()) for t, b, x in zip(text, base, terms)])
 
-    joined = with_text_key(docs).join(found.withColumnRenamed("tkey", "__tkey").withColumnRenamed("base", "__base").withColumnRenamed("terms", "__terms"), "__tkey", "left")
+    joined = with_key(docs, "__tkey").join(found.withColumnRenamed("tkey", "__tkey").withColumnRenamed("base", "__base").withColumnRenamed("terms", "__terms"), "__tkey", "left")
     return joined.withColumn("text", mended("text", "__base", "__terms")).select(*docs.columns)
 
 
