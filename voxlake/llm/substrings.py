@@ -10,10 +10,11 @@ same anchor form a segment. Equal segments of different places are one row with
 count, and segments are dealt into shards by anchor, so equal windows always meet in one
 shard. Where more than `bound` places share an anchor, its windows are keyed by
 a hash of the whole window instead, which spreads a passage that a third of all
-documents hold.
+documents hold; a count by that hash leaves those at two places or more to the index. The
+bound changes the path, not the result.
 
 A shard's segments form one text over its own word numbers; its Burrows-Wheeler
-transform is kept in a wavelet matrix with counted bit vectors. Segments are
+transform is kept in a wavelet matrix of packed bit vectors. Segments are
 streamed through backward search, a whole shard at a time: the matching
 statistics say how far back from a place a segment still occurs twice or more
 (occurrences weighted by the segments' counts), and spans of at least `width` words
@@ -22,7 +23,7 @@ are reported. Words are compared by 64-bit hashes.
 Byte-identical texts are one text with a count.
 
 Defined results: a null text has no words; texts of fewer than `width` words
-lose none; a null doc_id is kept; repeated rows count as further places, so
+lose none; very long texts are taken whole; a null doc_id is kept; repeated rows count as further places, so
 rows that repeat lose all their windows' words; extra columns are ignored.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, bit_filter, by_groups, few_rows_a_batch, grams, hash64, hash_words, in_filter, map_rows, materialize, pieces, words_of
+from .common import arrow_schema, batches_of, bit_filter, by_groups, few_rows_a_batch, grams, hash64, hash_words, in_filter, map_rows, materialize, pieces, release, words_of
 
 WIDTH = 35
 GRAM = 8
@@ -73,24 +74,39 @@ def runs_of(words: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.n
 # ---------------------------------------------------------------- FM-index
 
 
+class BitVector:
+    """Packed bits with a running count for each word of 64: one and a half bits a bit."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        packed = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)
+        packed[: -(-len(bit) // 8)] = np.packbits(bit.astype(bool), bitorder="little")
+        self.words = packed.view("<u8")
+        self.count = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(np.bitwise_count(self.words), out=self.count[1:])
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """How many ones stand before place i."""
+        w = i >> 6
+        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.count[w] + np.bitwise_count(self.words[w] & below)
+
+
 class WaveletMatrix:
-    """rank(c, i) over a sequence of numbers below 2^bits: a bit vector with running counts for each bit, high bits first."""
+    """rank(c, i) over a sequence of numbers below 2^bits: a bit vector for each bit, high bits first."""
 
     def __init__(self, seq: np.ndarray, bits: int) -> None:
-        self.bits, self.ones, self.zeros = bits, [], []
+        self.bits, self.levels, self.zeros = bits, [], []
         x = seq
         for b in range(bits - 1, -1, -1):
             bit = (x >> b) & 1
-            count = np.zeros(len(x) + 1, np.int32)
-            np.cumsum(bit, out=count[1:])
-            self.ones.append(count)
-            self.zeros.append(len(x) - int(count[-1]))
+            self.levels.append(BitVector(bit))
+            self.zeros.append(len(x) - int(bit.sum()))
             x = np.concatenate((x[bit == 0], x[bit == 1]))
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often c stands before place i, less the start of c's own stretch (the same for every i)."""
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
-            one = self.ones[level][i]
+            one = self.levels[level].rank(i)
             i = np.where((c >> b) & 1, one + np.int32(self.zeros[level]), i - one)
         return i
 
@@ -201,8 +217,6 @@ def _first_open(mask: np.ndarray, at: int) -> int:
 def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, bound: int = 2000, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(tkey, starts): the first words of the repeated windows of each distinct text that has any."""
 
-    few_rows_a_batch(docs.sparkSession)
-
     def each(text):
         if text:
             yield hash64(text.encode()), len(words_of(text))
@@ -223,15 +237,17 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, bou
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=place)
 
-    runs = docs.select("text").mapInArrow(anchors, "key long, tkey long, run int")
-    counts = runs.groupBy("key").agg(F.count("*").alias("places")).where("places > 1")
-    shared = runs.join(counts, "key").groupBy("tkey", "run").agg(F.first("key").alias("key"), F.first("places").alias("places"))
-    shared = materialize(shared, "anchors")
+    runs = materialize(docs.select("text").mapInArrow(anchors, "key long, tkey long, run int"), "runs")
+    # Written before it is joined, so that AQE can split the runs of a hot anchor.
+    counts = materialize(runs.groupBy("key").agg(F.count("*").alias("places")).where("places > 1"), "places")
+    shared = materialize(runs.join(counts, "key").groupBy("tkey", "run").agg(F.first("places").alias("places")), "anchors")
+    release(runs, counts)
 
     # Windows of anchors with very many places: keyed by the whole window, and again those at one place only go.
     wanted = shared.groupBy("tkey").agg(F.collect_list(F.struct("run", (F.col("places") > bound).alias("hot"))).alias("runs"))
     wanted = materialize(wanted, "wanted")
-    held = bit_filter(wanted, "tkey", hashed=True)
+    release(shared)
+    held = bit_filter(wanted, "tkey")
 
     def pick(text):
         if text and in_filter(np.frombuffer(held, np.int64), key := hash64(text.encode())):
@@ -267,7 +283,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, bou
     # Hot windows carry no words yet: those at two places or more get them from one of their places.
     twice = cuts.where("hot").groupBy("item").agg(F.sum("copies").alias("weight"), F.min(F.struct("tkey", "start")).alias("at")).where("weight > 1")
     twice = materialize(twice, "twice")
-    cold = cuts.where("not hot").groupBy("item").agg(F.min("key").alias("key"), F.sum("copies").alias("weight"), F.min("seg").alias("seg"))
+    cold = cuts.where("not hot").groupBy("item", "seg").agg(F.min("key").alias("key"), F.sum("copies").alias("weight")).select("item", "key", "weight", "seg")
     source = twice.select("item", "weight", F.col("at.tkey").alias("tkey"), F.col("at.start").alias("start"))
     fetched = source.groupBy("tkey").agg(F.collect_list(F.struct("item", "weight", "start")).alias("asked")).join(picked.select("tkey", "text"), "tkey")
 
@@ -296,8 +312,9 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, bou
 
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every row with the words that stay."""
-    spans = materialize(repeated_spans(docs, width=width, **options), "spans")
-    held = bit_filter(spans, "tkey", hashed=True)
+    with few_rows_a_batch(docs.sparkSession):
+        spans = materialize(repeated_spans(docs, width=width, **options), "spans")
+    held = bit_filter(spans, "tkey")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def clean(doc_id, text):
@@ -325,4 +342,5 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, **options) -> DataFra
 
 def kept_digests(docs: DataFrame, **options) -> DataFrame:
     """The digest columns of the query from the operator's texts; hashed by Spark, without another Python worker a task."""
-    return remove_repeats(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    with few_rows_a_batch(docs.sparkSession):
+        return materialize(remove_repeats(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "digests")
