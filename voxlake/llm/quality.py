@@ -3,14 +3,15 @@
 Lines are normalised (case folded, white space collapsed) and hashed. For each
 host the distinct documents that hold a line are counted; byte-identical texts
 of a host are one document, so a group of exact copies isn't boilerplate. A line
-in more than max(min_docs, share * documents of the host) documents is removed,
-and a document is rejected when fewer than `min_left` of its words remain.
+in more than max(min_docs, share * documents of the host) documents, but in no case
+in more than `most_docs`, is left: the limit doesn't rise without bound with the host. A document is rejected when fewer than `min_left` of its words remain.
 cut_frequent_lines() returns the documents without those lines.
 
 Defined results: a null text is empty; an empty text has no lines, so it is never
 depleted (but the word rule fails it); a null host is one host of its own; a cut
 line goes with its line break, lines without words stay, a null text stays null
-and a text of nothing but frequent lines becomes empty;
+and a text of nothing but frequent lines becomes empty; very long texts and lines are taken whole; a line at the
+limit stays (ties don't arise);
 repeated rows get equal verdicts; extra columns are ignored.
 """
 
@@ -79,14 +80,14 @@ def text_stats(text: str | None) -> tuple:
 
 
 def line_frequency_rules(
-    docs: DataFrame, *, host: str = "source", min_docs: int = 10, share: float = 0.02, min_left: float = 0.2, min_words: int = 20, max_repeat_pct: int = 30
+    docs: DataFrame, *, host: str = "source", min_docs: int = 10, share: float = 0.02, most_docs: int = 1000, min_left: float = 0.2, min_words: int = 20, max_repeat_pct: int = 30
 ) -> DataFrame:
     """One row per document: base counts, words left without frequent lines, verdict."""
-    options = {"host": host, "min_docs": min_docs, "share": share, "min_left": min_left, "min_words": min_words, "max_repeat_pct": max_repeat_pct}
+    options = {"host": host, "min_docs": min_docs, "share": share, "most_docs": most_docs, "min_left": min_left, "min_words": min_words, "max_repeat_pct": max_repeat_pct}
     return judged(docs, **options)[0]
 
 
-def judged(docs: DataFrame, *, host: str, min_docs: int, share: float, min_left: float, min_words: int, max_repeat_pct: int) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, *, host: str, min_docs: int, share: float, most_docs: int, min_left: float, min_words: int, max_repeat_pct: int) -> tuple[DataFrame, DataFrame]:
     """(verdicts, hits): line_frequency_rules' rows, and (host, tkey, h, w) of every frequent line of every text."""
 
     def each(doc_id, h, text):
@@ -96,14 +97,16 @@ def judged(docs: DataFrame, *, host: str, min_docs: int, share: float, min_left:
     texts = stats.select("host", "tkey", "lines", "n_words")
     held = texts.select("host", "tkey", F.explode("lines").alias("l")).select("host", "tkey", F.col("l.h").alias("h"), F.col("l.w").alias("w")).groupBy("host", "tkey", "h").agg(F.first("w").alias("w"))
     held = materialize(held, "lines")
-    per_host = texts.groupBy("host", "tkey").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
+    per_host = materialize(texts.groupBy("host", "tkey").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs")), "hosts")
     counts = held.groupBy("host", "h").agg(F.count("*").alias("docs_with"))
-    limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("docs"))
+    limit = F.least(F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("docs")), F.lit(float(max(min_docs, most_docs))))
     same_host = F.col("c.host").eqNullSafe(F.col("p.host"))
     frequent = counts.where(F.col("docs_with") > min_docs).alias("c").join(per_host.alias("p"), same_host).where(F.col("docs_with") > limit).select(F.col("c.host").alias("fhost"), F.col("c.h").alias("fh"))
-    hits = held.join(frequent, F.col("host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh"))).select("host", "tkey", "h", "w")
+    # Small sides are written before they are joined, so that AQE can split a hot key of the other side.
+    frequent = materialize(frequent, "frequent")
+    hits = materialize(held.join(frequent, F.col("host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh"))).select("host", "tkey", "h", "w"), "frequent-lines")
     gone = hits.groupBy(F.col("host").alias("ghost"), F.col("tkey").alias("gkey")).agg(F.sum("w").alias("gone"), F.count("*").alias("n_frequent_lines"))
-    out = stats.drop("lines").join(gone, F.col("host").eqNullSafe(F.col("ghost")) & (F.col("tkey") == F.col("gkey")), "left")
+    out = stats.drop("lines").join(materialize(gone, "lost"), F.col("host").eqNullSafe(F.col("ghost")) & (F.col("tkey") == F.col("gkey")), "left")
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat_pct) * F.col("n_words"))
     depleted = left < F.lit(min_left) * F.col("n_words")
@@ -118,13 +121,14 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
     verdict = line_frequency_rules(docs, **options)
     good = verdict.where("kept").select(F.col("host").alias("__h"), F.col("tkey").alias("__k"), F.col("n_words").alias("__n")).distinct()
+    good = materialize(good, "good")
     host = options.get("host", "source")
     keyed = with_text_key(docs)
     return keyed.join(good, (F.col("__tkey") == F.col("__k")) & F.col(host).cast("string").eqNullSafe(F.col("__h")), "left_semi").drop("__tkey")
 
 
 def cut_frequent_lines(
-    docs: DataFrame, *, good_only: bool = False, host: str = "source", min_docs: int = 10, share: float = 0.02, min_left: float = 0.2, min_words: int = 20, max_repeat_pct: int = 30
+    docs: DataFrame, *, good_only: bool = False, host: str = "source", min_docs: int = 10, share: float = 0.02, most_docs: int = 1000, min_left: float = 0.2, min_words: int = 20, max_repeat_pct: int = 30
 ) -> DataFrame:
     """docs with the frequent lines of their host cut from `text`; good_only: without the rows that the rules reject.
 
@@ -133,13 +137,14 @@ def cut_frequent_lines(
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    verdicts, hits = judged(docs, host=host, min_docs=min_docs, share=share, min_left=min_left, min_words=min_words, max_repeat_pct=max_repeat_pct)
+    verdicts, hits = judged(docs, host=host, min_docs=min_docs, share=share, most_docs=most_docs, min_left=min_left, min_words=min_words, max_repeat_pct=max_repeat_pct)
     cuts = hits.groupBy(F.col("host").alias("__h"), F.col("tkey").alias("__k")).agg(F.collect_set("h").alias("__cut"))
     how = "left"
     if good_only:
         good = verdicts.where("kept").select(F.col("host").alias("__gh"), F.col("tkey").alias("__gk")).distinct()
         cuts = good.join(cuts, (F.col("__gk") == F.col("__k")) & F.col("__gh").eqNullSafe(F.col("__h")), "left").select(F.col("__gh").alias("__h"), F.col("__gk").alias("__k"), "__cut")
         how = "inner"
+    cuts = materialize(cuts, "cuts")
     names = docs.columns
     joined = with_text_key(docs).join(cuts, (F.col("__tkey") == F.col("__k")) & F.col(host).cast("string").eqNullSafe(F.col("__h")), how).select(*names, "__cut")
 

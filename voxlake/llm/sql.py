@@ -21,7 +21,7 @@ ln AS (SELECT rid, source, text, line, {WORDS.replace("coalesce(text, '')", 'lin
 lines AS (SELECT rid, source, text, line, lower(array_to_string(lw, ' ')) AS norm, len(lw) AS n FROM ln WHERE len(lw) > 0),
 dup AS (SELECT rid, (count(*) - count(DISTINCT line))::BIGINT AS n FROM lines GROUP BY rid),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-freq AS (SELECT l.source, l.norm FROM lines l GROUP BY l.source, l.norm HAVING count(DISTINCT l.text) > 10 AND count(DISTINCT l.text) > 0.02 * (SELECT any_value(h.docs) FROM hosts h WHERE h.source IS NOT DISTINCT FROM l.source)),
+freq AS (SELECT l.source, l.norm FROM lines l GROUP BY l.source, l.norm HAVING count(DISTINCT l.text) > least(1000, greatest(10, 0.02 * (SELECT any_value(h.docs) FROM hosts h WHERE h.source IS NOT DISTINCT FROM l.source)))),
 gone AS (SELECT l.rid, sum(l.n)::BIGINT AS n, count(DISTINCT l.norm)::BIGINT AS k FROM lines l JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY l.rid),
 b AS (SELECT d.rid, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols FROM d),
 j AS (SELECT b.*, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, (b.n_words - coalesce(gone.n, 0))::BIGINT AS n_words_left, coalesce(gone.k, 0)::BIGINT AS n_frequent_lines
