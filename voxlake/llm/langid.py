@@ -12,8 +12,11 @@ prediction is marked rejected.
 
 Defined results: null texts and texts without a letter are `und`, score 0,
 rejected; rows whose language is null, or whose fold is unknown because doc_id
-is null, aren't learned from; with nothing to learn from every text is `und`.
-Texts of any length are counted whole, in slices.
+is null, aren't learned from; with nothing to learn from every text is `und`;
+equal cosines go to the first centroid, languages in order of their names; repeated rows
+get equal predictions and copies of a text are one text of the fit; columns of docs named
+lang_pred, score or rejected are replaced. Texts of any length are counted whole, in slices.
+More than `max_langs` languages are refused: each has centroids in the broadcast model.
 """
 
 from __future__ import annotations
@@ -30,39 +33,43 @@ DIM = 1 << BITS
 SLICE = 1 << 18
 
 
-def code_points(text: str) -> np.ndarray:
-    """Case-folded code points; every run of non-letters is one blank, also at both ends."""
-    low = text.lower()
+def letters_of(low: str) -> np.ndarray:
+    """Code points of case-folded text, 0 for what isn't a letter."""
     x = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ascii_letter = (x >= 97) & (x <= 122)
-    letter = ascii_letter.copy()
+    letter = (x >= 97) & (x <= 122)
     high = np.flatnonzero(x > 127)
     if len(high):
         kinds, at = np.unique(x[high], return_inverse=True)
         letter[high] = np.array([chr(k).isalpha() for k in kinds])[at]
-    if not letter.any():
-        return np.empty(0, np.uint32)
-    x = np.concatenate(([0], np.where(letter, x, 0), [0])).astype(np.uint32)
-    return x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]
+    return np.where(letter, x, 0).astype(np.uint32)
 
 
 def counts_of(text: str | None) -> np.ndarray | None:
-    """n-gram counts of a whole text, or None without a letter."""
+    """n-gram counts of a whole text, or None without a letter. Every run of non-letters is one blank, also at both ends.
+
+    Long texts are counted slice by slice, the last two code points going on to the next, which gives the counts of the whole.
+    """
     if not text:
         return None
-    out = np.zeros(DIM, np.float32)
-    some = False
-    for s in range(0, len(text), SLICE):
-        x = code_points(text[max(0, s - 2) : s + SLICE]).astype(np.uint64)
-        if not len(x):
-            continue
-        some = True
-        h = x + np.uint64(1)
+    low = text.lower()
+    out = np.zeros(DIM, np.float64)
+    some, tail = False, np.empty(0, np.uint64)
+    for s in range(0, len(low) + 1, SLICE):
+        x = letters_of(low[s : s + SLICE])
+        some = some or bool(x.any())
+        ends = [np.zeros(1, np.uint32)] * (s + SLICE > len(low))
+        x = np.concatenate((np.zeros(int(s == 0), np.uint32), x, *ends))
+        before = np.concatenate((tail[-1:].astype(np.uint32) if len(tail) else np.ones(1, np.uint32), x[:-1])) if len(x) else x
+        x = x[(x != 0) | (before != 0)].astype(np.uint64)
+        whole = np.concatenate((tail, x))
+        h = whole + np.uint64(1)
         for n in range(3):
             if n:
-                h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[n:] + np.uint64(1)
-            out += np.bincount((mix(h) >> np.uint64(64 - BITS)).astype(np.int64), minlength=DIM)
-    return out if some else None
+                h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + whole[n:] + np.uint64(1)
+            new = h[max(0, len(h) - len(x)) :] if len(x) else h[:0]  # those that end in this slice
+            out += np.bincount((mix(new) >> np.uint64(64 - BITS)).astype(np.int64), minlength=DIM)
+        tail = whole[-2:]
+    return out.astype(np.float32) if some else None
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -113,10 +120,13 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", fit_docs: int = 600, per_lang: int = 4, reject_quantile: float = 0.999, slack: float = 0.05) -> dict | None:
+def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", fit_docs: int = 600, per_lang: int = 4, reject_quantile: float = 0.999, slack: float = 0.05, max_langs: int = 500) -> dict | None:
     """The model: idf, centroids, their languages and radii. train holds (text, lang), lang not null."""
     train = train.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r[0]: r[1] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    found = train.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()  # one row a language
+    if len(found) > max_langs:
+        raise ValueError(f"more than {max_langs} languages; give a coarser column or raise max_langs")
+    sizes = {r[0]: r[1] for r in found}
     if not sizes:
         return None
     idf_df, n = document_frequency(train)
@@ -127,7 +137,8 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", fit_docs: i
     rate = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, fit_docs / sizes[k])))])
     ordinal = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(i))])
     u = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    some = train.where(u < F.element_at(rate, F.col("lang"))).select(F.element_at(ordinal, F.col("lang")).cast("long").alias("key"), "text")
+    # A text's hash decides, so all copies of a chosen text come along: one of them is learned from.
+    some = train.where(u < F.element_at(rate, F.col("lang"))).dropDuplicates(["lang", "text"]).select(F.element_at(ordinal, F.col("lang")).cast("long").alias("key"), "text")
 
     def learn(key, t):
         v = [c for c in map(counts_of, t.column("text").to_pylist()) if c is not None]
@@ -152,6 +163,7 @@ def predict(docs: DataFrame, model: dict | None, *, text: str = "text") -> DataF
     """docs plus lang_pred, score, rejected. The model is broadcast: DIM numbers a centroid."""
     from pyspark.sql import types as T
 
+    docs = docs.drop("lang_pred", "score", "rejected")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import langid, lines, minhash, mixing, packing, pii, quality, sql, substrings, tokens, topk
 
@@ -44,7 +45,8 @@ def op8_exact_top_k(spark, sf_dir):
 
 
 def op9_mixing(spark, sf_dir):
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "copies")
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), max_repeat=1.1)
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "copies")
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -5,14 +5,17 @@ answer (k, and one more for a query that is itself in the class), so a vector
 with very many copies costs one row. Classes are dealt into blocks by falling
 length. The first block, of fixed size, gives every query a first k-th score;
 a query then meets a block only if |q| * (largest length of the block) can
-still reach that score. Inside a block, rows are processed by falling length in
+still reach that score. The queries that reach a block are dealt into slices of fixed size,
+so a task holds one block and one slice. Inside a block, rows are processed by falling length in
 chunks: rotated leading coordinates are multiplied first, and the rest, bounded
 by |q_rest| * |c_rest|, only where the bound reaches the k-th score so far.
 Scores are exact integers.
 
 Defined results: null vectors, vectors with null or non-finite components, and
-null ids take no part; a repeated (id, vector) row counts once; vectors of another dimension than the query's are not
-its candidates; ties go to the smaller id; fewer than k candidates give all.
+null ids take no part; a repeated (id, vector) row counts once, and rows of one id with different vectors are
+candidates (and queries) each; vectors of another dimension than the query's are not its candidates; ties go
+to the smaller id; fewer than k candidates give all; an empty table gives none; extra columns are ignored. Components so
+large that a product could leave 64 bits, and more than `max_dims` different dimensions, are errors.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import by_groups, materialize
 
 BLOCK = 8192
+SLICE = 2048
 CHUNK = 1024
 SLACK = 1e-6
 RESULT = "query_id long, rank int, vec_id long, score long"
@@ -110,16 +114,23 @@ def _scores(qi: np.ndarray, ci: np.ndarray, rows: np.ndarray, cols: np.ndarray)
     return out
 
 
-def exact_top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, block: int = BLOCK) -> DataFrame:
+def exact_top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, block: int = BLOCK, slice_: int = SLICE, max_dims: int = 64) -> DataFrame:
     """The k best candidates of every query (ids divisible by `every`) by integer inner product."""
     spark = vectors.sparkSession
     rows = materialize(quantized(vectors, scale), "vectors")
     classes = smallest_ids(rows, k + 1)
-    dims = [r[0] for r in classes.select(F.size("x").alias("d")).distinct().collect()]
+    most = F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))
+    found = classes.groupBy(F.size("x").alias("d")).agg(F.max(most).alias("m")).limit(max_dims + 1).collect()  # one row a dimension
+    if len(found) > max_dims:
+        raise ValueError(f"vectors of more than {max_dims} dimensions in one table")
+    for d, m in found:
+        if d and d * int(m) ** 2 >= 1 << 62:
+            raise OverflowError(f"components up to {m} in {d} dimensions: an inner product could leave 64 bits")
+    dims = sorted(d for d, _ in found)
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     out = None
     for dim in dims:
-        own = _one_dim(spark, classes.where(F.size("x") == dim), queries.where(F.size("x") == dim), dim, k, block)
+        own = _one_dim(spark, classes.where(F.size("x") == dim), queries.where(F.size("x") == dim), dim, k, block, slice_)
         out = own if out is None else out.unionByName(own)
     return out if out is not None else spark.createDataFrame([], RESULT)
 
@@ -143,7 +154,7 @@ def smallest_ids(rows: DataFrame, n: int) -> DataFrame:
     return found.select("x", "ids")
 
 
-def _one_dim(spark, classes: DataFrame, queries: DataFrame, dim: int, k: int, block: int) -> DataFrame:
+def _one_dim(spark, classes: DataFrame, queries: DataFrame, dim: int, k: int, block: int, slice_: int) -> DataFrame:
     if dim == 0:
         return spark.createDataFrame([], RESULT)
     rotation = rotation_of(classes, dim)
@@ -185,23 +196,36 @@ def _one_dim(spark, classes: DataFrame, queries: DataFrame, dim: int, k: int, bl
 
     found_ddl = "x array<long>, best array<struct<s:long,v:long>>"
     least = float(np.iinfo(np.int64).min // 4)
-    cands = dealt.select(F.col("block").alias("key"), F.lit(0).alias("side"), "x", "ids", F.lit(least).alias("floor"))
-    no_ids = F.lit(None).cast("array<long>")
-    first = wanted.select(F.lit(min(tops, default=0)).cast("long").alias("key"), F.lit(1).alias("side"), "x", no_ids.alias("ids"), F.lit(least).alias("floor"))
-    slices = max(1, min(n_blocks, 64))
-    # Round 1: the longest block, copied to as many tasks as there are slices of queries.
-    spread = cands.where(F.col("key") == min(tops, default=0)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    mine = first.withColumn("slice", F.pmod(F.xxhash64("x"), F.lit(slices)).cast("int"))
-    r1 = spread.unionByName(mine).withColumn("key", F.col("slice").cast("long")).drop("slice")
-    found = materialize(by_groups(r1, search(False), found_ddl), "top")
+    first = min(tops, default=0)
+    cands = dealt.select("block", F.lit(0).alias("side"), "x", "ids", F.lit(least).alias("floor"))
+
+    def by_slices(asked: DataFrame, with_floor: bool) -> DataFrame:
+        """asked: (block, x, floor). A block goes to as many tasks as there are slices of the queries that reach it."""
+        slices = asked.groupBy("block").agg(F.ceil(F.count("*") / slice_).cast("long").alias("m"))
+        slices = materialize(slices, "slices")  # one row a block
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("slice")
+        spread = cands.join(slices, "block").select("block", "side", "x", "ids", "floor", every)
+        mine = asked.join(slices, "block").select("block", F.lit(1).alias("side"), "x", F.lit(None).cast("array<long>").alias("ids"), "floor", F.pmod(F.xxhash64("x"), "m").alias("slice"))
+        both = spread.unionByName(mine).withColumn("key", F.xxhash64("block", "slice")).drop("block", "slice")
+        return by_groups(both, search(with_floor), found_ddl)
+
+    found = materialize(by_slices(wanted.select(F.lit(first).cast("long").alias("block"), "x", F.lit(least).alias("floor")), False), "top")
     if n_blocks > 1:
         score = F.when(F.size("best") >= keep, F.element_at("best", keep)["s"].cast("double")).otherwise(F.lit(least))
         floors = wanted.join(found.select("x", score.alias("floor")), "x", "left").withColumn("floor", F.coalesce("floor", F.lit(least)))
-        table = F.array(*[F.struct(F.lit(int(b)).cast("long").alias("b"), F.lit(float(t)).alias("t")) for b, t in sorted(tops.items()) if b != min(tops)])
-        reach = F.filter(table, lambda r: F.col("len") * r["t"] * (1 + SLACK) + SLACK >= F.col("floor"))
-        rest = floors.withColumn("r", F.explode(reach)).select(F.col("r.b").alias("key"), F.lit(1).alias("side"), "x", no_ids.alias("ids"), "floor")
-        r2 = by_groups(cands.where(F.col("key") != min(tops)).unionByName(rest), search(True), found_ddl)
-        found = found.unionByName(r2)
+        ids, lengths = np.array(sorted(tops)), np.array([tops[b] for b in sorted(tops)])  # 16 bytes a block; lengths fall
+
+        def reached(it):
+            for b in it:
+                own, low = b.column(b.schema.get_field_index("len")).to_numpy(), b.column(b.schema.get_field_index("floor")).to_numpy()
+                # |q| * length >= floor, with room for rounding; a vector of length 0 scores 0 everywhere.
+                least_length = np.where(low > 0, (low - SLACK) / np.maximum(own, 1e-300) * (1 - SLACK), 0)
+                n = np.searchsorted(-lengths, -least_length, side="right")
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("x")), b.column(b.schema.get_field_index("floor")), pa.array([ids[1:m].tolist() for m in n], pa.list_(pa.int64()))], names=["x", "floor", "blocks"])
+
+        rest = floors.select("x", "len", "floor").mapInArrow(reached, "x array<long>, floor double, blocks array<long>")
+        rest = materialize(rest.select("x", "floor", F.explode("blocks").alias("block")), "asked")
+        found = found.unionByName(by_slices(rest, True))
     ranked = found.groupBy("x").agg(F.flatten(F.collect_list("best")).alias("best"))
     order = F.slice(F.array_sort(F.transform("best", lambda b: F.struct((-b["s"]).alias("s"), b["v"].alias("v")))), 1, keep)
     ranked = ranked.select("x", order.alias("best"))
