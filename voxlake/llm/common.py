@@ -213,20 +213,27 @@ def by_groups(df: DataFrame, each: Callable[[object, pa.Table], Iterator[tuple]]
 
 # ---------------------------------------------------------------- filters
 
-#: Bits of a filter a key, and the most bits of one: 2^27 bits, 16 MB, whatever the input's size.
-BITS_A_KEY = 12
-MOST_BITS = 1 << 27
+#: Bits of a filter a key, and the least and the most bits of one: 2^27 bits are 16 MB, whatever the input's size.
+BITS_A_KEY, LEAST_BITS, MOST_BITS, PROBES = 32, 1 << 20, 1 << 27, 4
+
+
+def _places(h, mask):
+    """The bits of a 64-bit hash: steps of its upper half from its lower one."""
+    return [(h + i * (h >> 32)) & mask for i in range(PROBES)]
 
 
 def bit_filter(df: DataFrame, col: str) -> bytes:
-    """A one-hash Bloom filter over a column of 64-bit hashes, sized by the number of its rows (df should be a scratch table).
+    """A Bloom filter over a column of 64-bit hashes, sized by the number of its rows (df should be a scratch table).
 
-    It saves shuffling rows that can't match. From about ten million keys on it is as large as it gets and lets
-    more rows pass; the exact join behind it decides at every size.
+    It saves shuffling rows that can't match: two of 10,000 others pass. From four million keys on it is as large as it
+    gets and lets more rows pass; the exact join behind it decides at every size.
     """
-    bits = 1 << max(12, min(MOST_BITS, BITS_A_KEY * max(1, df.count())).bit_length() - 1)
-    at = F.pmod(F.col(col), F.lit(bits))
-    rows = df.select((at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator()
+    bits = 1 << max(LEAST_BITS, min(MOST_BITS, BITS_A_KEY * df.count())).bit_length() - 1
+    step = F.call_function("shiftright", F.col(col), F.lit(32))
+    low = F.col(col).bitwiseAND(F.lit(bits - 1))
+    at = F.explode(F.array(*[(low + F.lit(i).cast("long") * step).bitwiseAND(F.lit(bits - 1)) for i in range(PROBES)]))
+    word, bit = (F.col("at") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    rows = df.select(at.alias("at")).select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator()
     words = np.zeros(bits // 64, np.int64)
     for w, b in rows:
         words[w] = b
@@ -235,8 +242,7 @@ def bit_filter(df: DataFrame, col: str) -> bytes:
 
 def in_filter(bits: np.ndarray, h: int) -> bool:
     """Whether a hash may be among those of bit_filter()."""
-    at = h & (len(bits) * 64 - 1)
-    return bool((int(bits[at >> 6]) >> (at & 63)) & 1)
+    return all((int(bits[at >> 6]) >> (at & 63)) & 1 for at in _places(h, len(bits) * 64 - 1))
 
 
 # ---------------------------------------------------------------- connected components
@@ -245,7 +251,7 @@ def in_filter(bits: np.ndarray, h: int) -> bool:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): comp is the smallest node reachable. Label spreading with pointer jumping.
 
-    Each round is an aggregate (combined before its shuffle) and a join that AQE
+    Each round is an aggregate (combined before its shuffle) and joins that AQE
     may split; labels are written to the shared folder between rounds, and those
     of the round before are removed.
     """
@@ -253,13 +259,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        new = labels.join(near, "node", "left").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        new = materialize(new, "labels")
-        up = new.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        jumped = materialize(new.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"), "old"), "labels")
-        release(labels, new)
-        labels = jumped
+        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("na")).agg(F.min("comp").alias("m"))
+        up = labels.select(F.col("node").alias("un"), F.col("comp").alias("top"))
+        new = labels.join(up, labels.comp == up.un, "left").join(near, labels.node == near.na, "left")
+        new = materialize(new.select("node", F.least("comp", "top", "m").alias("comp"), F.col("comp").alias("old")), "labels")
+        release(labels)
+        labels = new
         if not labels.where("comp <> old").limit(1).count():
             release(both)
             out = labels.select("node", "comp")

@@ -45,10 +45,9 @@ PART = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{2,}")
-#: A row for each document and, in the same table, rows of term counts (t, n; `of`: the text's key if the text has copies).
 FOUND = (
     "doc_id long, tkey long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<k:int,s:int,e:int>>, "
-    "entities array<long>, terms array<long>, t long, n long, of long"
+    "entities array<long>, terms array<long>"
 )
 HELD = 200_000
 
@@ -156,53 +155,77 @@ def with_key(docs: DataFrame, name: str = "tkey") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def scanned(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """One pass over the texts: spans, entities, the terms of texts with entities, and in how many texts of the task each term is.
+def scanned(docs: DataFrame) -> DataFrame:
+    """Spans and entities of every document, and the terms of texts with entities (once a task for copies)."""
 
-    Texts of one row are counted where they are; those that may have copies send their key along, once a task.
-    """
-    copied = bit_filter(texts.where("rows > 1"), "tkey")
     schema = arrow_schema(FOUND)
-    no_count, no_doc = (None,) * 3, (None,) * 9
 
     def run(it):
-        twice = np.frombuffer(copied, np.int64)
+        seen: set[int] = set()
 
         def rows():
-            once: dict[int, int] = {}
-            hashes: dict[str, int] = {}
-            seen: set[int] = set()
             for b in pieces(it):
                 for doc_id, key, text in zip(*(c.to_pylist() for c in b.columns)):
                     t = text or ""
                     base = base_spans(t)
                     kinds = np.bincount([k for k, _, _ in base], minlength=4)
-                    again = key in seen
                     own = []
-                    if t and not again:
-                        for w in term_set(t, base):
-                            h = hashes.get(w)
-                            if h is None:
-                                h = hashes[w] = hash64(w.encode())
-                            own.append(h)
-                    yield doc_id, key, *map(int, kinds), [{"k": k, "s": s, "e": e} for k, s, e in base], sorted(entities_of(t, base)), own if base else [], *no_count
+                    if base and key not in seen:
+                        seen.add(key)
+                        own = [hash64(w.encode()) for w in term_set(t, base)]
+                    yield doc_id, key, *map(int, kinds), [{"k": k, "s": s, "e": e} for k, s, e in base], sorted(entities_of(t, base)), own
+
+        yield from batches_of(rows(), schema)
+
+    return materialize(docs.select("doc_id", "tkey", "text").mapInArrow(run, FOUND), "pii")
+
+
+def term_frequency(docs: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(t, n_t): distinct texts of the whole corpus that hold each of the terms asked for.
+
+    Texts of one row are counted where they are; those that may have copies send their key along, once a task.
+    """
+    held, copied = bit_filter(asked, "t"), bit_filter(texts.where("rows > 1"), "tkey")
+    ddl = "t long, n long, of long"
+    schema = arrow_schema(ddl)
+
+    def run(it):
+        bits, twice = np.frombuffer(held, np.int64), np.frombuffer(copied, np.int64)
+
+        def rows():
+            once: dict[int, int] = {}
+            hashes: dict[str, int | None] = {}
+            seen: set[int] = set()
+            for b in pieces(it):
+                for key, text in zip(*(c.to_pylist() for c in b.columns)):
+                    if not text or key in seen:
+                        continue
+                    own = []
+                    for w in term_set(text, base_spans(text)):
+                        if w not in hashes:
+                            h = hash64(w.encode())
+                            hashes[w] = h if in_filter(bits, h) else None
+                        if hashes[w] is not None:
+                            own.append(hashes[w])
                     if in_filter(twice, key):
-                        if not again:
-                            seen.add(key)
-                            yield from ((*no_doc, h, 1, key) for h in own)
+                        seen.add(key)
+                        yield from ((h, 1, key) for h in own)
                     else:
                         for h in own:
                             once[h] = once.get(h, 0) + 1
                     if len(hashes) > HELD:
                         hashes.clear()
                     if len(once) > HELD:
-                        yield from ((*no_doc, h, n, None) for h, n in once.items())
+                        yield from ((h, n, None) for h, n in once.items())
                         once = {}
-            yield from ((*no_doc, h, n, None) for h, n in once.items())
+            yield from ((h, n, None) for h, n in once.items())
 
-        yield from batches_of(rows(), schema)
+        yield from batches_of(rows(), schema, 65536)
 
-    return materialize(docs.select("doc_id", "tkey", "text").mapInArrow(run, FOUND), "pii")
+    counts = materialize(docs.select("tkey", "text").mapInArrow(run, ddl), "counts")
+    once = counts.where("of is null").select("t", "n")
+    copies = counts.where("of is not null").select("t", "of").distinct().select("t", F.lit(1).cast("long").alias("n"))
+    return once.unionByName(copies).groupBy("t").agg(F.sum("n").alias("n_t")).join(asked, "t", "left_semi")
 
 
 def disclosures(docs: DataFrame, *, support: int = 3, sigmas: float = 3.0, generalise: float = 0.7, remove: float = 0.95) -> DataFrame:
@@ -210,20 +233,15 @@ def disclosures(docs: DataFrame, *, support: int = 3, sigmas: float = 3.0, gener
     source = with_key(docs.select(F.col("doc_id").cast("long"), "text"))
     texts = materialize(source.groupBy("tkey").agg(F.count("*").alias("rows")), "texts")
     total = float(max(1, texts.count()))
-    table = scanned(source, texts)
-    found = table.where("t is null").drop("t", "n", "of")
+    found = scanned(source)
     holds = found.select("tkey", F.explode("entities").alias("c")).distinct()
     n_c = materialize(holds.groupBy("c").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= support), "entities")
+    held = materialize(found.where("size(terms) > 0").select("tkey", F.explode("terms").alias("t")).distinct(), "terms")
+    asked = materialize(held.groupBy("t").agg(F.count("*").alias("n_h")).where(F.col("n_h") >= support).select("t"), "asked")
     # n_ct is at most n_c: a term in more texts than this reaches `generalise` with no entity of so many texts.
     most = F.lit(total ** (1 - generalise)) * F.col("n_c").cast("double") ** F.lit(generalise) * (1 + 1e-9)
     top = n_c.agg(F.max(most)).first()[0] or 0.0
-    held = materialize(found.where("size(terms) > 0").select("tkey", F.explode("terms").alias("t")).distinct(), "terms")
-    asked = materialize(held.groupBy("t").agg(F.count("*").alias("n_h")).where(F.col("n_h") >= support).select("t"), "asked")
-    counts = table.where("t is not null")
-    once = counts.where("of is null").select("t", "n")
-    copies = counts.where("of is not null").select("t", "of").distinct().select("t", F.lit(1).cast("long").alias("n"))
-    n_t = once.unionByName(copies).groupBy("t").agg(F.sum("n").alias("n_t")).where(F.col("n_t") <= top)
-    n_t = materialize(n_t.join(asked, "t", "left_semi"), "frequency")
+    n_t = materialize(term_frequency(source, asked, texts).where(F.col("n_t") <= top), "frequency")
     pairs = held.join(n_t, "t").join(holds.join(n_c, "c"), "tkey").where(F.col("n_t") <= most)
     pairs = pairs.groupBy("c", "t", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
     chance = F.col("n_c") * F.col("n_t") / total

