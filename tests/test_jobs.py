@@ -32,7 +32,11 @@ def test_find_and_lists(spark, folder, tmp_path):
     assert names == ["plain", "s0.dcm", "s1.dcm", "s2.dcm"]
     listed = tmp_path / "list.txt"
     listed.write_text(f"{folder}/s1.dcm\n\n{folder}/s0.dcm\n")
-    assert S.load_source(spark, str(listed)).count() == 2
+    got = S.load_source(spark, str(listed)).orderBy("n").collect()
+    assert [r.path.rpartition("/")[2] for r in got] == ["s1.dcm", "s0.dcm"] and got[0].content == (folder / "s1.dcm").read_bytes()
+    (tmp_path / "none.txt").write_text("\n \n")
+    with pytest.raises(ValueError, match="lists no files"):
+        S.load_source(spark, str(tmp_path / "none.txt"))
     assert S.with_inode(S.find_dicoms(spark, str(folder))).where("inode > 0").count() == 4
 
 
@@ -43,6 +47,7 @@ def test_preprocess_manifest_stats_resize(spark, folder, tmp_path):
     t = tiff.Tiff((out / "1.9" / "1.9.1" / "1.2.3.0.tiff").read_bytes())
     assert t.page(0).size == (16, 16) and t.preparation().resolution is not None
     m = jobs.run_manifest(spark, str(out), str(tmp_path / "m.parquet")).collect()
+    assert (tmp_path / "m.parquet").is_file() and spark.read.parquet(str(tmp_path / "m.parquet")).collect() == m
     assert [(r.study_instance_uid, r.sop_instance_uid, r.width, r.channels, r.num_frames) for r in m] == [("1.9", f"1.2.3.{z}", 16, 1, 1) for z in (0, 1, 2, 7)]
     s = jobs.run_stats(spark, str(out)).collect()
     px = np.concatenate([tiff.decode(p.read_bytes())[0].ravel() for p in out.rglob("*.tiff")]).astype(float)

@@ -1,7 +1,8 @@
-"""A DICOM reader (implicit and explicit little endian, nested sequences, native pixels, RLE) and a small writer."""
+"""A DICOM reader (implicit and explicit little endian, nested sequences, native pixels, RLE, JPEG) and a small writer."""
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -9,7 +10,12 @@ import numpy as np
 
 from voxlake.errors import ImageError
 
+from . import jpeg
+from .tiff import unpack_bits
+
 IMPLICIT, EXPLICIT, DEFLATED, RLE = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.5"
+BIG_ENDIAN = "1.2.840.10008.1.2.2"
+JPEG = ("1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.51", "1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70")
 #: The attributes used here, their tags and value representations.
 ATTRIBUTES = {
     "TransferSyntaxUID": (0x0002, 0x0010, "UI"), "MediaStorageSOPClassUID": (0x0002, 0x0002, "UI"), "SOPClassUID": (0x0008, 0x0016, "UI"), "SOPInstanceUID": (0x0008, 0x0018, "UI"), "Modality": (0x0008, 0x0060, "CS"),
@@ -59,7 +65,7 @@ class Dataset(dict):
 
     def whole(self, name: str) -> int | None:
         v = self.number(name)
-        return int(v) if v is not None else None
+        return int(v) if v is not None and math.isfinite(v) else None
 
     def items_of(self, name: str) -> list[Dataset]:
         v = self.get(name)
@@ -128,13 +134,15 @@ def parse(content: bytes) -> Dataset:
         raise ImageError("NOT_DICOM", "no DICM at byte 128")
     try:
         return _parse(content)
-    except (struct.error, UnicodeDecodeError, zlib.error) as e:
+    except (struct.error, UnicodeDecodeError, zlib.error, RecursionError) as e:
         raise ImageError("INVALID_DICOM", str(e)) from e
 
 
 def _parse(content: bytes) -> Dataset:
     meta, at = _elements(content, 132, len(content), True, meta=True)
     syntax = meta.text("TransferSyntaxUID") or EXPLICIT
+    if syntax == BIG_ENDIAN:
+        raise ImageError("UNSUPPORTED_TRANSFER_SYNTAX", syntax)
     if syntax == DEFLATED:
         content, at = zlib.decompress(content[at:], -15), 0
     ds, _ = _elements(content, at, len(content), syntax != IMPLICIT)
@@ -145,8 +153,11 @@ def _parse(content: bytes) -> Dataset:
 
 
 def frame_count(ds: Dataset) -> int:
+    """NumberOfFrames; 1 where it is absent or empty, an error where it isn't a count."""
     n = ds.whole("NumberOfFrames")
     if n is None:
+        if ds.text("NumberOfFrames"):
+            raise ImageError("INVALID_NUMBER_OF_FRAMES", ds.text("NumberOfFrames"))
         return 1
     if n < 0:
         raise ImageError("INVALID_NUMBER_OF_FRAMES", str(n))
@@ -155,17 +166,64 @@ def frame_count(ds: Dataset) -> int:
     return n
 
 
-def _rle(fragment: bytes, size: int, planes: int) -> bytes:
-    from .tiff import unpack_bits
+def frame_bytes(ds: Dataset) -> int | None:
+    """Bytes of one native frame, or None without a size."""
+    rows, cols, n, bits = (ds.whole(k) for k in ("Rows", "Columns", "SamplesPerPixel", "BitsAllocated"))
+    return rows * cols * (n or 1) * -(-bits // 8) if rows and cols and bits else None
 
+
+def _rle(fragment: bytes, size: int, planes: int) -> bytes:
+    if len(fragment) < 64:
+        raise ImageError("INVALID_RLE", "no segment table")
     head = struct.unpack_from("<16I", fragment)
-    ends = [*head[2 : head[0] + 1], len(fragment)]
+    if head[0] != planes or any(not 64 <= at <= len(fragment) for at in head[1 : planes + 1]):
+        raise ImageError("INVALID_RLE", f"{head[0]} segments for {planes} planes, or one beyond the frame")
+    ends = [*head[2 : planes + 1], len(fragment)]
     out = np.empty((size, planes), np.uint8)
     for i in range(planes):
-        out[:, i] = np.frombuffer(unpack_bits(fragment[head[1 + i] : ends[i]], size), np.uint8)
+        part = unpack_bits(fragment[head[1 + i] : ends[i]], size)
+        if len(part) < size:
+            raise ImageError("INVALID_RLE", "a segment ends too early")
+        out[:, i] = np.frombuffer(part, np.uint8, size)
     return out.tobytes()
 
 
+def _fragments(data: list[bytes], i: int, frames: int) -> bytes:
+    """The encapsulated bytes of frame i: its own fragment, or those that the offset table gives it."""
+    table, parts = data[0] if data else b"", data[1:]
+    if i >= frames or not parts:
+        raise ImageError("FRAME_OUT_OF_RANGE", f"frame {i}", frame_index=i)
+    if frames == 1:
+        return b"".join(parts)
+    if len(parts) == frames:
+        return parts[i]
+    offsets = [v for (v,) in struct.iter_unpack("<I", table[: len(table) // 4 * 4])]
+    if len(offsets) != frames:
+        raise ImageError("INVALID_FRAGMENTS", f"{len(parts)} fragments for {frames} frames without an offset table")
+    ends = [*offsets[1:], UNDEFINED]
+    out, at = [], 0
+    for p in parts:
+        if offsets[i] <= at < ends[i]:
+            out.append(p)
+        at += len(p) + 8
+    return b"".join(out)
+
+
+def _encapsulated(ds: Dataset, data: list[bytes], i: int, rows: int, cols: int, n: int, dtype: np.dtype) -> np.ndarray:
+    syntax, frames = ds.text("TransferSyntaxUID"), frame_count(ds)
+    if syntax == RLE:
+        planes = n * dtype.itemsize
+        raw = np.frombuffer(_rle(_fragments(data, i, frames), rows * cols, planes), np.uint8).reshape(rows * cols, n, dtype.itemsize)
+        return np.ascontiguousarray(raw[:, :, ::-1]).view(dtype).reshape(rows, cols, n)
+    if syntax not in JPEG:
+        raise ImageError("UNSUPPORTED_TRANSFER_SYNTAX", syntax or "")
+    img = jpeg.decode(_fragments(data, i, frames), rgb=ds.text("PhotometricInterpretation") == "RGB")
+    img = img.reshape(*img.shape[:2], -1)
+    if img.shape != (rows, cols, n) or img.itemsize > dtype.itemsize:
+        raise ImageError("INVALID_JPEG", f"an image of {img.shape} for {(rows, cols, n)}")
+    return img.astype(f"<u{dtype.itemsize}").view(dtype)
+
+
 def stored_frame(ds: Dataset, i: int) -> np.ndarray:
     """Stored samples of frame i, as integers of their type; (rows, columns) or (rows, columns, samples)."""
     rows, cols, n, bits = (ds.whole(k) for k in ("Rows", "Columns", "SamplesPerPixel", "BitsAllocated"))
@@ -174,21 +232,16 @@ def stored_frame(ds: Dataset, i: int) -> np.ndarray:
         raise ImageError("INVALID_HEADER", "rows, columns and 8 or 16 bits are needed")
     signed = ds.whole("PixelRepresentation") == 1
     dtype = np.dtype(f"<{'i' if signed else 'u'}{bits // 8}")
-    size = rows * cols * n * dtype.itemsize
     data = ds.get("PixelData")
     if isinstance(data, list):
-        if ds.text("TransferSyntaxUID") != RLE:
-            raise ImageError("UNSUPPORTED_TRANSFER_SYNTAX", ds.text("TransferSyntaxUID") or "")
-        planes = n * dtype.itemsize
-        raw = np.frombuffer(_rle(data[i + 1], rows * cols, planes), np.uint8).reshape(rows * cols, n, dtype.itemsize)
-        img = np.ascontiguousarray(raw[:, :, ::-1]).view(dtype).reshape(rows, cols, n)
-        return img[:, :, 0] if n == 1 else img
-    if not isinstance(data, bytes) or (i + 1) * size > len(data):
-        raise ImageError("FRAME_OUT_OF_RANGE", f"frame {i}", frame_index=i)
-    img = np.frombuffer(data, dtype, rows * cols * n, i * size)
-    if n > 1 and ds.whole("PlanarConfiguration") == 1:
-        return np.moveaxis(img.reshape(n, rows, cols), 0, 2)
-    img = img.reshape(rows, cols, n)
+        img = _encapsulated(ds, data, i, rows, cols, n, dtype)
+    else:
+        size = rows * cols * n * dtype.itemsize
+        if not isinstance(data, bytes) or (i + 1) * size > len(data):
+            raise ImageError("FRAME_OUT_OF_RANGE", f"frame {i}", frame_index=i)
+        img = np.frombuffer(data, dtype, rows * cols * n, i * size)
+        planar = n > 1 and ds.whole("PlanarConfiguration") == 1
+        img = np.moveaxis(img.reshape(n, rows, cols), 0, 2) if planar else img.reshape(rows, cols, n)
     stored = ds.whole("BitsStored") or bits
     if stored < bits and not signed:
         img = img & dtype.type((1 << stored) - 1)
@@ -303,6 +356,10 @@ def _body(attrs: dict, explicit: bool) -> bytes:
     out = b""
     for name in sorted(attrs, key=lambda n: ATTRIBUTES[n][:2]):
         g, e, vr = ATTRIBUTES[name]
+        if name == "PixelData" and isinstance(attrs[name], list):
+            items = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, len(p := f + b"\0" * (len(f) % 2))) + p for f in attrs[name])
+            out += struct.pack("<HH2sHI", g, e, b"OB", 0, UNDEFINED) + items + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+            continue
         v = _value(vr, attrs[name], explicit)
         if not explicit:
             head = struct.pack("<HHI", g, e, len(v))

@@ -1,15 +1,17 @@
-"""Command line jobs: preprocess, manifest, validate, traces, combine, stats, voilut, resize."""
+"""Command line jobs: preprocess, series, manifest, validate, traces, combine, stats, voilut, order, resize."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxlake.config import ALIASES, FILTERS, HANDLERS, PADDINGS, Handler, Preprocessor
+from voxlake.errors import ImageError
 from voxlake.functions import paths
+from voxlake.functions.codes import numbers
 from voxlake.functions.coords import CropMap, FlipMap, PadMap, ResizeMap
 from voxlake.operators import ordering, prepare, relational, validation
 from voxlake.sources import files as S
@@ -17,7 +19,9 @@ from voxlake.sources import sinks
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("voxlake").config("spark.sql.execution.arrow.maxRecordsPerBatch", "64").getOrCreate()
+    """Files of hundreds of MB travel one by one: few rows a batch, and a bound on its bytes."""
+    build = SparkSession.builder.appName("voxlake").config("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    return build.config("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20)).getOrCreate()
 
 
 def plain_path(p: str) -> str:
@@ -26,12 +30,26 @@ def plain_path(p: str) -> str:
 
 def run_preprocess(spark: SparkSession, source: str, out: str, cfg: Preprocessor, compression: str = "packbits") -> DataFrame:
     """Prepared TIFF of every file under out/study/series/sop.tiff; files without a study or instance become errors."""
-    made = prepare.preprocess(S.load_source(spark, source), cfg, compression=compression)
+    return written(prepare.preprocess(S.load_source(spark, source), cfg, compression=compression), out)
+
+
+def run_series(spark: SparkSession, source: str, out: str, cfg: Preprocessor, compression: str = "packbits") -> DataFrame:
+    """The single-frame files of each series put in order, prepared together and written as one TIFF; rejected series become errors."""
+    found = S.load_source(spark, source)
+    order = series_positions(found)
+    sound = found.join(order.where("error is null").select("series", "path", "position", "spacing"), "path")
+    made = prepare.preprocess_series(sound, cfg, spacing="spacing", compression=compression)
+    rejected = order.where("error is not null").select("path", "error")
+    return written(made, out).unionByName(rejected)
+
+
+def written(made: DataFrame, out: str) -> DataFrame:
+    """(path, error) of prepared files, whose TIFFs are written."""
     target = paths.output_path(F.lit(plain_path(out)), F.col("study_instance_uid"), F.col("series_instance_uid"), F.col("sop_instance_uid"))
     made = made.withColumn("target", target)
-    written = sinks.write_files(made.where("target is not null"), "target", "tiff")
-    errors = made.where("error_code is not null or target is null").select("path", F.coalesce("error_code", F.lit("NO_OUTPUT_NAME")).alias("error"))
-    return written.select("path", F.lit(None).cast("string").alias("error")).unionByName(errors)
+    done = sinks.write_files(made.where("target is not null"), "target", "tiff")
+    failed = made.where("error_code is not null or target is null").select("path", F.coalesce("error_code", F.lit("NO_OUTPUT_NAME")).alias("error"))
+    return done.select("path", F.lit(None).cast("string").alias("error")).unionByName(failed)
 
 
 def run_manifest(spark: SparkSession, source: str, out: str | None = None) -> DataFrame:
@@ -49,25 +67,34 @@ def run_validate(spark: SparkSession, source: str, decode: bool = True) -> DataF
     checked = validation.validate(prepare.headers(found))
     if decode:
         sound = found.join(checked.where("valid").select("path"), "path", "left_semi")
-        tried = prepare.decode_checks(sound)
-        checked = checked.join(tried, "path", "left")
-        checked = checked.withColumn("valid", F.col("valid") & F.coalesce("decoded", F.lit(True)))
+        checked = validation.with_decode(checked, prepare.decode_checks(sound))
+    else:
+        none = prepare.decode_checks(found.where("false"))
+        checked = validation.with_decode(checked, none, "not asked for")
     return validation.report_json(checked)
 
 
-def run_traces(spark: SparkSession, source: str, traces: str, out: str | None = None) -> DataFrame:
-    """Annotation boxes in the coordinates of prepared TIFFs, whose names are instance identifiers."""
-    info = prepare.tiff_info(S.load_source(spark, source, "tiff")).withColumn("sop_instance_uid", paths.stem(F.col("path")))
+def run_traces(spark: SparkSession, source: str, traces: str, out: str | None = None, previews: str | None = None) -> DataFrame:
+    """Annotation boxes in the coordinates of prepared TIFFs, whose names are instance identifiers; previews: a folder for pictures of them."""
+    found = S.load_source(spark, source, "tiff")
+    sop = paths.stem(F.col("path")).alias("sop_instance_uid")
+    info = prepare.tiff_info(found).select("*", sop)
     j = relational.join_traces(info, S.read_traces(spark, traces))
     at = lambda c, i, d=0: F.coalesce(F.get(c, i), F.lit(d))
     big = F.lit(1 << 40)
     maps = [
-        FlipMap(at("flip", 0, 1 << 40), at("flip", 1, 1 << 40), at("flip", 2) == 1, at("flip", 3) == 1), CropMap(at("crop", 0), at("crop", 1), F.coalesce(F.get("crop", 2), big), F.coalesce(F.get("crop", 3), big)),
+        FlipMap(at("flip", 0, 1 << 40), at("flip", 1, 1 << 40), at("flip", 2) == 1, at("flip", 3) == 1),
+        CropMap(at("crop", 0), at("crop", 1), F.coalesce(F.get("crop", 2), big), F.coalesce(F.get("crop", 3), big)),
         ResizeMap(at("scale", 0, 1.0), at("scale", 1, 1.0)), PadMap(at("padding", 0), at("padding", 1)),
     ]
     table = relational.remap_traces(j, maps, F.col("width"), F.col("height"), ["sop_instance_uid", "trace_hash"])
     if out:
         sinks.write_table(table, out, single=True)
+    if previews:
+        boxes = table.groupBy("sop_instance_uid").agg(F.collect_list(F.struct("x_min", "x_max", "y_min", "y_max")).alias("boxes"))
+        drawn = found.select(sop, "content").join(boxes, "sop_instance_uid")
+        target = F.concat(F.lit(plain_path(previews) + "/"), F.col("sop_instance_uid"), F.lit(".tiff"))
+        sinks.write_files(prepare.previews(drawn.select(target.alias("path"), "content", "boxes"))).count()
     return table
 
 
@@ -97,8 +124,14 @@ def run_combine(spark: SparkSession, source: str, meta: str, out: str) -> DataFr
 
 
 def run_stats(spark: SparkSession, source: str, normalize: bool = False) -> DataFrame:
+    """Mean and deviation of each channel over all files, which must have the same number of channels."""
     parts = prepare.tiff_stats(S.load_source(spark, source, "tiff"), normalize)
-    return relational.merge_stats(parts, ["channel"]).orderBy("channel")
+    merged = relational.merge_stats(parts.withColumn("files", F.lit(1)), ["channel"], also={"files": F.sum("files")})
+    rows = merged.orderBy("channel").collect()  # one row a channel
+    if len({r.files for r in rows}) > 1:
+        held = ", ".join(f"channel {r.channel} in {r.files} files" for r in rows)
+        raise ImageError("CHANNEL_MISMATCH", f"files differ in their number of channels: {held}")
+    return spark.createDataFrame(rows, merged.schema).drop("files").orderBy("channel")
 
 
 def run_voilut(spark: SparkSession, source: str) -> DataFrame:
@@ -122,46 +155,66 @@ def run_resize(spark: SparkSession, source: str, out: str, scale: float, kind: s
 
 def run_order(spark: SparkSession, source: str) -> DataFrame:
     """Order of the files of each series by geometry, else by instance number."""
-    h = prepare.headers(S.load_source(spark, source))
-    from voxlake.functions.codes import numbers
+    return series_positions(S.load_source(spark, source))
 
+
+def series_positions(found: DataFrame) -> DataFrame:
+    """(series, path, position, strategy, spacing, error) of single-frame files (path, content)."""
+    h = prepare.headers(found)
+    text = {"frame_of_reference": "FrameOfReferenceUID", "rows": "Rows", "columns": "Columns", "samples": "SamplesPerPixel", "bits": "BitsAllocated", "photometric": "PhotometricInterpretation"}
     rows = h.select(
-        F.col("SeriesInstanceUID").alias("series"), "path", F.col("FrameOfReferenceUID").alias("frame_of_reference"), F.col("Rows").alias("rows"), F.col("Columns").alias("columns"), F.col("SamplesPerPixel").alias("samples"), F.col("BitsAllocated").alias("bits"),
-        F.col("PhotometricInterpretation").alias("photometric"), F.col("PixelSpacing").alias("pixel_spacing"), numbers(F.col("ImagePositionPatient")).alias("image_position"), numbers(F.col("ImageOrientationPatient")).alias("image_orientation"),
-        F.col("InstanceNumber").try_cast("long").alias("instance_number"), F.col("SpacingBetweenSlices").try_cast("double").alias("spacing_between"), F.coalesce(F.col("NumberOfFrames").try_cast("long"), F.lit(1)).alias("n_frames"), (F.upper("VolumetricProperties") == "SAMPLED").alias("sampled"),
+        F.col("SeriesInstanceUID").alias("series"), "path", *[F.col(c).alias(n) for n, c in text.items()], F.col("PixelSpacing").alias("pixel_spacing"),
+        numbers(F.col("ImagePositionPatient")).alias("image_position"), numbers(F.col("ImageOrientationPatient")).alias("image_orientation"),
+        F.col("InstanceNumber").try_cast("long").alias("instance_number"), F.col("SpacingBetweenSlices").try_cast("double").alias("spacing_between"),
+        F.coalesce(F.col("NumberOfFrames").try_cast("long"), F.lit(1)).alias("n_frames"), (F.upper("VolumetricProperties") == "SAMPLED").alias("sampled"), "error_code",
     )
-    from pyspark.sql import Window
-
     rows = rows.withColumn("idx", F.row_number().over(Window.partitionBy("series").orderBy("path")) - 1)
-    return ordering.series_order(rows).select("series", "path", "position", "strategy", "spacing", "error")
+    out = ordering.series_order(rows)
+    return out.select("series", "path", "position", "strategy", "spacing", F.coalesce("error_code", "error").alias("error"))
+
+
+def preparation_arguments(a: argparse.ArgumentParser) -> None:
+    a.add_argument("source")
+    a.add_argument("output")
+    for flag in ("--crop", "--crop-max", "--components", "--no-padding", "--strict"):
+        a.add_argument(flag, action="store_true")
+    a.add_argument("--border", type=float)
+    a.add_argument("--size", type=lambda v: tuple(map(int, v.split(","))))
+    a.add_argument("--spacing", type=lambda v: (*map(float, v.split(",")), None)[:3])
+    a.add_argument("--filter", default="triangle", choices=[*FILTERS, *ALIASES])
+    a.add_argument("--padding", default="zero", choices=PADDINGS)
+    a.add_argument("--handler", default="keep", choices=HANDLERS)
+    a.add_argument("--skip-start", type=int, default=5)
+    a.add_argument("--skip-end", type=int, default=5)
+    a.add_argument("--target-frames", type=int)
+    a.add_argument("--mip-weight", type=float, default=1.5)
+    a.add_argument("--projection", default="central-slice", choices=("central-slice", "parallel-beam"))
+    a.add_argument("--voi", default="default")
+    a.add_argument("--compression", default="packbits", choices=("none", "packbits", "lzw", "deflate"))
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="voxlake")
     sub = p.add_subparsers(dest="job", required=True)
-    a = sub.add_parser("preprocess")
-    a.add_argument("source"), a.add_argument("output")
-    a.add_argument("--crop", action="store_true"), a.add_argument("--crop-max", action="store_true"), a.add_argument("--components", action="store_true"), a.add_argument("--border", type=float)
-    a.add_argument("--size", type=lambda v: tuple(map(int, v.split(",")))), a.add_argument("--spacing", type=lambda v: (*map(float, v.split(",")), None)[:3])
-    a.add_argument("--filter", default="triangle", choices=[*FILTERS, *ALIASES]), a.add_argument("--padding", default="zero", choices=PADDINGS), a.add_argument("--no-padding", action="store_true")
-    a.add_argument("--handler", default="keep", choices=HANDLERS), a.add_argument("--skip-start", type=int, default=5), a.add_argument("--skip-end", type=int, default=5), a.add_argument("--target-frames", type=int), a.add_argument("--mip-weight", type=float, default=1.5)
-    a.add_argument("--projection", default="central-slice", choices=("central-slice", "parallel-beam")), a.add_argument("--voi", default="default"), a.add_argument("--compression", default="packbits", choices=("none", "packbits", "lzw", "deflate")), a.add_argument("--strict", action="store_true")
-    a = sub.add_parser("manifest")
-    a.add_argument("source"), a.add_argument("output")
-    a = sub.add_parser("validate")
-    a.add_argument("source"), a.add_argument("--decode", default="frame", choices=("none", "frame")), a.add_argument("--quiet", action="store_true")
-    a = sub.add_parser("traces")
-    a.add_argument("source"), a.add_argument("traces"), a.add_argument("output")
-    a = sub.add_parser("combine")
-    a.add_argument("source"), a.add_argument("metadata"), a.add_argument("output")
-    a = sub.add_parser("stats")
-    a.add_argument("source"), a.add_argument("--normalize", action="store_true")
-    a = sub.add_parser("voilut")
-    a.add_argument("source")
-    a = sub.add_parser("order")
-    a.add_argument("source")
-    a = sub.add_parser("resize")
-    a.add_argument("source"), a.add_argument("output"), a.add_argument("scale", type=float), a.add_argument("--filter", default="nearest", choices=[*FILTERS, *ALIASES])
+    for job in ("preprocess", "series"):
+        preparation_arguments(sub.add_parser(job))
+    wanted = {
+        "manifest": ("source", "output"), "validate": ("source",), "traces": ("source", "traces", "output"), "combine": ("source", "metadata", "output"),
+        "stats": ("source",), "voilut": ("source",), "order": ("source",), "resize": ("source", "output"),
+    }
+    jobs = {}
+    for job, names in wanted.items():
+        jobs[job] = sub.add_parser(job)
+        for n in names:
+            jobs[job].add_argument(n)
+    jobs["validate"].add_argument("--decode", default="frame", type=str.lower, choices=("none", "frame"))
+    jobs["validate"].add_argument("--format", default="json", choices=("json", "text"))
+    jobs["validate"].add_argument("--quiet", action="store_true")
+    jobs["validate"].add_argument("--verbose", action="store_true")
+    jobs["traces"].add_argument("--previews")
+    jobs["stats"].add_argument("--normalize", action="store_true")
+    jobs["resize"].add_argument("scale", type=float)
+    jobs["resize"].add_argument("--filter", default="nearest", choices=[*FILTERS, *ALIASES])
     return p
 
 
@@ -175,13 +228,14 @@ def main(argv: list[str] | None = None) -> int:
     """0: done, 1: some file failed, 2: wrong arguments."""
     a = parser().parse_args(argv)
     try:
-        cfg = settings(a) if a.job == "preprocess" else None
+        cfg = settings(a) if a.job in ("preprocess", "series") else None
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
     spark = session()
-    if a.job == "preprocess":
-        done = run_preprocess(spark, a.source, a.output, cfg, a.compression).groupBy(F.col("error").isNotNull().alias("failed")).count().collect()
+    if a.job in ("preprocess", "series"):
+        run = run_preprocess if a.job == "preprocess" else run_series
+        done = run(spark, a.source, a.output, cfg, a.compression).groupBy(F.col("error").isNotNull().alias("failed")).count().collect()
         counts = {r.failed: r["count"] for r in done}
         print(f"{counts.get(False, 0)} written, {counts.get(True, 0)} failed")
         return 0 if counts.get(False) or not counts else 1
@@ -189,13 +243,14 @@ def main(argv: list[str] | None = None) -> int:
         print(run_manifest(spark, a.source, a.output).count(), "files")
     elif a.job == "validate":
         bad = 0
-        for r in run_validate(spark, a.source, a.decode == "frame").select("path", "report", "valid").toLocalIterator():
+        checked = validation.report_text(run_validate(spark, a.source, a.decode == "frame"), a.verbose)
+        for r in checked.select("path", F.col("report" if a.format == "json" else "text").alias("said"), "valid").toLocalIterator():
             bad += not r.valid
-            if not a.quiet:
-                print(r.report)
+            if not a.quiet or a.format == "text" and not r.valid:
+                print(r.said)
         return int(bad > 0)
     elif a.job == "traces":
-        print(run_traces(spark, a.source, a.traces, a.output).count(), "traces")
+        print(run_traces(spark, a.source, a.traces, a.output, a.previews).count(), "traces")
     elif a.job == "combine":
         print(run_combine(spark, a.source, a.metadata, a.output).count(), "stacks")
     elif a.job == "stats":

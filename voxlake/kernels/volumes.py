@@ -58,11 +58,11 @@ def interpolate(frames: Sequence[np.ndarray], target: int) -> list[np.ndarray]:
 
 def blur(x: np.ndarray) -> np.ndarray:
     """[1 4 6 4 1] / 16 in both directions, edges repeated."""
-    k = np.array([1, 4, 6, 4, 1], np.float32) / np.float32(16)
+    k = np.array([1, 4, 6, 4, 1], x.dtype) / x.dtype.type(16)
     for axis in (0, 1):
         p = np.pad(x, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
         n = x.shape[axis]
-        x = sum(k[i] * (p[i : i + n] if axis == 0 else p[:, i : i + n]) for i in range(5)).astype(np.float32)
+        x = sum(k[i] * (p[i : i + n] if axis == 0 else p[:, i : i + n]) for i in range(5))
     return x
 
 
@@ -70,31 +70,31 @@ def upsample(x: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Bilinear with the corners of both grids aligned."""
     for axis in (0, 1):
         n, t = x.shape[axis], shape[axis]
-        p = np.arange(t, dtype=np.float32) * np.float32((n - 1) / (t - 1)) if t > 1 else np.zeros(1, np.float32)
+        p = np.arange(t, dtype=x.dtype) * x.dtype.type((n - 1) / (t - 1)) if t > 1 else np.zeros(1, x.dtype)
         lo = np.minimum(np.floor(p).astype(int), n - 1)
         hi = np.minimum(lo + 1, n - 1)
-        f = (p - lo).astype(np.float32)
-        f = f[:, None] if axis == 0 else f[None]
+        f = p - lo
+        f = (f[:, None] if axis == 0 else f[None]).astype(x.dtype)
         x = np.take(x, lo, axis) * (1 - f) + np.take(x, hi, axis) * f
-    return x.astype(np.float32)
+    return x
 
 
 def bilateral(x: np.ndarray, sigma_s: float = 3.0, sigma_r: float = 0.015) -> np.ndarray:
-    """Edge-keeping blur of values in 0..1; the range weight is read from 2048 steps of the squared difference."""
+    """Edge-keeping blur of values in 0..1; the range weight is read from 2048 steps of the squared difference, taken in f32. Sums are f64."""
     radius = int(np.ceil(2 * sigma_s))
-    steps = np.arange(BINS, dtype=np.float32) / np.float32(BINS - 1)
-    lut = np.exp(-steps / np.float32(2 * sigma_r * sigma_r)).astype(np.float32)
-    p = np.pad(x.astype(np.float32), radius, mode="edge")
+    lut = np.exp(-(np.arange(BINS) / (BINS - 1)) / (2 * sigma_r * sigma_r))
+    x = x.astype(np.float32)
+    p = np.pad(x, radius, mode="edge")
     h, w = x.shape
-    total, norm = np.zeros((h, w), np.float32), np.zeros((h, w), np.float32)
+    total, norm = np.zeros((h, w)), np.zeros((h, w))
     for dy in range(-radius, radius + 1):
         for dx in range(-radius, radius + 1):
             v = p[radius + dy : radius + dy + h, radius + dx : radius + dx + w]
-            d = np.minimum((v - x) ** 2, 1)
-            wgt = np.float32(np.exp(-(dx * dx + dy * dy) / (2 * sigma_s * sigma_s))) * lut[np.floor(d * (BINS - 1) + 0.5).astype(int)]
+            d = np.minimum((v - x) * (v - x), np.float32(1))
+            wgt = np.exp(-(dx * dx + dy * dy) / (2 * sigma_s * sigma_s)) * lut[np.floor(d * np.float32(BINS - 1) + np.float32(0.5)).astype(int)]
             total += v * wgt
             norm += wgt
-    return np.where(norm > 0, total / norm, x).astype(np.float32)
+    return np.where(norm > 0, total / norm, x)
 
 
 def fuse(mip: np.ndarray, centre: np.ndarray, mip_weight: float = 1.5) -> np.ndarray:
@@ -104,8 +104,8 @@ def fuse(mip: np.ndarray, centre: np.ndarray, mip_weight: float = 1.5) -> np.nda
     m, c = bilateral(mip), bilateral(centre)
     em = upsample(blur(m)[::2, ::2], m.shape)
     ec = upsample(blur(c)[::2, ::2], c.shape)
-    out = ec + 2 * ec * ((c - ec) + np.float32(mip_weight) * (m - em))
-    return (np.clip(out, 0, 1) * np.float32(65535)).astype(np.uint16)
+    out = ec + 2 * ec * ((c - ec) + mip_weight * (m - em))
+    return (np.clip(out, 0, 1) * 65535).astype(np.uint16)
 
 
 def laplacian_mip(frames: Sequence[np.ndarray], *, mip_weight: float = 1.5, skip_start: int = 0, skip_end: int = 0, central: str = "parallel-beam") -> np.ndarray:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from voxlake.codec import dicom, tiff
 from voxlake.codec.tiff import Preparation
 from voxlake.config import Handler, Preprocessor
-from voxlake.errors import ImageError
+from voxlake.errors import ImageError, typed
+from voxlake.functions.arrow import schema_of, to_batches
 from voxlake.kernels import images as K
 from voxlake.kernels import volumes as V
 
@@ -202,8 +203,6 @@ def _failed(path, e: ImageError) -> tuple:
 
 def preprocess(files: DataFrame, cfg: Preprocessor | None = None, *, dtype: str | None = None, compression: str | None = None) -> DataFrame:
     """Prepared volume of every file (path, content): shape, samples, what was done, and a TIFF if a compression is given."""
-    from voxlake.functions.arrow import schema_of, to_batches
-
     cfg = cfg or Preprocessor()
     schema = schema_of(OUT)
 
@@ -212,8 +211,10 @@ def preprocess(files: DataFrame, cfg: Preprocessor | None = None, *, dtype: str
             for b in it:
                 for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     try:
-                        frames, done, strategy, order, ds = prepare_file(content, cfg)
-                        yield _row(path, ds, frames, done, strategy, order, dtype, compression)
+                        with typed("INVALID_DICOM"):
+                            frames, done, strategy, order, ds = prepare_file(content, cfg)
+                            row = _row(path, ds, frames, done, strategy, order, dtype, compression)
+                        yield row
                     except ImageError as e:
                         if cfg.strict:
                             raise
@@ -224,44 +225,46 @@ def preprocess(files: DataFrame, cfg: Preprocessor | None = None, *, dtype: str
     return files.select("path", "content").mapInArrow(run, OUT)
 
 
-def preprocess_series(files: DataFrame, cfg: Preprocessor | None = None, *, series: str = "series", position: str = "position", dtype: str | None = None, compression: str | None = None) -> DataFrame:
-    """One row a series: its files (series, position, path, content) in order, prepared together with a common crop, size and padding."""
+def preprocess_series(files: DataFrame, cfg: Preprocessor | None = None, *, series: str = "series", position: str = "position", spacing: str | None = None, dtype: str | None = None, compression: str | None = None) -> DataFrame:
+    """One row a series: its files (series, position, path, content) in order, prepared together with a common crop, size and padding.
+
+    spacing: a column of the distance between files, which the order found.
+    """
     cfg = cfg or Preprocessor()
 
     def one(key, t):
-        from voxlake.functions.arrow import to_batches
-
         t = t.sort_by(position)
         path = t.column("path")[0].as_py()
         try:
             frames, first, flip, res = [], None, False, None
+            stated = t.column(spacing)[0].as_py() if spacing else None
             for i, c in enumerate(t.column("content")):
-                ds = dicom.parse(c.as_py())
-                strategy, order, spacing = order_frames(dicom.frame_rows(ds))
                 try:
-                    frames += [np.ascontiguousarray(dicom.rendered_frame(ds, f, cfg.voi)) for f in order]
+                    with typed("INVALID_DICOM"):
+                        ds = dicom.parse(c.as_py())
+                        _, order, own = order_frames(dicom.frame_rows(ds))
+                        frames += [np.ascontiguousarray(dicom.rendered_frame(ds, f, cfg.voi)) for f in order]
                 except ImageError as e:
                     raise ImageError(e.code, f"input {i}: {e.message}", input_index=i) from e
                 if first is None:
-                    first, flip, res = ds, needs_flip(ds), resolution_of(ds, spacing)
-            frames, done = shape_frames(handle(frames, cfg.handler), cfg, res, flip)
-            row = _row(path, first, frames, done, "series", range(t.num_rows), dtype, compression)
+                    first, flip, res = ds, needs_flip(ds), resolution_of(ds, stated if stated is not None else own)
+            with typed("INVALID_DICOM"):
+                V.same_shape(frames)
+                shaped, done = shape_frames(handle(frames, cfg.handler), cfg, res, flip)
+                row = _row(path, first, shaped, done, "series", range(t.num_rows), dtype, compression)
         except ImageError as e:
             if cfg.strict:
                 raise
             row = _failed(path, e)
         return pa.Table.from_batches(to_batches(iter([row]), schema))
 
-    from voxlake.functions.arrow import schema_of
-
     schema = schema_of(OUT)
-    return files.select(series, position, "path", "content").groupBy(series).applyInArrow(one, OUT)
+    columns = [series, position, "path", "content", *([spacing] if spacing else [])]
+    return files.select(*columns).groupBy(series).applyInArrow(one, OUT)
 
 
 def headers(files: DataFrame) -> DataFrame:
     """Header columns of every file (path, content) for validation, naming and ordering; parse errors become columns."""
-    from voxlake.functions.arrow import schema_of, to_batches
-
     names = [n for n, (_, _, vr) in dicom.ATTRIBUTES.items() if vr not in ("SQ", "OW", "AT") and n != "PixelSpacing"]
     ddl = "path string, " + ", ".join(f"{n} string" for n in names) + ", PixelSpacing array<double>, PixelDataLength long, VOILUTSequenceItems int, present array<string>, error_code string, error_message string"
     schema = schema_of(ddl)
@@ -271,7 +274,8 @@ def headers(files: DataFrame) -> DataFrame:
             for b in it:
                 for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     try:
-                        h = dicom.header_row(dicom.parse(content))
+                        with typed("INVALID_DICOM"):
+                            h = dicom.header_row(dicom.parse(content))
                         yield (path, *[h[n] for n in names], h["PixelSpacing"], h["PixelDataLength"], h["VOILUTSequenceItems"], h["present"], None, None)
                     except ImageError as e:
                         yield (path, *[None] * (len(names) + 4), e.code, e.message)
@@ -282,21 +286,23 @@ def headers(files: DataFrame) -> DataFrame:
 
 
 def decode_checks(files: DataFrame) -> DataFrame:
-    """(path, decoded, error): whether frame 0 decodes. Run it on the files that passed the rules only."""
-    from voxlake.functions.arrow import schema_of, to_batches
-
-    ddl = "path string, decoded boolean, error string"
+    """(path, decoded, code, error, expected_bytes): whether frame 0 decodes. Run it on the files that passed the rules only."""
+    ddl = "path string, decoded boolean, code string, error string, expected_bytes long"
     schema = schema_of(ddl)
 
     def run(it):
         def rows():
             for b in it:
                 for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    expected = None
                     try:
-                        dicom.rendered_frame(dicom.parse(content), 0)
-                        yield path, True, None
+                        with typed("INVALID_DICOM"):
+                            ds = dicom.parse(content)
+                            expected = dicom.frame_bytes(ds)
+                            dicom.rendered_frame(ds, 0)
+                        yield path, True, None, None, expected
                     except ImageError as e:
-                        yield path, False, str(e)
+                        yield path, False, e.code, str(e), expected
 
         yield from to_batches(rows(), schema, 256)
 
@@ -305,8 +311,6 @@ def decode_checks(files: DataFrame) -> DataFrame:
 
 def tiff_info(files: DataFrame) -> DataFrame:
     """width, height, channels, num_frames (0 where unreadable) and the recorded preparation of TIFF files."""
-    from voxlake.functions.arrow import schema_of, to_batches
-
     ddl = "path string, width long, height long, channels long, num_frames long, crop array<int>, scale array<float>, padding array<int>, flip array<int>, resolution array<float>"
     schema = schema_of(ddl)
 
@@ -330,8 +334,6 @@ def tiff_info(files: DataFrame) -> DataFrame:
 
 def tiff_stats(files: DataFrame, normalize: bool = False) -> DataFrame:
     """(path, channel, n, mean, m2) of every TIFF; merge with operators.relational.merge_stats."""
-    from voxlake.functions.arrow import schema_of, to_batches
-
     ddl = "path string, channel int, n long, mean double, m2 double"
     schema = schema_of(ddl)
 
@@ -339,8 +341,9 @@ def tiff_stats(files: DataFrame, normalize: bool = False) -> DataFrame:
         def rows():
             for b in it:
                 for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    t = tiff.Tiff(content)
-                    frames = [t.frame(i) for i in range(t.count())]
+                    with typed("INVALID_TIFF", path):
+                        t = tiff.Tiff(content)
+                        frames = [t.frame(i) for i in range(t.count())]
                     x = np.stack([f[:, :, None] if f.ndim == 2 else f for f in frames]).astype(np.float64)
                     if normalize and frames[0].dtype.kind in "ui":
                         x /= float(np.iinfo(frames[0].dtype).max)
@@ -353,17 +356,8 @@ def tiff_stats(files: DataFrame, normalize: bool = False) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, ddl)
 
 
-def one_channel_count(stats: DataFrame) -> DataFrame:
-    """Raises a row for files whose number of channels differs from the most common one: (path, channels)."""
-    per = stats.groupBy("path").agg((F.max("channel") + 1).alias("channels"))
-    most = per.groupBy("channels").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "channels").limit(1).select(F.col("channels").alias("usual"))
-    return per.join(F.broadcast(most), F.col("channels") != F.col("usual")).select("path", "channels")
-
-
 def load_tiffs(files: DataFrame, frames: list[int] | None = None, dtype: str | None = None) -> DataFrame:
     """(path, shape, dtype, data) of TIFF files, all frames or those asked for."""
-    from voxlake.functions.arrow import schema_of, to_batches
-
     ddl = "path string, shape array<int>, dtype string, data binary"
     schema = schema_of(ddl)
 
@@ -371,7 +365,8 @@ def load_tiffs(files: DataFrame, frames: list[int] | None = None, dtype: str | N
         def rows():
             for b in it:
                 for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    a = tiff.to_array(tiff.decode(content, frames), dtype)
+                    with typed("INVALID_TIFF", path):
+                        a = tiff.to_array(tiff.decode(content, frames), dtype)
                     yield path, list(a.shape), str(a.dtype), a.tobytes()
 
         yield from to_batches(rows(), schema, 8)
@@ -380,7 +375,7 @@ def load_tiffs(files: DataFrame, frames: list[int] | None = None, dtype: str | N
 
 
 def batches(loaded: DataFrame, size: int, order: str = "path"):
-    """Arrays of `size` files at a time on the driver, in order; one partition is held, the next is fetched ahead."""
+    """Arrays of `size` files at a time on the driver, by a column of `loaded` (such as the place in a caller's list); one partition is held, the next is fetched ahead."""
     held = []
     for r in loaded.orderBy(order).toLocalIterator(prefetchPartitions=True):
         held.append(to_numpy(r))
@@ -427,17 +422,114 @@ def preview(frames: list[np.ndarray], boxes: list[tuple[int, int, int, int]], bo
     return rgb
 
 
+def previews(files: DataFrame) -> DataFrame:
+    """(path, content) of TIFF pictures from (path, content, boxes) of TIFFs and their boxes."""
+    ddl = "path string, content binary"
+    schema = schema_of(ddl)
+
+    def run(it):
+        def rows():
+            for b in it:
+                for path, content, boxes in zip(*(c.to_pylist() for c in b.columns)):
+                    with typed("INVALID_TIFF", path):
+                        picture = preview(tiff.decode(content), [(x["x_min"], x["x_max"], x["y_min"], x["y_max"]) for x in boxes])
+                    yield path, tiff.encode([picture])
+
+        yield from to_batches(rows(), schema, 8)
+
+    return files.select("path", "content", "boxes").mapInArrow(run, ddl)
+
+
+def frame_plan(order: list[int], h: Handler) -> list[int | None]:
+    """For each frame shown the stored frame it is, or None for one that is derived from several."""
+    if len(order) <= 1 or h.kind == "keep":
+        return list(order)
+    if h.kind == "central-slice":
+        return needed_frames(order, h)
+    if h.kind == "interpolate":
+        n, t = len(order), h.target_frames
+        if t <= 1:
+            return [order[0]]
+        at = [float(np.float32(np.float32(i) / np.float32(t - 1)) * np.float32(n - 1)) for i in range(t)]
+        return [order[int(p)] if p.is_integer() else None for p in at]
+    return [None]
+
+
+def stored_of(plan: list[int | None], index: int) -> int:
+    """The stored frame behind a shown one."""
+    if not 0 <= index < len(plan):
+        raise ImageError("FRAME_OUT_OF_RANGE", f"frame {index} of {len(plan)}", frame_index=index)
+    if plan[index] is None:
+        raise ImageError("DERIVED_FRAME", f"frame {index} is made of several stored ones", frame_index=index)
+    return plan[index]
+
+
+def frame_plans(files: DataFrame, h: Handler | None = None) -> DataFrame:
+    """(path, strategy, shown, stored, derived) of every file's frames, with error columns."""
+    h = h or Handler()
+    ddl = "path string, strategy string, shown int, stored int, derived boolean, error_code string, error_message string"
+    schema = schema_of(ddl)
+
+    def run(it):
+        def rows():
+            for b in it:
+                for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    try:
+                        with typed("INVALID_DICOM"):
+                            strategy, order, _ = order_frames(dicom.frame_rows(dicom.parse(content)))
+                        for n, stored in enumerate(frame_plan(order, h)):
+                            yield path, strategy, n, stored, stored is None, None, None
+                    except ImageError as e:
+                        yield path, None, None, None, None, e.code, e.message
+
+        yield from to_batches(rows(), schema, 4096)
+
+    return files.select("path", "content").mapInArrow(run, ddl)
+
+
+def render_displays(files: DataFrame, cfg: Preprocessor | None = None) -> DataFrame:
+    """(path, shown, shape, dtype, data) of every frame shown of every file, one row each; errors become columns."""
+    cfg = cfg or Preprocessor()
+    ddl = "path string, shown int, shape array<int>, dtype string, data binary, error_code string, error_message string"
+    schema = schema_of(ddl)
+
+    def run(it):
+        def rows():
+            for b in it:
+                for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    try:
+                        with typed("INVALID_DICOM"):
+                            for n, x in enumerate(displayed(content, cfg)):
+                                yield path, n, list(x.shape), str(x.dtype), np.ascontiguousarray(x).tobytes(), None, None
+                    except ImageError as e:
+                        yield path, None, None, None, None, e.code, e.message
+
+        yield from to_batches(rows(), schema, 8)
+
+    return files.select("path", "content").mapInArrow(run, ddl)
+
+
+def displayed(content: bytes, cfg: Preprocessor):
+    """The frames shown, one at a time; the volume is held only where frames are derived."""
+    ds = dicom.parse(content)
+    _, order, _ = order_frames(dicom.frame_rows(ds))
+    plan, turn = frame_plan(order, cfg.handler), needs_flip(ds)
+    if None in plan:
+        shown = iter(handle([dicom.rendered_frame(ds, i, cfg.voi) for i in order], cfg.handler))
+    else:
+        shown = (dicom.rendered_frame(ds, i, cfg.voi) for i in plan)
+    for x in shown:
+        yield K.flip(x, True, True) if turn else x
+
+
 def render_display(content: bytes, index: int, cfg: Preprocessor | None = None) -> np.ndarray:
     """Frame `index` of the ordered, handled volume; a stored frame is decoded alone."""
     cfg = cfg or Preprocessor()
     ds = dicom.parse(content)
     _, order, _ = order_frames(dicom.frame_rows(ds))
-    turn = needs_flip(ds)
-    if cfg.handler.kind in ("keep", "central-slice"):
-        shown = needed_frames(order, cfg.handler)
-        if not 0 <= index < len(shown):
-            raise ImageError("FRAME_OUT_OF_RANGE", f"frame {index} of {len(shown)}", frame_index=index)
-        out = dicom.rendered_frame(ds, shown[index], cfg.voi)
+    plan, turn = frame_plan(order, cfg.handler), needs_flip(ds)
+    if None not in plan:
+        out = dicom.rendered_frame(ds, stored_of(plan, index), cfg.voi)
     else:
         frames = handle([dicom.rendered_frame(ds, i, cfg.voi) for i in order], cfg.handler)
         if not 0 <= index < len(frames):

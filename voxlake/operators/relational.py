@@ -48,12 +48,13 @@ def partial_stats(samples: DataFrame, keys: list[str], value: str = "v") -> Data
     return samples.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
 
 
-def merge_stats(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """n, mean and deviation of the union of parts."""
+def merge_stats(parts: DataFrame, keys: list[str], also: dict | None = None) -> DataFrame:
+    """n, mean and deviation of the union of parts; also: further aggregates by name."""
+    also = also or {}
     n = F.sum("n")
-    tot = parts.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("n") * F.col("mean")) / n).alias("mean"), F.sum("m2").alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("squares"))
+    tot = parts.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col("n") * F.col("mean")) / n).alias("mean"), F.sum("m2").alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("squares"), *[c.alias(n) for n, c in also.items()])
     m2 = F.col("within") + F.greatest(F.lit(0.0), F.col("squares") - F.col("n") * F.col("mean") * F.col("mean"))
-    return tot.select(*keys, "n", "mean", F.when(F.col("n") < 2, 0.0).otherwise(F.sqrt(m2 / (F.col("n") - 1))).alias("std"))
+    return tot.select(*keys, "n", "mean", F.when(F.col("n") < 2, 0.0).otherwise(F.sqrt(m2 / (F.col("n") - 1))).alias("std"), *also)
 
 
 def manifest(files: DataFrame, path: str = "path") -> DataFrame:

@@ -81,9 +81,37 @@ def findings(have: set[str]) -> Column:
 
 def validate(headers: DataFrame) -> DataFrame:
     """headers plus findings, n_errors, n_warnings, n_infos and valid."""
-    out = headers.withColumn("findings", findings(set(headers.columns)))
+    return counted(headers.withColumn("findings", findings(set(headers.columns))))
+
+
+DECODE = "Frame decode"
+
+
+def with_decode(validated: DataFrame, tried: DataFrame, skipped: str = "skipped because of errors") -> DataFrame:
+    """The decode outcome as a finding. tried: (path, decoded, code, error, expected_bytes) of the files whose frame 0 was decoded."""
+    out = validated.join(tried, "path", "left")
+    finding = (
+        F.when(F.col("decoded").isNull(), _finding("info", "frame_decode_skipped", DECODE, "(7FE0,0010)", skipped))
+        .when(F.col("decoded"), _finding("pass", "frame_decoded", DECODE, "(7FE0,0010)", "frame 0 decodes", F.col("expected_bytes")))
+        .otherwise(_finding("error", "frame_decode_failed", DECODE, "(7FE0,0010)", "frame 0 can't be decoded", F.col("error")))
+    )
+    return counted(out.withColumn("findings", F.concat("findings", F.array(finding))))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Adds n_errors, n_warnings, n_infos and valid."""
     count = lambda level: F.size(F.filter("findings", lambda f: f["level"] == level)).cast("long")
-    return out.withColumns({"n_errors": count("error"), "n_warnings": count("warning"), "n_infos": count("info")}).withColumn("valid", F.col("n_errors") == 0)
+    return df.withColumns({"n_errors": count("error"), "n_warnings": count("warning"), "n_infos": count("info")}).withColumn("valid", F.col("n_errors") == 0)
+
+
+def report_text(validated: DataFrame, verbose: bool = False) -> DataFrame:
+    """Adds text: the verdict and the counts, then errors and warnings, and with verbose every check."""
+    shown = F.col("findings") if verbose else F.filter("findings", lambda f: f["level"].isin("error", "warning"))
+    value = lambda f: F.when(f["value"].isNull(), F.lit("")).otherwise(F.concat(F.lit(" = "), f["value"]))
+    tag = lambda f: F.when(f["tag"].isNull(), F.lit("")).otherwise(F.concat(F.lit(" "), f["tag"]))
+    line = lambda f: F.concat(F.lit("  "), F.rpad(F.upper(f["level"]), 8, " "), f["code"], F.lit(": "), f["name"], tag(f), F.lit(", "), f["message"], value(f))
+    head = F.format_string("%s: %s (%d errors, %d warnings, %d notes)", F.when(F.col("valid"), "PASS").otherwise("FAIL"), F.col("path"), F.col("n_errors"), F.col("n_warnings"), F.col("n_infos"))
+    return validated.withColumn("text", F.array_join(F.concat(F.array(head), F.transform(shown, line)), "\n"))
 
 
 def report_json(validated: DataFrame) -> DataFrame:

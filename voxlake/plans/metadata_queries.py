@@ -76,7 +76,7 @@ def coord_clamp(spark, sf):
 
 TRACES = (
     "tr AS (SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_partkey AS p, l_suppkey AS s, (l_quantity)::BIGINT AS x0, (l_quantity + l_linenumber * 4)::BIGINT AS x1, (l_suppkey % 40)::BIGINT AS y0, (l_suppkey % 40 + l_linenumber * 3)::BIGINT AS y1 FROM lineitem), "
-    "fi AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS fh, o_orderstatus = 'O' AS fv, (o_custkey % 30)::BIGINT AS cl, (o_custkey % 17)::BIGINT AS ct FROM orders WHERE o_custkey % 3 <> 0), "
+    "fi AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, o_orderstatus = 'F' AS fh, o_orderstatus = 'O' AS fv, (o_custkey % 30)::BIGINT AS cl, (o_custkey % 17)::BIGINT AS ct FROM orders), "
     "j AS (SELECT tr.*, fi.fh, fi.fv, fi.cl, fi.ct FROM tr JOIN fi ON tr.k = fi.k)"
 )
 
@@ -101,7 +101,8 @@ def _remapped(spark, sf):
     long = lambda c, n: c.cast("long").alias(n)
     q, ln, sk = F.col("l_quantity"), F.col("l_linenumber"), F.col("l_suppkey")
     traces = li.select(F.col("l_orderkey").alias("k"), long(ln, "n"), F.col("l_partkey").alias("p"), sk.alias("s"), long(q, "x_min"), long(q + ln * 4, "x_max"), long(sk % 40, "y_min"), long(sk % 40 + ln * 3, "y_max"))
-    files = o.where("o_custkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").alias("fh"), (F.col("o_orderstatus") == "O").alias("fv"), long(F.col("o_custkey") % 30, "cl"), long(F.col("o_custkey") % 17, "ct"))
+    k = F.when(F.col("o_custkey") % 3 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))  # files without traces, traces without files
+    files = o.select(k.alias("k"), (F.col("o_orderstatus") == "F").alias("fh"), (F.col("o_orderstatus") == "O").alias("fv"), long(F.col("o_custkey") % 30, "cl"), long(F.col("o_custkey") % 17, "ct"))
     maps = [coords.FlipMap(100, 80, F.col("fh"), F.col("fv")), coords.CropMap(F.col("cl"), F.col("ct"), 60, 40), coords.ResizeMap(1.5, 1.5), coords.PadMap(5, 7)]
     return R.remap_traces(R.join_traces(files, traces, "k"), maps, F.lit(100).cast("long"), F.lit(75).cast("long"), ["k", "n", "p", "s"])
 
@@ -189,9 +190,9 @@ FRAMES_SQL = (
 )
 
 
-def header_frames(spark, sf):
-    """Headers of six kinds by user: dimension index, stack position, geometry, increment vector, slice location, nothing."""
-    e = events(spark, sf).withColumn("kind", F.col("series") % 6)
+def header_frames(spark, sf, kind: int | None = None):
+    """Headers of six kinds: dimension index, stack position, geometry, increment vector, slice location, nothing; by user, or one for all."""
+    e = events(spark, sf).withColumn("kind", F.col("series") % 6 if kind is None else F.lit(kind))
     only = lambda k, c: F.when(F.col("kind") == k, c)
     return e.select(
         "series", "frame", "v", "event_id",
@@ -216,17 +217,34 @@ def order_strategy_cascade(spark, sf):
 
 def _one_strategy(kind: int, name: str) -> None:
     def f(spark, sf):
-        h = header_frames(spark, sf).where(F.col("series") % 6 == kind)
-        return O.frame_order(h).select("series", "frame", "position", "strategy", F.round("spacing", 6).alias("spacing"))
+        return O.frame_order(header_frames(spark, sf, kind)).select("series", "frame", "position", "strategy", F.round("spacing", 6).alias("spacing"))
 
     f.__name__ = name
-    gaps = f"WITH {CASCADE}, gp AS (SELECT series, CASE WHEN strategy IN ('geometry', 'frame-increment-pointer', 'slice-location') THEN abs(v - lag(v) OVER (PARTITION BY series ORDER BY position)) END AS gap FROM ps), rk AS (SELECT series, gap, row_number() OVER (PARTITION BY series ORDER BY gap) - 1 AS rn, count(*) OVER (PARTITION BY series) AS n FROM gp WHERE gap > 1e-4), md AS (SELECT series, gap AS spacing FROM rk WHERE rn = n // 2) SELECT ps.series, ps.frame, ps.position, ps.strategy, round(md.spacing, 6) AS spacing FROM ps LEFT JOIN md ON ps.series = md.series WHERE ps.series % 6 = {kind}"
+    cascade = CASCADE.replace("user_id % 6 AS kind", f"{kind} AS kind")
+    gaps = f"WITH {cascade}, gp AS (SELECT series, CASE WHEN strategy IN ('geometry', 'frame-increment-pointer', 'slice-location') THEN abs(v - lag(v) OVER (PARTITION BY series ORDER BY position)) END AS gap FROM ps), rk AS (SELECT series, gap, row_number() OVER (PARTITION BY series ORDER BY gap) - 1 AS rn, count(*) OVER (PARTITION BY series) AS n FROM gp WHERE gap > 1e-4), md AS (SELECT series, gap AS spacing FROM rk WHERE rn = n // 2) SELECT ps.series, ps.frame, ps.position, ps.strategy, round(md.spacing, 6) AS spacing FROM ps LEFT JOIN md ON ps.series = md.series"
     query(gaps)(f)
 
 
-for _k, _n in enumerate(("order_dimension_index", "order_stack", "order_geometry", "order_frame_increment")):
+for _k, _n in enumerate(("order_dimension_index", "order_stack", "order_geometry", "order_frame_increment", "order_by_location")):
     _one_strategy(_k, _n)
 
+@query(
+    "WITH fr AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, count(*) OVER (PARTITION BY user_id) AS n, user_id % 6 AS kind FROM events), "
+    "e AS (SELECT series, frame, CASE WHEN n > 1 AND kind = 3 THEN 'zero_normal' WHEN n > 1 AND kind < 5 THEN 'multi_volume' END AS error FROM fr) "
+    "SELECT series, frame, error, CASE WHEN error IS NULL THEN 'raw' END AS strategy FROM e"
+)
+def order_rejections(spark, sf):
+    """Files of more than one volume (by time, stack, organisation or a varying index) and files without a normal."""
+    e = events(spark, sf).withColumn("kind", F.col("series") % 6)
+    only = lambda k, c: F.when(F.col("kind") == k, c)
+    h = e.select(
+        "series", "frame", only(0, F.col("frame") % 2).alias("temporal_position"), only(1, (F.col("frame") % 2).cast("string")).alias("stack_id"), only(2, F.lit("3D_TEMPORAL")).alias("organization"),
+        only(3, F.array(F.lit(0.0), F.lit(0.0), F.col("v"))).alias("image_position"), only(3, F.array_repeat(F.lit(0.0), 6)).alias("image_orientation"),
+        only(4, F.array("frame")).alias("dimension_index"), only(4, F.array(F.lit("StackID"))).alias("dimension_pointers"),
+    )
+    return O.frame_order(h).select("series", "frame", "error", "strategy")
+
+
 ITEMS = "it AS (SELECT l_orderkey AS series, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity) - 1 AS idx, l_linenumber::BIGINT AS inst, l_returnflag AS ph FROM lineitem)"
 
 
@@ -255,19 +273,37 @@ def series_compat_check(spark, sf):
     return O.series_order(items(spark, sf)).groupBy("series").agg(F.count("*").alias("n"), F.max("error").alias("error"))
 
 
+@query(
+    f"WITH {ITEMS}, k AS (SELECT series, idx, series % 5 AS kind, count(*) OVER (PARTITION BY series) AS n FROM it), "
+    "e AS (SELECT *, CASE WHEN kind = 2 AND n > 1 THEN 'mixed_sampled' WHEN kind = 3 AND n > 1 THEN 'partial_geometry' WHEN kind = 4 AND n > 2 THEN 'irregular_spacing' END AS error FROM k) "
+    "SELECT series, idx, error, CASE WHEN error IS NULL THEN CASE kind WHEN 1 THEN 'raw' WHEN 2 THEN 'raw' WHEN 3 THEN 'instance-number' ELSE 'geometry' END END AS strategy, CASE WHEN error IS NULL THEN idx END AS position, "
+    "CASE WHEN error IS NULL AND n > 1 THEN CASE kind WHEN 0 THEN 2.5 WHEN 4 THEN 1.0 END END::DOUBLE AS spacing FROM e"
+)
+def series_geometry(spark, sf):
+    """Series by geometry (falling), sampled, sampled in part, with geometry in part, and of uneven gaps."""
+    kind, idx = F.col("series") % 5, F.col("idx")
+    z = F.when(kind == 0, -2.5 * idx).when((kind == 3) & (idx > 0), idx * 1.0).when(kind == 4, idx * idx * 1.0)
+    h = items(spark, sf).select(
+        "series", "idx", (idx + 1).alias("instance_number"), ((kind == 1) | ((kind == 2) & (idx == 0))).alias("sampled"), F.when(z.isNotNull(), F.array(F.lit(0.0), F.lit(0.0), z)).alias("image_position"),
+        F.when(z.isNotNull(), F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0)])).alias("image_orientation"),
+    )
+    return O.series_order(h).select("series", "idx", "error", "strategy", "position", "spacing")
+
+
 # ---------------------------------------------------------------- stacking, manifests, names
 
 
 @query(
     "WITH m AS (SELECT l_orderkey AS series, l_partkey AS sop, max_by(l_linenumber, (l_suppkey::BIGINT * 1000 + l_linenumber) * 1000000 + l_extendedprice) AS inst FROM lineitem GROUP BY ALL), "
-    "f AS (SELECT DISTINCT l_orderkey AS series, l_partkey AS sop FROM lineitem WHERE l_partkey % 7 <> 0), j AS (SELECT f.series, f.sop, m.inst FROM f JOIN m ON f.series = m.series AND f.sop = m.sop) "
+    "f AS (SELECT DISTINCT l_orderkey AS series, CASE WHEN l_partkey % 7 = 0 THEN -l_partkey ELSE l_partkey END AS sop FROM lineitem), j AS (SELECT f.series, f.sop, m.inst FROM f JOIN m ON f.series = m.series AND f.sop = m.sop) "
     "SELECT series, sop, inst::BIGINT AS inst, row_number() OVER w - 1 AS slot, first_value(sop) OVER w AS stack_name FROM j WINDOW w AS (PARTITION BY series ORDER BY inst, sop)"
 )
 def combine_series(spark, sf):
     li = table(spark, sf, "lineitem")
     row = (F.col("l_suppkey") * 1000 + F.col("l_linenumber")) * 1000000 + F.col("l_extendedprice")
     meta = li.select(F.col("l_orderkey").alias("series"), F.col("l_partkey").alias("sop"), F.col("l_linenumber").cast("long").alias("inst"), row.alias("row"))
-    files = li.where("l_partkey % 7 <> 0").select(F.col("l_orderkey").alias("series"), F.col("l_partkey").alias("sop")).distinct()
+    sop = F.when(F.col("l_partkey") % 7 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey"))  # files without metadata
+    files = li.select(F.col("l_orderkey").alias("series"), sop.alias("sop")).distinct()
     return R.combine_series(files, meta, series="series", sop="sop", instance="inst", row="row", tie=["sop"]).select("series", "sop", "inst", "slot", "stack_name")
 
 
@@ -358,6 +394,31 @@ def validate_report_counts(spark, sf):
     return D.validate(headers(spark, sf)).select("k", "n_errors", "n_warnings", "valid")
 
 
+OPTIONAL = ("PhotometricInterpretation", "PlanarConfiguration", "RescaleSlope", "RescaleIntercept", "WindowCenter", "WindowWidth", "VOILUTFunction", "VOILUTSequence", "Pixel spacing", "Directory output naming")
+_there = lambda c: f"CASE WHEN {c} THEN 'optional_tag_present' ELSE 'optional_tag_absent' END"
+
+
+@query(
+    "SELECT o_orderkey AS k, concat_ws(',', CASE o_custkey % 5 WHEN 0 THEN 'missing_photometric_interpretation' WHEN 1 THEN 'empty_required_tag' ELSE 'present' END, "
+    "CASE o_custkey % 7 WHEN 0 THEN 'default_planar_configuration' WHEN 2 THEN 'invalid_planar_configuration' ELSE 'present' END, "
+    + ", ".join(map(_there, ("o_custkey % 2 = 0", "o_custkey % 3 = 0", "o_custkey % 4 = 0", "o_custkey % 4 = 0 AND o_custkey % 8 <> 0")))
+    + ", CASE o_orderkey % 3 WHEN 0 THEN 'voi_lut_function_absent' WHEN 1 THEN 'empty_voi_lut_function' ELSE 'voi_lut_function_present' END, CASE WHEN o_orderkey % 4 = 0 THEN 'voi_lut_sequence_present' ELSE 'voi_lut_sequence_absent' END, "
+    "CASE WHEN o_custkey % 6 = 0 THEN 'resolution_unavailable' ELSE 'resolution_available' END, CASE WHEN o_orderkey % 5 = 0 THEN 'directory_output_not_ready' ELSE 'directory_output_ready' END) AS codes FROM orders"
+)
+def validate_optional(spark, sf):
+    """Findings about photometric text, planar configuration, optional attributes, resolution and naming."""
+    o = table(spark, sf, "orders")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    h = o.select(
+        k.alias("k"), F.when(c % 5 == 1, " ").when(c % 5 > 1, "MONOCHROME2").alias("PhotometricInterpretation"), F.when(c % 7 == 2, "2").when(c % 7 == 1, "1").when(c % 7 > 2, "0").alias("PlanarConfiguration"),
+        F.when(c % 2 == 0, "1").alias("RescaleSlope"), F.when(c % 3 == 0, "0").alias("RescaleIntercept"), F.when(c % 4 == 0, "40").alias("WindowCenter"), F.when(c % 8 == 0, " ").when(c % 4 == 0, "80").alias("WindowWidth"),
+        F.when(k % 3 == 1, "").when(k % 3 == 2, "LINEAR").alias("VOILUTFunction"), F.when(k % 4 == 0, 1).alias("VOILUTSequenceItems"), F.when(c % 6 != 0, F.array(F.lit(0.5), F.lit(0.25))).alias("PixelSpacing"),
+        F.when(k % 5 != 0, "1.2").alias("StudyInstanceUID"), F.lit("1.2.3").alias("SOPInstanceUID"),
+    )
+    codes = F.transform(F.filter("findings", lambda f: f["name"].isin(*OPTIONAL)), lambda f: f["code"])
+    return D.validate(h).select("k", F.array_join(codes, ",").alias("codes"))
+
+
 @query(
     "WITH s AS (SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_partkey AS p, l_suppkey AS sk, CASE l_suppkey % 3 WHEN 0 THEN NULL ELSE CAST(l_discount + 0.5 AS FLOAT) END AS rs, CAST(l_tax + 0.25 AS FLOAT) AS cs, "
     "coalesce(CASE l_partkey % 4 WHEN 0 THEN l_quantity END, CASE l_partkey % 5 WHEN 0 THEN l_quantity * 2 END) AS z FROM lineitem) "

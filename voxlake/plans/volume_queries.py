@@ -96,7 +96,8 @@ def pyramid_blur_down(spark, sf):
 @query(
     PX + ", g AS (SELECT o, (o * 7) // 14 AS lo, least((o * 7) // 14 + 1, 7) AS hi, o * 7 / 14.0::DOUBLE - floor(o * 7 / 14.0::DOUBLE) AS f FROM (SELECT unnest(range(0, 15))::BIGINT AS o)) "
     "SELECT a.series, a.sop, gx.o AS x, gy.o AS y, ((a.px * (1 - gx.f) + b.px * gx.f) * (1 - gy.f) * 4 + (c.px * (1 - gx.f) + d.px * gx.f) * gy.f * 4)::BIGINT AS v4 "
-    "FROM g gx CROSS JOIN g gy JOIN px a ON a.x = gx.lo AND a.y = gy.lo JOIN px b ON b.sop = a.sop AND b.x = gx.hi AND b.y = gy.lo JOIN px c ON c.sop = a.sop AND c.x = gx.lo AND c.y = gy.hi JOIN px d ON d.sop = a.sop AND d.x = gx.hi AND d.y = gy.hi"
+    "FROM px a JOIN g gx ON a.x = gx.lo JOIN g gy ON a.y = gy.lo JOIN px b ON b.series = a.series AND b.sop = a.sop AND b.x = gx.hi AND b.y = gy.lo "
+    "JOIN px c ON c.series = a.series AND c.sop = a.sop AND c.x = gx.lo AND c.y = gy.hi JOIN px d ON d.series = a.series AND d.sop = a.sop AND d.x = gx.hi AND d.y = gy.hi"
 )
 def pyramid_upsample(spark, sf):
     w = V.corner_weights(SIDE, 15)
@@ -104,9 +105,51 @@ def pyramid_upsample(spark, sf):
     return explode_frames(out, ["series", "sop"], 15).withColumnRenamed("px", "v4")
 
 
-@query(None)
+def _bilateral_sql(image: str, keys: str, name: str) -> str:
+    """CTE `name`: the bilateral filter of image (keys, x, y, v FLOAT), 8 x 8, neighbours repeated at the edges."""
+    same = " AND ".join(f"n.{k} = p.{k}" for k in keys.split(", "))
+    own = ", ".join(f"p.{k}" for k in keys.split(", "))
+    return (
+        f"{name}_off AS (SELECT unnest(range(-6, 7))::BIGINT AS o), "
+        f"{name}_nb AS (SELECT {own}, p.x, p.y, n.v, exp(-(dx.o * dx.o + dy.o * dy.o) / 18.0::DOUBLE) * exp(-(floor(CAST(CAST(least(CAST((n.v - p.v) * (n.v - p.v) AS FLOAT), 1::FLOAT) * 2047::FLOAT AS FLOAT) + 0.5::FLOAT AS FLOAT)::DOUBLE) / 2047.0::DOUBLE) / (2 * 0.015::DOUBLE * 0.015::DOUBLE)) AS w "
+        f"FROM {image} p CROSS JOIN {name}_off dx CROSS JOIN {name}_off dy JOIN {image} n ON {same} AND n.x = least(greatest(p.x + dx.o, 0), 7) AND n.y = least(greatest(p.y + dy.o, 0), 7)), "
+        f"{name} AS (SELECT {keys}, x, y, sum(v::DOUBLE * w) / sum(w) AS v FROM {name}_nb GROUP BY ALL)"
+    )
+
+
+def _expanded_sql(image: str, name: str) -> str:
+    """CTE `name`: image (series, x, y, v) blurred, halved and interpolated back, 8 x 8."""
+    return (
+        f"{name}_t AS (SELECT d, w FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) v(d, w)), {name}_o AS (SELECT unnest(range(0, 4))::BIGINT AS o), "
+        f"{name}_d AS (SELECT p.series, gx.o AS x, gy.o AS y, sum(a.w * b.w * p.v) / 256 AS v FROM {name}_o gx CROSS JOIN {name}_o gy CROSS JOIN {name}_t a CROSS JOIN {name}_t b "
+        f"JOIN {image} p ON p.x = least(greatest(2 * gx.o + a.d, 0), 7) AND p.y = least(greatest(2 * gy.o + b.d, 0), 7) GROUP BY ALL), "
+        f"{name}_g AS (SELECT o, (o * 3) // 7 AS lo, least((o * 3) // 7 + 1, 3) AS hi, o * 3 / 7.0::DOUBLE - floor(o * 3 / 7.0::DOUBLE) AS f FROM (SELECT unnest(range(0, 8))::BIGINT AS o)), "
+        f"{name} AS (SELECT a.series, gx.o AS x, gy.o AS y, (a.v * (1 - gx.f) + b.v * gx.f) * (1 - gy.f) + (c.v * (1 - gx.f) + d.v * gx.f) * gy.f AS v FROM {name}_d a JOIN {name}_g gx ON a.x = gx.lo JOIN {name}_g gy ON a.y = gy.lo "
+        f"JOIN {name}_d b ON b.series = a.series AND b.x = gx.hi AND b.y = gy.lo JOIN {name}_d c ON c.series = a.series AND c.x = gx.lo AND c.y = gy.hi JOIN {name}_d d ON d.series = a.series AND d.x = gx.hi AND d.y = gy.hi)"
+    )
+
+
+@query(PX + ", im AS (SELECT series, sop, x, y, CAST(px::FLOAT / 65535::FLOAT AS FLOAT) AS v FROM px), " + _bilateral_sql("im", "series, sop", "bi") + " SELECT series, sop, x, y, round(v * 1000000)::BIGINT AS v FROM bi")
+def bilateral_8x8(spark, sf):
+    from voxlake.operators.images import bilateral_frames
+
+    out = bilateral_frames(frames(spark, sf), ["series", "sop"], SIDE, SIDE).withColumn("data", F.transform("data", lambda v: F.round(v * 1000000).cast("long")))
+    return explode_frames(out, ["series", "sop"], SIDE).withColumnRenamed("px", "v")
+
+
+FUSED = PX + (
+    ", two AS (SELECT series, x, y, max(px) AS m, sum(px)::BIGINT AS s, count(*) AS n FROM px GROUP BY ALL), "
+    "im AS (SELECT series, x, y, CAST(m::FLOAT / 65535::FLOAT AS FLOAT) AS v FROM two), "
+    "ic AS (SELECT series, x, y, CASE WHEN max(s) OVER (PARTITION BY series) > 0 THEN CAST(s::FLOAT / (max(s) OVER (PARTITION BY series))::FLOAT AS FLOAT) ELSE 0::FLOAT END AS v FROM two), "
+    + _bilateral_sql("im", "series", "bm") + ", " + _bilateral_sql("ic", "series", "bc") + ", " + _expanded_sql("bm", "em") + ", " + _expanded_sql("bc", "ec") +
+    " SELECT t.series, t.x, t.y, CASE WHEN t.n = 1 THEN t.m ELSE floor(least(greatest(ec.v + 2 * ec.v * ((bc.v - ec.v) + 1.5 * (bm.v - em.v)), 0), 1) * 65535)::BIGINT END AS px FROM two t "
+    "JOIN bm ON bm.series = t.series AND bm.x = t.x AND bm.y = t.y JOIN bc ON bc.series = t.series AND bc.x = t.x AND bc.y = t.y JOIN em ON em.series = t.series AND em.x = t.x AND em.y = t.y JOIN ec ON ec.series = t.series AND ec.x = t.x AND ec.y = t.y"
+)
+
+
+@query(FUSED)
 def volume_laplacian_mip(spark, sf):
-    """Pyramid fusion of the largest and the central image of each series (grouped kernel; tested against plain loops)."""
+    """Pyramid fusion of the largest and the central image of each series."""
     from voxlake.operators.images import laplacian_mip
 
     return explode_frames(laplacian_mip(frames(spark, sf), "series", "sop", SIDE, SIDE), ["series"], SIDE)

@@ -32,15 +32,36 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.monotonically_increasing_id().alias("n"), F.trim("value").alias("path"))
 
 
+def read_files(paths: DataFrame) -> DataFrame:
+    """(n, path, length, content) of the paths of read_paths(), read by Arrow's file systems where the rows are."""
+
+    def run(it):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in it:
+            for n, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+                with store.open_input_file(at) as f:
+                    content = f.readall()
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([path]), pa.array([len(content)]), pa.array([content], pa.binary())], names=["n", "path", "length", "content"])
+
+    parts = paths.sparkSession.sparkContext.defaultParallelism * 4
+    return paths.select("n", "path").repartition(parts, "path").mapInArrow(run, "n long, path string, length long, content binary")
+
+
 def load_source(spark: SparkSession, path: str, kind: str = "dicom") -> DataFrame:
-    """A folder, a .txt list of paths, or one file. The list is read on the driver, as listing is."""
-    find = {"dicom": find_dicoms, "tiff": find_tiffs}[kind]
-    if path.endswith(".txt"):
-        paths = [r.path for r in read_paths(spark, path).orderBy("n").toLocalIterator()]
-        if not paths:
-            raise ValueError(f"{path} lists no files")
-        return find(spark, paths)
-    return find(spark, path)
+    """A folder, a .txt list of paths, or one file. Files of a list have its order as n."""
+    if not path.endswith(".txt"):
+        return {"dicom": find_dicoms, "tiff": find_tiffs}[kind](spark, path)
+    paths = read_paths(spark, path)
+    if not paths.limit(1).count():
+        raise ValueError(f"{path} lists no files")
+    if kind == "tiff":
+        return read_files(paths.where(is_tiff(F.col("path"))))
+    return read_files(paths).where(is_dicom(F.col("path"), F.col("content")))
 
 
 def with_inode(files: DataFrame, path: str = "path") -> DataFrame:

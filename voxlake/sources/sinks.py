@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV or Parquet by extension; single: one part, for small results that a person opens."""
-    out = df.coalesce(1) if single else df
-    if path.lower().endswith(".csv"):
-        out.write.mode("overwrite").option("header", "true").csv(path)
-    elif path.lower().endswith(".parquet"):
-        out.write.mode("overwrite").parquet(path)
-    else:
+    """CSV or Parquet by extension; single: one file of that name, for results that a person opens."""
+    kind = path.lower().rpartition(".")[2]
+    if kind not in ("csv", "parquet"):
         raise ValueError(f"{path} is neither .csv nor .parquet")
+    target = f"{path}.{uuid.uuid4().hex}" if single else path
+    (df.coalesce(1) if single else df).write.mode("overwrite").option("header", "true").format(kind).save(target)
+    if single:
+        _only_part(df.sparkSession, target, path)
+
+
+def _only_part(spark: SparkSession, folder: str, path: str) -> None:
+    """Move the one part of a folder to `path`, by Hadoop's file system."""
+    jvm = spark.sparkContext._jvm
+    source, goal = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(path)
+    store = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [s.getPath() for s in store.listStatus(source) if s.getPath().getName().startswith("part-")]
+    store.delete(goal, True)
+    store.rename(part, goal)
+    store.delete(source, True)
 
 
 def write_files(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
