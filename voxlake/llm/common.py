@@ -259,9 +259,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("na")).agg(F.min("comp").alias("m"))
+        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("an")).agg(F.min("comp").alias("m"))
         up = labels.select(F.col("node").alias("un"), F.col("comp").alias("top"))
-        new = labels.join(up, labels.comp == up.un, "left").join(near, labels.node == near.na, "left")
+        new = labels.join(up, labels.comp == up.un, "left").join(near, labels.node == near.an, "left")
         new = materialize(new.select("node", F.least("comp", "top", "m").alias("comp"), F.col("comp").alias("old")), "labels")
         release(labels)
         labels = new
