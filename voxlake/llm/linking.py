@@ -126,7 +126,7 @@ def linked(df: DataFrame, value: str, hits_of: Callable) -> DataFrame:
 
 def link_items(
     postings: DataFrame, sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *, near: Callable, confirm: Callable,
-    finer: Callable[[DataFrame], DataFrame] | None = None, bound: int = 512, cell_bound: int = 250, room_bytes: int = 1 << 25,
+    finer: Callable[[DataFrame], DataFrame] | None = None, bound: int = 200, cell_bound: int = 200, room_bytes: int = 1 << 25,
 ) -> DataFrame:
     """(node, comp) for the items that are linked to another one.
 
