@@ -233,10 +233,9 @@ def bit_filter(df: DataFrame, col: str) -> bytes:
     low = F.col(col).bitwiseAND(F.lit(bits - 1))
     at = F.explode(F.array(*[(low + F.lit(i).cast("long") * step).bitwiseAND(F.lit(bits - 1)) for i in range(PROBES)]))
     word, bit = (F.col("at") / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
-    rows = df.select(at.alias("at")).select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator()
-    words = np.zeros(bits // 64, np.int64)
-    for w, b in rows:
-        words[w] = b
+    held = df.select(at.alias("at")).select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(bits // 64, np.int64)  # one row a word: 2^21 at most
+    words[held.column("w").to_numpy()] = held.column("b").to_numpy()
     return words.tobytes()
 
 

@@ -13,7 +13,8 @@ files named in the committed table are scanned, so a task that runs twice is har
 
 Defined results: null and empty texts are documents of 0 tokens; tokens after the
 last separator form an unterminated document; an empty file has no documents;
-a separator in a text's own tokens can't occur (the separator isn't in the
+very long texts are tokenised whole and their separators found block by block;
+documents of equal length or id are told apart by their ordinal in a file; a separator in a text's own tokens can't occur (the separator isn't in the
 tokenizer's vocabulary of ordinary text).
 """
 
@@ -41,11 +42,18 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
 
 
-def encoding(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
-    """A public byte-level BPE from its ranks file; ordinary text only."""
+def read_vocabulary(vocabulary: str = VOCABULARY) -> bytes:
+    """A ranks file, read on the driver; tasks get its bytes, so executors need no copy."""
+    with open(vocabulary, "rb") as f:
+        return f.read()
+
+
+def encoding(ranks_file: bytes | None = None, pattern: str = PATTERN):
+    """A public byte-level BPE from the bytes of its ranks file; ordinary text only."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(vocabulary, "rb") if line.strip())}
+    lines = (read_vocabulary() if ranks_file is None else ranks_file).splitlines()
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -53,9 +61,10 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str = VOCABULAR
     """Write one flat file a partition under `path`; returns the table (file, ordinal, doc_id) of what each holds."""
     ddl = "file string, n_bytes long, ordinal long, doc_id long"
     schema = arrow_schema(ddl)
+    ranks = read_vocabulary(vocabulary)
 
     def run(it):
-        enc, held = encoding(vocabulary), []
+        enc, held = encoding(ranks), []
         target = f"{path}/{uuid.uuid4().hex}.bin"
         store, at = opened(target)
         out, size = None, 0
