@@ -49,3 +49,16 @@ def needs_flip(sop_class: Column, image_laterality: Column, laterality: Column,
     side = F.coalesce(F.when(clean(image_laterality) != "", F.upper(clean(image_laterality))), F.upper(clean(laterality)))
     want = expected_orientation(side, F.upper(clean(view)))
     return F.coalesce((clean(sop_class) == TOMOSYNTHESIS) & (code_values(orientation) == inverse_orientation(want)), F.lit(False))
+
+
+def frame_count(text: Column) -> Column:
+    """NumberOfFrames as a struct: n (1 where absent or empty), or the code of what is wrong with it."""
+    plain = F.nullif(F.trim(text), F.lit(""))
+    n = plain.try_cast("long")
+    error = F.when(plain.isNotNull() & (n.isNull() | (n < 0)), "INVALID_NUMBER_OF_FRAMES").when(n > 65535, "TOO_MANY_FRAMES")
+    return F.struct(F.when(error.isNull(), F.coalesce(n, F.lit(1).cast("long"))).alias("n"), error.alias("error"))
+
+
+def sanitised(voi_function: Column) -> Column:
+    """An empty VOI LUT function is as good as none."""
+    return F.nullif(F.trim(voi_function), F.lit(""))

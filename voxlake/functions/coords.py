@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .dtype import f32, trunc_u32
 
 
-
 def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
@@ -46,8 +45,7 @@ class CropMap:
 
     def apply(self, x: Column, y: Column) -> tuple[Column, Column]:
         def cut(v, start, size):
-            start, size = _lit(start), _lit(size)
-            return F.when(v > start, F.least(v - start, size - 1)).otherwise(0).cast("long")
+            return F.greatest(F.lit(0), F.least(v - _lit(start), _lit(size) - 1)).cast("long")
 
         return cut(x, self.left, self.width), cut(y, self.top, self.height)
 

@@ -95,6 +95,30 @@ def scale_resolution(r: Column, sx: Column, sy: Column, sz: Column | None = None
     return F.struct(f32(r["ppmm_x"] * f32(sx)).alias("ppmm_x"), f32(r["ppmm_y"] * f32(sy)).alias("ppmm_y"), z.alias("frames_per_mm"))
 
 
+def unscale_resolution(r: Column, sx: Column, sy: Column) -> Column:
+    """The resolution before a resize."""
+    one = f32(F.lit(1.0))
+    return scale_resolution(r, f32(one / f32(sx)), f32(one / f32(sy)))
+
+
+def with_frames_per_mm(r: Column, z: Column) -> Column:
+    return F.struct(r["ppmm_x"].alias("ppmm_x"), r["ppmm_y"].alias("ppmm_y"), f32(z).alias("frames_per_mm"))
+
+
+def resampled_z(frames_per_mm: Column, n: Column, target: Column) -> Column:
+    """Frames per mm once n frames have become `target` over the same depth; unchanged where nothing is resampled."""
+    new = f32(f32(f32(frames_per_mm) * f32(target - 1)) / f32(n - 1))
+    return F.when((n > 1) & (target > 1) & (n != target), new).otherwise(f32(frames_per_mm))
+
+
+def dimensions(frames: Column, channels: Column, height: Column, width: Column, sample_bytes: Column) -> Column:
+    """Shape (frames, channels, height, width), shape of a frame, samples and bytes of a volume."""
+    n, c, h, w = (x.cast("long") for x in (frames, channels, height, width))
+    return F.struct(
+        F.array(n, c, h, w).alias("shape"), F.array(c, h, w).alias("frame_shape"), (n * c * h * w).alias("numel"), (n * c * h * w * sample_bytes.cast("long")).alias("n_bytes")
+    )
+
+
 def spacing_target(side: Column, ppmm: Column, spacing: float) -> Column:
     """The side whose pixels are `spacing` mm wide."""
     scale = f32(f32(f32(F.lit(1.0)) / f32(F.lit(spacing))) / f32(ppmm))

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.functions.coords import apply_all
 from voxlake.functions.paths import path_ids
 
 
 def remap_traces(joined: DataFrame, maps: Sequence, width: Column, height: Column, keep: list) -> DataFrame:
     """Boxes (x_min..y_max) in prepared coordinates: both corners mapped, sorted again, the maxima clamped, empty ones dropped."""
-    x0, y0 = apply_all(maps, F.col("x_min"), F.col("y_min"))
-    x1, y1 = apply_all(maps, F.col("x_max"), F.col("y_max"))
+    corners = (("__x0", "__y0"), ("__x1", "__y1"))
+    joined = joined.withColumns({"__x0": F.col("x_min"), "__y0": F.col("y_min"), "__x1": F.col("x_max"), "__y1": F.col("y_max")})
+    for m in maps:  # a projection a map, so that no map's input is written out twice in the next
+        if m is not None:
+            joined = joined.withColumns({n: c for x, y in corners for n, c in zip((x, y), m.apply(F.col(x), F.col(y)))})
+    x0, y0, x1, y1 = (F.col(c) for pair in corners for c in pair)
     out = joined.select(
         *keep, F.least(x0, x1).alias("x_min"), F.least(F.greatest(x0, x1), width - 1).cast("long").alias("x_max"), F.least(y0, y1).alias("y_min"), F.least(F.greatest(y0, y1), height - 1).cast("long").alias("y_max")
     )

@@ -441,3 +441,47 @@ def resolution_tiff(spark, sf):
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), geometry.tiff_resolution(v).alias("per_cm"),
         F.round(geometry.from_tiff_resolution(v, 1 + F.col("l_suppkey") % 3).cast("double"), 6).alias("back"),
     )
+
+
+@query(
+    "WITH s AS (SELECT l_orderkey AS k, l_linenumber::BIGINT AS n, l_partkey AS p, l_suppkey AS s, CAST(l_discount * 7 + 0.3 AS FLOAT) AS x, CAST(l_tax * 5 + 0.2 AS FLOAT) AS y, CAST(l_quantity AS FLOAT) AS z, CAST(0.5 + l_linenumber AS FLOAT) AS f FROM lineitem) "
+    "SELECT k, n, p, s, round(CAST(x * f AS FLOAT)::DOUBLE, 4) AS sx, round(CAST(y * 2::FLOAT AS FLOAT)::DOUBLE, 4) AS sy, round(CAST(z * 0.5::FLOAT AS FLOAT)::DOUBLE, 4) AS sz, "
+    "round(CAST(x * CAST(1::FLOAT / f AS FLOAT) AS FLOAT)::DOUBLE, 4) AS ux, round(CAST(y * CAST(1::FLOAT / 3::FLOAT AS FLOAT) AS FLOAT)::DOUBLE, 4) AS uy, round(z::DOUBLE, 4) AS uz FROM s"
+)
+def resolution_resize(spark, sf):
+    """A resolution scaled in three directions, and one taken back through a resize."""
+    f = lambda c: c.cast("float")
+    r = F.struct(f(F.col("l_discount") * 7 + 0.3).alias("ppmm_x"), f(F.col("l_tax") * 5 + 0.2).alias("ppmm_y"), f(F.lit(1.0)).alias("frames_per_mm"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), geometry.with_frames_per_mm(r, F.col("l_quantity")).alias("r"), (F.col("l_linenumber") + 0.5).alias("f"))
+    up = geometry.scale_resolution(F.col("r"), F.col("f"), F.lit(2.0), F.lit(0.5))
+    back = geometry.unscale_resolution(F.col("r"), F.col("f"), F.lit(3.0))
+    rounded = lambda c, a: F.round(c.cast("double"), 4).alias(a)
+    names = ("ppmm_x", "ppmm_y", "frames_per_mm")
+    return li.select("k", "n", "p", "s", *[rounded(up[c], f"s{a}") for c, a in zip(names, "xyz")], *[rounded(back[c], f"u{a}") for c, a in zip(names, "xyz")])
+
+
+@query(
+    "WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), d AS (SELECT user_id, n, CAST((1 + user_id % 5) / 4.0 AS FLOAT) AS z, 1 + user_id % 60 AS t FROM e) "
+    "SELECT user_id, n, t AS target, round((CASE WHEN n > 1 AND t > 1 AND n <> t THEN CAST(CAST(z * (t - 1)::FLOAT AS FLOAT) / (n - 1)::FLOAT AS FLOAT) ELSE z END)::DOUBLE, 5) AS frames_per_mm FROM d"
+)
+def resolution_resampled(spark, sf):
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    t = (F.col("user_id") % 60 + 1).alias("target")
+    z = geometry.resampled_z(((F.col("user_id") % 5 + 1) / 4.0).cast("float"), F.col("n"), F.col("user_id") % 60 + 1)
+    return e.select("user_id", "n", t, F.round(z.cast("double"), 5).alias("frames_per_mm"))
+
+
+@query(
+    f"WITH {HEADERS}, c AS (SELECT k, CASE WHEN nf = 5 THEN ' ' WHEN nf = 6 THEN 'abc' WHEN nf = 7 THEN '70000' WHEN nf <> 8 THEN nf::VARCHAR END AS t, r, CASE WHEN ba = 8 THEN 1 ELSE 2 END AS b, CASE WHEN ph = 'RGB' THEN 3 ELSE 1 END AS ch FROM h), "
+    "e AS (SELECT *, CASE WHEN trim(t) <> '' AND (try_cast(t AS BIGINT) IS NULL OR try_cast(t AS BIGINT) < 0) THEN 'INVALID_NUMBER_OF_FRAMES' WHEN try_cast(t AS BIGINT) > 65535 THEN 'TOO_MANY_FRAMES' END AS error FROM c), "
+    "f AS (SELECT *, CASE WHEN error IS NULL THEN coalesce(try_cast(t AS BIGINT), 1) END AS n FROM e) SELECT k, error, n, n * ch * r * 128 AS numel, n * ch * r * 128 * b AS n_bytes FROM f"
+)
+def volume_dimensions(spark, sf):
+    """Frame counts with what may be wrong with them, and the size of the volumes."""
+    nf = F.col("NumberOfFrames")
+    text = F.when(nf == "5", " ").when(nf == "6", "abc").when(nf == "7", "70000").when(nf != "8", nf)
+    channels = F.when(F.col("PhotometricInterpretation") == "RGB", 3).otherwise(1)
+    size = F.when(F.col("BitsAllocated") == "8", 1).otherwise(2)
+    h = headers(spark, sf).withColumn("f", codes.frame_count(text))
+    d = geometry.dimensions(F.col("f.n"), channels, F.col("Rows"), F.col("Columns"), size)
+    return h.select("k", F.col("f.error").alias("error"), F.col("f.n").alias("n"), d["numel"].alias("numel"), d["n_bytes"].alias("n_bytes"))
