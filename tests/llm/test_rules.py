@@ -3,6 +3,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from tests.llm.cases import empty, frame, make
 from voxlake.llm import pii, quality
 
@@ -206,6 +208,21 @@ def test_terms_are_found_in_the_test_data(spark):
     assert got.n > 0 and got.r == docs.count()
 
 
+def test_places_of_terms_equal_the_pattern():
+    import random
+
+    rng = random.Random(6)
+    every = np.full(1 << 14, -1, np.int64)  # a filter that lets all pass
+    wanted = pii.Wanted(every)
+    for _ in range(400):
+        text = "".join(rng.choice("aAbéÉ ßı\n\u00a0\u2003_1²٣.,@İ") for _ in range(rng.randint(0, 60)))
+        want = sorted((pii.hash64(m.group().lower().encode()), *m.span()) for m in pii.TERM.finditer(text))
+        assert sorted((h, s, e) for h, t in wanted.of_text(text) for s, e in pii.places_in(text, t)) == want
+        base = [(0, a, min(len(text), a + 3)) for a in sorted(rng.sample(range(60), 4)) if a < len(text)]
+        spans = [m.span() for m in pii.TERM.finditer(text)]
+        assert pii.outside(spans, base) == [(s, e) for _, s, e in pii.free_terms(text, base)]
+
+
 def test_classes_of_a_value():
     assert pii.classes_of(0, "Jo.Smith7@Mail.example.com") == {"email:jo.smith7@mail.example.com", "email:", "email:@mail.example.com", "email:smith@"}
     assert pii.classes_of(1, "010.0.2.3") == {"ip:010.0.2.3", "ip:", "ip:10.0.2.", "ip:10.0."}

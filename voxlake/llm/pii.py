@@ -151,6 +151,52 @@ def term_set(text: str, base: list[tuple[int, int, int]]) -> set[str]:
     return {w for w, _, _ in free_terms(text, base)} if base else {w.lower() for w in set(TERM.findall(text))}
 
 
+class Wanted:
+    """The terms of texts that a filter of term hashes lets pass; what a word between blanks holds is remembered."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.words = bits, {}
+
+    def of_word(self, word: str) -> tuple[tuple[int, str], ...]:
+        """(hash, term as it is written) of the wanted terms in a word; a term never crosses a blank."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > HELD:
+                self.words.clear()
+            pairs = ((hash64(t.lower().encode()), t) for t in TERM.findall(word))
+            found = self.words[word] = tuple(p for p in pairs if in_filter(self.bits, p[0]))
+        return found
+
+    def of_text(self, text: str) -> set[tuple[int, str]]:
+        out: set[tuple[int, str]] = set()
+        for word in set(text.split()):
+            if found := self.of_word(word):
+                out.update(found)
+        return out
+
+
+def is_letter(c: str) -> bool:
+    """What TERM takes for a letter."""
+    return c.isalnum() and not c.isdecimal()
+
+
+def places_in(text: str, term: str) -> list[tuple[int, int]]:
+    """Where a term stands as a whole run of letters."""
+    out, at, n = [], text.find(term), len(term)
+    while at >= 0:
+        if not (at and is_letter(text[at - 1])) and not (at + n < len(text) and is_letter(text[at + n])):
+            out.append((at, at + n))
+        at = text.find(term, at + 1)
+    return out
+
+
+def outside(places: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The places that touch no base span."""
+    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    return [(s, e) for s, e in places if not (n := bisect_left(starts, e)) or ends[n - 1] <= s]
+
+
 def with_key(docs: DataFrame, name: str = "tkey") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
@@ -177,7 +223,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
         yield from batches_of(rows(), schema)
 
-    return materialize(docs.select("doc_id", "tkey", "text").mapInArrow(run, FOUND), "pii")
+    return materialize(docs.select("doc_id", "tkey", "text").mapInArrow(run, FOUND), "pii", texts=True)
 
 
 def term_frequency(docs: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -194,27 +240,21 @@ def term_frequency(docs: DataFrame, asked: DataFrame, texts: DataFrame) -> DataF
 
         def rows():
             once: dict[int, int] = {}
-            hashes: dict[str, int | None] = {}
+            wanted = Wanted(bits)
             seen: set[int] = set()
             for b in pieces(it):
                 for key, text in zip(*(c.to_pylist() for c in b.columns)):
                     if not text or key in seen:
                         continue
-                    own = []
-                    for w in term_set(text, base_spans(text)):
-                        if w not in hashes:
-                            h = hash64(w.encode())
-                            hashes[w] = h if in_filter(bits, h) else None
-                        if hashes[w] is not None:
-                            own.append(hashes[w])
+                    own = {h for h, _ in wanted.of_text(text)}
+                    if own and (base := base_spans(text)):
+                        own &= {hash64(w.encode()) for w in term_set(text, base)}
                     if in_filter(twice, key):
                         seen.add(key)
                         yield from ((h, 1, key) for h in own)
                     else:
                         for h in own:
                             once[h] = once.get(h, 0) + 1
-                    if len(hashes) > HELD:
-                        hashes.clear()
                     if len(once) > HELD:
                         yield from ((h, n, None) for h, n in once.items())
                         once = {}
@@ -222,7 +262,7 @@ def term_frequency(docs: DataFrame, asked: DataFrame, texts: DataFrame) -> DataF
 
         yield from batches_of(rows(), schema, 65536)
 
-    counts = materialize(docs.select("tkey", "text").mapInArrow(run, ddl), "counts")
+    counts = materialize(docs.select("tkey", "text").mapInArrow(run, ddl), "counts", texts=True)
     once = counts.where("of is null").select("t", "n")
     copies = counts.where("of is not null").select("t", "of").distinct().select("t", F.lit(1).cast("long").alias("n"))
     return once.unionByName(copies).groupBy("t").agg(F.sum("n").alias("n_t")).join(asked, "t", "left_semi")
@@ -251,7 +291,7 @@ def disclosures(docs: DataFrame, *, support: int = 3, sigmas: float = 3.0, gener
     strong = materialize(strong.groupBy("t").agg(F.max("share").alias("share")), "strong")
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")
     added = places_of(source, strong).join(strong, "t").groupBy("tkey").agg(F.array_sort(F.collect_set(F.struct("s", "e", action))).alias("terms"))
-    return found.drop("entities", "terms").join(materialize(added, "added"), "tkey", "left")
+    return found.drop("entities", "terms").join(materialize(added, "added", texts=True), "tkey", "left")
 
 
 def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -266,25 +306,18 @@ def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
             return
 
         def rows():
-            hashes: dict[str, int | None] = {}
+            wanted = Wanted(bits)
             hits: set[int] = set()
             for b in pieces(it):
                 for key, text in zip(*(c.to_pylist() for c in b.columns)):
                     if not text or key in hits:
                         continue
-                    hit = False
-                    for w in {w.lower() for w in set(TERM.findall(text))}:
-                        if w not in hashes:
-                            h = hash64(w.encode())
-                            hashes[w] = h if in_filter(bits, h) else None
-                        hit = hit or hashes[w] is not None
-                    if hit:
+                    if found := wanted.of_text(text):
                         hits.add(key)
-                        for w, s, e in free_terms(text, base_spans(text)):
-                            if (h := hashes[w]) is not None:
+                        base = base_spans(text)
+                        for h, term in found:
+                            for s, e in outside(places_in(text, term), base):
                                 yield key, h, s, e
-                    if len(hashes) > HELD:
-                        hashes.clear()
 
         yield from batches_of(rows(), schema, 65536)
 
