@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +102,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write once to the shared folder and read again: cuts the lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str = "t", *, texts: bool = False) -> DataFrame:
+    """Write once to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    texts: whole texts go to Python on the way, in smaller batches than the session's.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with few_rows_a_batch(spark) if texts else nullcontext():
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -157,7 +157,7 @@ def link_items(
     large = sized.where(~is_small).select("item", "comp", "weight")
     if not large.limit(1).count():
         return components(linked(small.join(texts_of(small.select("item")), "item"), "text", confirm))
-    texts = materialize(texts_of(sized.select("item")), "texts")
+    texts = materialize(texts_of(sized.select("item")), "texts", texts=True)
     done = linked(small.join(texts, "item"), "text", confirm)
     # Every item of a large cell and the least item that the sketches connected it to.
     star = edges.join(large.select(F.col("item").alias("b"), F.col("weight")), "b").groupBy("b").agg(F.min("a").alias("a"), F.first("weight").alias("weight"))

@@ -93,7 +93,7 @@ def judged(docs: DataFrame, *, host: str, min_docs: int, share: float, most_docs
     def each(doc_id, h, text):
         yield (doc_id, h, hash64((text or "").encode()), *text_stats(text))
 
-    stats = materialize(map_rows(docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), "text"), each, STATS), "quality")
+    stats = materialize(map_rows(docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("host"), "text"), each, STATS), "quality", texts=True)
     texts = stats.select("host", "tkey", "lines", "n_words")
     held = texts.select("host", "tkey", F.explode("lines").alias("l")).select("host", "tkey", F.col("l.h").alias("h"), F.col("l.w").alias("w")).groupBy("host", "tkey", "h").agg(F.first("w").alias("w"))
     held = materialize(held, "lines")
