@@ -13,6 +13,8 @@ def test_filter_holds_every_key(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     bits = np.frombuffer(common.bit_filter(df, "k"), np.int64)
     assert all(common.in_filter(bits, k) for k in keys)
+    some = [*keys, *(other() for _ in range(500))]
+    assert common.in_filter_all(bits, np.array(some)).tolist() == [common.in_filter(bits, k) for k in some]
     assert sum(common.in_filter(bits, other()) for _ in range(5000)) < 10
     assert not np.frombuffer(common.bit_filter(df.limit(0), "k"), np.int64).any()
 

@@ -208,19 +208,19 @@ def test_terms_are_found_in_the_test_data(spark):
     assert got.n > 0 and got.r == docs.count()
 
 
-def test_places_of_terms_equal_the_pattern():
+def test_wanted_terms_and_places():
     import random
 
     rng = random.Random(6)
+    texts = ["".join(rng.choice("aAbéÉ ßı\n\u00a0\u2003_1²٣.,@İ") for _ in range(rng.randint(0, 60))) for _ in range(300)]
     every = np.full(1 << 14, -1, np.int64)  # a filter that lets all pass
-    wanted = pii.Wanted(every)
-    for _ in range(400):
-        text = "".join(rng.choice("aAbéÉ ßı\n\u00a0\u2003_1²٣.,@İ") for _ in range(rng.randint(0, 60)))
-        want = sorted((pii.hash64(m.group().lower().encode()), *m.span()) for m in pii.TERM.finditer(text))
-        assert sorted((h, s, e) for h, t in wanted.of_text(text) for s, e in pii.places_in(text, t)) == want
+    for text, found in zip(texts, pii.wanted_terms(texts, every)):
+        assert found == {m.group(): pii.hash64(m.group().lower().encode()) for m in pii.TERM.finditer(text)}
         base = [(0, a, min(len(text), a + 3)) for a in sorted(rng.sample(range(60), 4)) if a < len(text)]
         spans = [m.span() for m in pii.TERM.finditer(text)]
         assert pii.outside(spans, base) == [(s, e) for _, s, e in pii.free_terms(text, base)]
+    assert pii.wanted_terms(["some text", ""], np.zeros(1 << 14, np.int64)) == [{}, {}]
+    assert pii.wanted_terms([], every) == []
 
 
 def test_classes_of_a_value():

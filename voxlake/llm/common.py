@@ -248,6 +248,14 @@ def in_filter(bits: np.ndarray, h: int) -> bool:
     return all((int(bits[at >> 6]) >> (at & 63)) & 1 for at in _places(h, len(bits) * 64 - 1))
 
 
+def in_filter_all(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """in_filter() for an array of signed hashes."""
+    out = np.ones(len(h), bool)
+    for at in _places(h, np.int64(len(bits) * 64 - 1)):
+        out &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+    return out
+
+
 # ---------------------------------------------------------------- connected components
 
 

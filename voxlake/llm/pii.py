@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, bit_filter, hash64, in_filter, map_rows, materialize, pieces
+from .common import arrow_schema, batches_of, bit_filter, hash64, hash_words, in_filter, in_filter_all, map_rows, materialize, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -151,43 +151,16 @@ def term_set(text: str, base: list[tuple[int, int, int]]) -> set[str]:
     return {w for w, _, _ in free_terms(text, base)} if base else {w.lower() for w in set(TERM.findall(text))}
 
 
-class Wanted:
-    """The terms of texts that a filter of term hashes lets pass; what a word between blanks holds is remembered."""
+def wanted_terms(texts: list[str], bits: np.ndarray) -> list[dict[str, int]]:
+    """For each text its terms, as they are written, that a filter of term hashes lets pass, with their hashes.
 
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits, self.words = bits, {}
-
-    def of_word(self, word: str) -> tuple[tuple[int, str], ...]:
-        """(hash, term as it is written) of the wanted terms in a word; a term never crosses a blank."""
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > HELD:
-                self.words.clear()
-            pairs = ((hash64(t.lower().encode()), t) for t in TERM.findall(word))
-            found = self.words[word] = tuple(p for p in pairs if in_filter(self.bits, p[0]))
-        return found
-
-    def of_text(self, text: str) -> set[tuple[int, str]]:
-        out: set[tuple[int, str]] = set()
-        for word in set(text.split()):
-            if found := self.of_word(word):
-                out.update(found)
-        return out
-
-
-def is_letter(c: str) -> bool:
-    """What TERM takes for a letter."""
-    return c.isalnum() and not c.isdecimal()
-
-
-def places_in(text: str, term: str) -> list[tuple[int, int]]:
-    """Where a term stands as a whole run of letters."""
-    out, at, n = [], text.find(term), len(term)
-    while at >= 0:
-        if not (at and is_letter(text[at - 1])) and not (at + n < len(text) and is_letter(text[at + n])):
-            out.append((at, at + n))
-        at = text.find(term, at + 1)
-    return out
+    The distinct terms of all the texts are hashed once and looked up together.
+    """
+    sets = [set(TERM.findall(t)) for t in texts]
+    every = list(set().union(*sets))
+    hashes = hash_words([w.lower().encode() for w in every]).view(np.int64)
+    held = {every[i]: int(hashes[i]) for i in np.flatnonzero(in_filter_all(bits, hashes))}
+    return [{w: held[w] for w in own & held.keys()} for own in sets]
 
 
 def outside(places: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -240,14 +213,14 @@ def term_frequency(docs: DataFrame, asked: DataFrame, texts: DataFrame) -> DataF
 
         def rows():
             once: dict[int, int] = {}
-            wanted = Wanted(bits)
             seen: set[int] = set()
             for b in pieces(it):
-                for key, text in zip(*(c.to_pylist() for c in b.columns)):
-                    if not text or key in seen:
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                for key, text, found in zip(b.column(0).to_pylist(), texts, wanted_terms(texts, bits)):
+                    if not found or key in seen:
                         continue
-                    own = {h for h, _ in wanted.of_text(text)}
-                    if own and (base := base_spans(text)):
+                    own = set(found.values())
+                    if base := base_spans(text):
                         own &= {hash64(w.encode()) for w in term_set(text, base)}
                     if in_filter(twice, key):
                         seen.add(key)
@@ -306,18 +279,14 @@ def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
             return
 
         def rows():
-            wanted = Wanted(bits)
             hits: set[int] = set()
             for b in pieces(it):
-                for key, text in zip(*(c.to_pylist() for c in b.columns)):
-                    if not text or key in hits:
-                        continue
-                    if found := wanted.of_text(text):
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                for key, text, found in zip(b.column(0).to_pylist(), texts, wanted_terms(texts, bits)):
+                    if found and key not in hits:
                         hits.add(key)
-                        base = base_spans(text)
-                        for h, term in found:
-                            for s, e in outside(places_in(text, term), base):
-                                yield key, h, s, e
+                        places = [m.span() for m in TERM.finditer(text) if m.group() in found]
+                        yield from ((key, found[text[s:e]], s, e) for s, e in outside(places, base_spans(text)))
 
         yield from batches_of(rows(), schema, 65536)
 
