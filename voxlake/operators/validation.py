@@ -51,31 +51,80 @@ def findings(have: set[str]) -> Column:
             F.when(v.isNull() & stated(name), _finding("error", "empty_required_tag", name, tag, f"{name} has no value")).when(v.isNull(), _finding("error", code, name, tag, f"{name} is required"))
             .when(good, _finding("pass", "present", name, tag, f"{name} has a value", v)).otherwise(bad)
         )
-    u16 = lambda n: F.when(col(n, "string").try_cast("int").between(0, 65535), col(n, "string").try_cast("int"))
+    blank = lambda name: F.nullif(F.trim(col(name, "string")), F.lit(""))
+
+    def u16(name: str) -> Column:
+        n = col(name, "string").try_cast("int")
+        return F.when(n.between(0, 65535), n)
+
+    def rule(name: str, tag: str | None, *cases: tuple, otherwise: tuple | None = None) -> None:
+        """The finding (level, code, message, value) of the first case (condition, finding) that holds."""
+        made = lambda level, code, message, value=None: _finding(level, code, name, tag, message, value)
+        out = F.when(cases[0][0], made(*cases[0][1]))
+        for when, what in cases[1:]:
+            out = out.when(when, made(*what))
+        rules.append(out.otherwise(made(*otherwise)) if otherwise else out)
+
     size = col("PixelDataLength", "long")
-    rules.append(F.when(size.isNull(), _finding("error", "missing_pixel_data", "PixelData", "(7FE0,0010)", "PixelData is required")).when(size == 0, _finding("error", "empty_pixel_data", "PixelData", "(7FE0,0010)", "PixelData has no bytes")).otherwise(_finding("pass", "present", "PixelData", "(7FE0,0010)", "PixelData has bytes", size)))
-    nf = F.nullif(F.trim(col("NumberOfFrames", "string")), F.lit(""))
-    rules.append(F.when(nf.isNull(), _finding("info", "default_number_of_frames", "NumberOfFrames", "(0028,0008)", "one frame is assumed", F.lit(1))).when(nf.try_cast("int") > 0, _finding("pass", "present", "NumberOfFrames", "(0028,0008)", "NumberOfFrames is positive", nf)).otherwise(_finding("error", "invalid_number_of_frames", "NumberOfFrames", "(0028,0008)", "NumberOfFrames must be a positive integer", nf)))
-    pc = F.nullif(F.trim(col("PlanarConfiguration", "string")), F.lit(""))
-    rules.append(F.when(pc.isNull(), _finding("info", "default_planar_configuration", "PlanarConfiguration", "(0028,0006)", "0 is assumed", F.lit(0))).when(pc.try_cast("int").isin(0, 1), _finding("pass", "present", "PlanarConfiguration", "(0028,0006)", "PlanarConfiguration is valid", pc)).otherwise(_finding("error", "invalid_planar_configuration", "PlanarConfiguration", "(0028,0006)", "PlanarConfiguration must be 0 or 1", pc)))
+    rule(
+        "PixelData", "(7FE0,0010)",
+        (size.isNull(), ("error", "missing_pixel_data", "PixelData is required")),
+        (size == 0, ("error", "empty_pixel_data", "PixelData has no bytes")),
+        otherwise=("pass", "present", "PixelData has bytes", size),
+    )
+    nf = blank("NumberOfFrames")
+    rule(
+        "NumberOfFrames", "(0028,0008)",
+        (nf.isNull(), ("info", "default_number_of_frames", "one frame is assumed", F.lit(1))),
+        (nf.try_cast("int") > 0, ("pass", "present", "NumberOfFrames is positive", nf)),
+        otherwise=("error", "invalid_number_of_frames", "NumberOfFrames must be a positive integer", nf),
+    )
+    pc = blank("PlanarConfiguration")
+    rule(
+        "PlanarConfiguration", "(0028,0006)",
+        (pc.isNull(), ("info", "default_planar_configuration", "0 is assumed", F.lit(0))),
+        (pc.try_cast("int").isin(0, 1), ("pass", "present", "PlanarConfiguration is valid", pc)),
+        otherwise=("error", "invalid_planar_configuration", "PlanarConfiguration must be 0 or 1", pc),
+    )
     pr, ba, bs, hb = u16("PixelRepresentation"), u16("BitsAllocated"), u16("BitsStored"), u16("HighBit")
-    rules.append(F.when(pr > 1, _finding("error", "invalid_pixel_representation", "PixelRepresentation", "(0028,0103)", "PixelRepresentation must be 0 or 1", pr)))
-    rules.append(F.when(~ba.isin(8, 16), _finding("error", "unsupported_bits_allocated", "BitsAllocated", "(0028,0100)", "BitsAllocated must be 8 or 16", ba)))
-    rules.append(F.when(~bs.between(F.lit(1), ba), _finding("error", "invalid_bits_stored", "BitsStored", "(0028,0101)", "BitsStored must lie in 1..BitsAllocated", bs)))
-    rules.append(F.when(~((bs > 0) & (hb == F.greatest(bs - 1, F.lit(0))) & (hb < ba)), _finding("error", "invalid_high_bit", "HighBit", "(0028,0102)", "HighBit must be BitsStored - 1 and below BitsAllocated", hb)))
+    right_high = (bs > 0) & (hb == F.greatest(bs - 1, F.lit(0))) & (hb < ba)
+    rule("PixelRepresentation", "(0028,0103)", (pr > 1, ("error", "invalid_pixel_representation", "PixelRepresentation must be 0 or 1", pr)))
+    rule("BitsAllocated", "(0028,0100)", (~ba.isin(8, 16), ("error", "unsupported_bits_allocated", "BitsAllocated must be 8 or 16", ba)))
+    rule("BitsStored", "(0028,0101)", (~bs.between(F.lit(1), ba), ("error", "invalid_bits_stored", "BitsStored must lie in 1..BitsAllocated", bs)))
+    rule("HighBit", "(0028,0102)", (~right_high, ("error", "invalid_high_bit", "HighBit must be BitsStored - 1 and below BitsAllocated", hb)))
     kind = color_type(ba, F.trim(col("PhotometricInterpretation", "string")))
-    rules.append(F.when(kind.isNull(), _finding("error", "unsupported_output_color_type", "Output color type", None, "no output colour type fits")).otherwise(_finding("pass", "present", "Output color type", None, "an output colour type fits", kind)))
+    rule(
+        "Output color type", None,
+        (kind.isNull(), ("error", "unsupported_output_color_type", "no output colour type fits")),
+        otherwise=("pass", "present", "an output colour type fits", kind),
+    )
     for name, tag in OPTIONAL:
-        v = F.nullif(F.trim(col(name, "string")), F.lit(""))
-        rules.append(F.when(v.isNull(), _finding("warning", "optional_tag_absent", name, tag, f"{name} is absent")).otherwise(_finding("info", "optional_tag_present", name, tag, f"{name} has a value", v)))
+        v = blank(name)
+        rule(name, tag, (v.isNull(), ("warning", "optional_tag_absent", f"{name} is absent")), otherwise=("info", "optional_tag_present", f"{name} has a value", v))
     voi = col("VOILUTFunction", "string")
-    rules.append(F.when(F.trim(voi) == "", _finding("warning", "empty_voi_lut_function", "VOILUTFunction", "(0028,1056)", "VOILUTFunction is empty")).when(voi.isNull(), _finding("info", "voi_lut_function_absent", "VOILUTFunction", "(0028,1056)", "LINEAR is assumed")).otherwise(_finding("info", "voi_lut_function_present", "VOILUTFunction", "(0028,1056)", "VOILUTFunction has a value", voi)))
+    rule(
+        "VOILUTFunction", "(0028,1056)",
+        (F.trim(voi) == "", ("warning", "empty_voi_lut_function", "VOILUTFunction is empty")),
+        (voi.isNull(), ("info", "voi_lut_function_absent", "LINEAR is assumed")),
+        otherwise=("info", "voi_lut_function_present", "VOILUTFunction has a value", voi),
+    )
     items = col("VOILUTSequenceItems", "int")
-    rules.append(F.when(items.isNull(), _finding("info", "voi_lut_sequence_absent", "VOILUTSequence", "(0028,3010)", "VOILUTSequence is absent")).otherwise(_finding("info", "voi_lut_sequence_present", "VOILUTSequence", "(0028,3010)", "VOILUTSequence is there", items)))
-    spacing = col("PixelSpacing", "array<double>")
-    rules.append(F.when(resolution(spacing).isNull(), _finding("warning", "resolution_unavailable", "Pixel spacing", "(0028,0030)", "no pixel spacing")).otherwise(_finding("info", "resolution_available", "Pixel spacing", "(0028,0030)", "pixel spacing is known")))
+    rule(
+        "VOILUTSequence", "(0028,3010)",
+        (items.isNull(), ("info", "voi_lut_sequence_absent", "VOILUTSequence is absent")),
+        otherwise=("info", "voi_lut_sequence_present", "VOILUTSequence is there", items),
+    )
+    rule(
+        "Pixel spacing", "(0028,0030)",
+        (resolution(col("PixelSpacing", "array<double>")).isNull(), ("warning", "resolution_unavailable", "no pixel spacing")),
+        otherwise=("info", "resolution_available", "pixel spacing is known"),
+    )
     ready = (F.trim(col("StudyInstanceUID", "string")) != "") & (F.trim(col("SOPInstanceUID", "string")) != "")
-    rules.append(F.when(F.coalesce(ready, F.lit(False)), _finding("info", "directory_output_ready", "Directory output naming", None, "identifiers name an output")).otherwise(_finding("warning", "directory_output_not_ready", "Directory output naming", None, "identifiers are missing")))
+    rule(
+        "Directory output naming", None,
+        (F.coalesce(ready, F.lit(False)), ("info", "directory_output_ready", "identifiers name an output")),
+        otherwise=("warning", "directory_output_not_ready", "identifiers are missing"),
+    )
     return F.filter(F.array(*rules), lambda r: r.isNotNull())
 
 
