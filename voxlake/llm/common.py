@@ -267,7 +267,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     of the round before are removed.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    # Both directions of a row at once: a union would compute the edges twice.
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = materialize(e.select(turned).select("e.a", "e.b").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("an")).agg(F.min("comp").alias("m"))

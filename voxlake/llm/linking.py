@@ -86,7 +86,7 @@ def crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
     top = F.max(F.struct("c", "label", "cw"))
     facts = per.groupBy("key").agg(top.alias("top"), F.sum("c").alias("n"), F.sum("cw").alias("w"), F.count("*").alias("k")).where("k > 1")
     facts = materialize(facts.select("key", F.col("top.label").alias("commonest"), (F.col("n") - F.col("top.c")).alias("u"), (F.col("w") - F.col("top.cw")).alias("uw"), "n", "w"), "facts")
-    return rows.join(facts, "key").withColumn("probe", F.col("label") != F.col("commonest")).drop("commonest")
+    return materialize(rows.join(facts, "key").withColumn("probe", F.col("label") != F.col("commonest")).drop("commonest"), "crossing")
 
 
 def rooms(crossed: DataFrame, bound: int, room_bytes: int) -> DataFrame:
@@ -98,8 +98,8 @@ def rooms(crossed: DataFrame, bound: int, room_bytes: int) -> DataFrame:
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
     asking = long.where("probe").withColumns({"ub": F.pmod("h", "mu"), "nb": every("mn")})
     asked = long.withColumns({"nb": F.pmod("h", "mn"), "ub": every("mu"), "probe": F.lit(False)})
-    both = asking.unionByName(asked.select(*asking.columns))
-    return small.unionByName(both.select(F.xxhash64("key", "ub", "nb").alias("key"), "item", "label", "probe"))
+    room = lambda d: d.select(F.xxhash64("key", "ub", "nb").alias("key"), "item", "label", "probe")
+    return small.unionByName(room(asking)).unionByName(room(asked))
 
 
 def least_first(t: pa.Table, value: str) -> tuple[np.ndarray, list, np.ndarray | None, np.ndarray | None]:
@@ -158,7 +158,7 @@ def link_items(
     if not large.limit(1).count():
         return components(linked(small.join(texts_of(small.select("item")), "item"), "text", confirm))
     texts = materialize(texts_of(sized.select("item")), "texts", texts=True)
-    done = linked(small.join(texts, "item"), "text", confirm)
+    done = materialize(linked(small.join(texts, "item"), "text", confirm), "done")
     # Every item of a large cell and the least item that the sketches connected it to.
     star = edges.join(large.select(F.col("item").alias("b"), F.col("weight")), "b").groupBy("b").agg(F.min("a").alias("a"), F.first("weight").alias("weight"))
     rays = star.groupBy("a").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
@@ -169,7 +169,7 @@ def link_items(
     direct = materialize(linked(leaf.unionByName(root).join(texts, "item"), "text", confirm), "direct")
     held = materialize(own_labels(large, components(direct), sketches), "labels")
     in_cell = lists.join(large.select("item", "comp"), "item").select(F.xxhash64("comp", "key").alias("key"), "item")
-    across = linked(rooms(crossing(in_cell, held), bound, room_bytes).join(texts, "item"), "text", confirm)
+    across = materialize(linked(rooms(crossing(in_cell, held), bound, room_bytes).join(texts, "item"), "text", confirm), "across")
     return components(done.unionByName(direct).unionByName(across))
 
 

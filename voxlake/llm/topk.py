@@ -205,9 +205,10 @@ def _one_dim(spark, classes: DataFrame, queries: DataFrame, dim: int, k: int, bl
         slices = materialize(slices, "slices")  # one row a block
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("slice")
         spread = cands.join(slices, "block").select("block", "side", "x", "ids", "floor", every)
-        mine = asked.join(slices, "block").select("block", F.lit(1).alias("side"), "x", F.lit(None).cast("array<long>").alias("ids"), "floor", F.pmod(F.xxhash64("x"), "m").alias("slice"))
-        both = spread.unionByName(mine).withColumn("key", F.xxhash64("block", "slice")).drop("block", "slice")
-        return by_groups(both, search(with_floor), found_ddl)
+        own = F.pmod(F.xxhash64("x"), "m").alias("slice")
+        mine = asked.join(slices, "block").select("block", F.lit(1).alias("side"), "x", F.lit(None).cast("array<long>").alias("ids"), "floor", own)
+        keyed = lambda d: d.select(F.xxhash64("block", "slice").alias("key"), "side", "x", "ids", "floor")
+        return by_groups(keyed(spread).unionByName(keyed(mine)), search(with_floor), found_ddl)
 
     found = materialize(by_slices(wanted.select(F.lit(first).cast("long").alias("block"), "x", F.lit(least).alias("floor")), False), "top")
     if n_blocks > 1:
