@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, minhash, mixing, packing, pii, quality, sql, substrings, tokens, topk
+from . import align, divergence, ffd, langid, lines, minhash, mixing, packing, pii, quality, sql, substrings, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,17 @@ def op10_quality_rules(spark, sf_dir):
     return quality.line_frequency_rules(table(spark, sf_dir, "documents")).drop("host", "tkey")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_pii, op4_line_dedup, op5_language_id, op6_substring_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_mixing, op10_quality_rules)}
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    return align.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def op13_first_fit_packing(spark, sf_dir):
+    return ffd.first_fit_packing(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_pii, op4_line_dedup, op5_language_id, op6_substring_dedup, op7_minhash_near_dedup, op8_exact_top_k, op9_mixing, op10_quality_rules, op11_cross_tokenizer_alignment, op12_source_divergence, op13_first_fit_packing)}
 SQL = sql.SQL
