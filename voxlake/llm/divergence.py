@@ -93,7 +93,7 @@ def share(n: Column, total: Column, terms: Column, smooth: int, scale: int) -> C
 class Audit:
     """Tables that both parts read, written once: counts of kept terms, groups, languages.
 
-    kept (lang, term, n); cells (lang, sid, term, n); groups (lang, source, sid, n_terms, total); langs (lang, v, total).
+    kept (lang, term, n); cells (lang, sid, term, n); groups (lang, source, sid, v, n_terms, total, lang_total); langs (lang, v, total).
     """
 
     def __init__(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> None:
@@ -106,9 +106,9 @@ class Audit:
         held = named.where("n > 0").join(self.kept.select("lang", "term"), ["lang", "term"])
         self.cells = materialize(held.join(ids, ["lang", "source"]).select("lang", "sid", "term", "n"), "cells")
         totals = self.cells.groupBy("lang", "sid").agg(F.count("*").alias("n_terms"), F.sum("n").alias("total"))
-        whole = ids.join(v.select("lang", "v"), "lang", "left").join(totals, ["lang", "sid"], "left")
+        whole = ids.join(v.withColumnRenamed("total", "lang_total"), "lang", "left").join(totals, ["lang", "sid"], "left")
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-        self.groups = materialize(whole.select("lang", "source", "sid", zero("v"), zero("n_terms"), zero("total")), "groups")
+        self.groups = materialize(whole.select("lang", "source", "sid", zero("v"), zero("n_terms"), zero("total"), zero("lang_total")), "groups")
         self.langs = v
         release(counts, ids)
 
@@ -152,10 +152,9 @@ def source_distances(audit: Audit, *, smooth: int = SMOOTH, scale: int = SCALE,
 
 def telling_terms(audit: Audit, *, smooth: int = SMOOTH, scale: int = SCALE) -> DataFrame:
     """(lang, source, item, value): terms that a source has a larger share of than its language."""
-    group = audit.groups.select("lang", "sid", "source", "v", "total")
-    lang = audit.langs.select("lang", F.col("total").alias("lang_total"))
+    group = audit.groups.select("lang", "sid", "source", "v", "total", "lang_total")  # nothing is joined by language alone
     of_lang = audit.kept.select("lang", "term", F.col("n").alias("lang_n"))
-    rows = audit.cells.join(of_lang, ["lang", "term"]).join(group, ["lang", "sid"]).join(lang, "lang")
+    rows = audit.cells.join(of_lang, ["lang", "term"]).join(group, ["lang", "sid"])
     value = share(F.col("n"), F.col("total"), F.col("v"), smooth, scale) - share(F.col("lang_n"), F.col("lang_total"), F.col("v"), smooth, scale)
     return rows.select("lang", "source", F.col("term").alias("item"), value.alias("value")).where("value > 0")
 
