@@ -104,6 +104,11 @@ def fuse(mip: np.ndarray, centre: np.ndarray, mip_weight: float = 1.5) -> np.nda
     m, c = bilateral(mip), bilateral(centre)
     em = upsample(blur(m)[::2, ::2], m.shape)
     ec = upsample(blur(c)[::2, ::2], c.shape)
+    return combine(m, c, em, ec, mip_weight)
+
+
+def combine(m: np.ndarray, c: np.ndarray, em: np.ndarray, ec: np.ndarray, mip_weight: float = 1.5) -> np.ndarray:
+    """Both images and what their coarse levels say of them, as u16."""
     out = ec + 2 * ec * ((c - ec) + mip_weight * (m - em))
     return (np.clip(out, 0, 1) * 65535).astype(np.uint16)
 

@@ -29,9 +29,15 @@ def central_slice(frames: DataFrame, series: str, order: list[str]) -> DataFrame
     return numbered(frames, series, order).where(F.col("idx") == F.floor(F.col("n") / 2)).drop("n")
 
 
-def trimmed(frames: DataFrame, series: str, order: list[str], skip_start: int = 0, skip_end: int = 0) -> DataFrame:
-    """Frames [min(n, start), max(0, n - end)) of each series; series left empty vanish."""
-    return numbered(frames, series, order).where((F.col("idx") >= skip_start) & (F.col("idx") < F.col("n") - skip_end))
+def trimmed(frames: DataFrame, series: str, order: list[str], skip_start: int = 0, skip_end: int = 0, *, empty: str = "drop") -> DataFrame:
+    """Frames [min(n, start), max(0, n - end)) of each series; a series that is left empty goes, or is an error (empty="error")."""
+    kept = (F.col("idx") >= skip_start) & (F.col("idx") < F.col("n") - skip_end)
+    if empty == "error":
+        said = F.concat(F.lit("EMPTY_VOLUME: no frame is left of series "), F.coalesce(F.col(series).cast("string"), F.lit("null")))
+        kept = F.when(F.col("n") <= skip_start + skip_end, F.raise_error(said).cast("boolean")).otherwise(kept)
+    elif empty != "drop":
+        raise ValueError(f"unknown choice {empty!r}")
+    return numbered(frames, series, order).where(kept)
 
 
 def max_intensity(pixels: DataFrame, series: str) -> DataFrame:

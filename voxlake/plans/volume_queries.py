@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxlake.functions import geometry
 from voxlake.operators import pixels as P
@@ -94,10 +95,9 @@ def pyramid_blur_down(spark, sf):
 
 
 @query(
-    PX + ", g AS (SELECT o, (o * 7) // 14 AS lo, least((o * 7) // 14 + 1, 7) AS hi, o * 7 / 14.0::DOUBLE - floor(o * 7 / 14.0::DOUBLE) AS f FROM (SELECT unnest(range(0, 15))::BIGINT AS o)) "
-    "SELECT a.series, a.sop, gx.o AS x, gy.o AS y, ((a.px * (1 - gx.f) + b.px * gx.f) * (1 - gy.f) * 4 + (c.px * (1 - gx.f) + d.px * gx.f) * gy.f * 4)::BIGINT AS v4 "
-    "FROM px a JOIN g gx ON a.x = gx.lo JOIN g gy ON a.y = gy.lo JOIN px b ON b.series = a.series AND b.sop = a.sop AND b.x = gx.hi AND b.y = gy.lo "
-    "JOIN px c ON c.series = a.series AND c.sop = a.sop AND c.x = gx.lo AND c.y = gy.hi JOIN px d ON d.series = a.series AND d.sop = a.sop AND d.x = gx.hi AND d.y = gy.hi"
+    PX + ", g AS (SELECT o, (o * 7) // 14 AS lo, least((o * 7) // 14 + 1, 7) AS hi, o * 7 / 14.0::DOUBLE - floor(o * 7 / 14.0::DOUBLE) AS f FROM (SELECT unnest(range(0, 15))::BIGINT AS o)), "
+    "t AS (SELECT o, lo AS i, 1 - f AS w FROM g UNION ALL SELECT o, hi, f FROM g), k AS (SELECT o, i, sum(w) AS w FROM t GROUP BY ALL HAVING sum(w) > 0) "
+    "SELECT p.series, p.sop, gx.o AS x, gy.o AS y, sum(p.px * gx.w * gy.w * 4)::BIGINT AS v4 FROM px p JOIN k gx ON p.x = gx.i JOIN k gy ON p.y = gy.i GROUP BY ALL"
 )
 def pyramid_upsample(spark, sf):
     w = V.corner_weights(SIDE, 15)
@@ -105,27 +105,29 @@ def pyramid_upsample(spark, sf):
     return explode_frames(out, ["series", "sop"], 15).withColumnRenamed("px", "v4")
 
 
-def _bilateral_sql(image: str, keys: str, name: str) -> str:
-    """CTE `name`: the bilateral filter of image (keys, x, y, v FLOAT), 8 x 8, neighbours repeated at the edges."""
+def _bilateral_sql(image: str, keys: str, name: str, side: int = SIDE) -> str:
+    """CTE `name`: the bilateral filter of image (keys, x, y, v FLOAT), neighbours repeated at the edges."""
     same = " AND ".join(f"n.{k} = p.{k}" for k in keys.split(", "))
     own = ", ".join(f"p.{k}" for k in keys.split(", "))
     return (
-        f"{name}_off AS (SELECT unnest(range(-6, 7))::BIGINT AS o), "
-        f"{name}_nb AS (SELECT {own}, p.x, p.y, n.v, exp(-(dx.o * dx.o + dy.o * dy.o) / 18.0::DOUBLE) * exp(-(floor(CAST(CAST(least(CAST((n.v - p.v) * (n.v - p.v) AS FLOAT), 1::FLOAT) * 2047::FLOAT AS FLOAT) + 0.5::FLOAT AS FLOAT)::DOUBLE) / 2047.0::DOUBLE) / (2 * 0.015::DOUBLE * 0.015::DOUBLE)) AS w "
-        f"FROM {image} p CROSS JOIN {name}_off dx CROSS JOIN {name}_off dy JOIN {image} n ON {same} AND n.x = least(greatest(p.x + dx.o, 0), 7) AND n.y = least(greatest(p.y + dy.o, 0), 7)), "
+        f"{name}_at AS (SELECT o, d, least(greatest(o + d, 0), {side - 1}) AS i FROM (SELECT unnest(range(0, {side}))::BIGINT AS o), (SELECT unnest(range(-6, 7))::BIGINT AS d)), "
+        f"{name}_pn AS (SELECT {own}, p.x, p.y, p.v, a.d AS dx, b.d AS dy, a.i AS nx, b.i AS ny FROM {image} p JOIN {name}_at a ON a.o = p.x JOIN {name}_at b ON b.o = p.y), "
+        f"{name}_nb AS (SELECT {own}, p.x, p.y, n.v, exp(-(p.dx * p.dx + p.dy * p.dy) / 18.0::DOUBLE) * exp(-(floor(CAST(CAST(least(CAST((n.v - p.v) * (n.v - p.v) AS FLOAT), 1::FLOAT) * 2047::FLOAT AS FLOAT) + 0.5::FLOAT AS FLOAT)::DOUBLE) / 2047.0::DOUBLE) / (2 * 0.015::DOUBLE * 0.015::DOUBLE)) AS w "
+        f"FROM {name}_pn p JOIN {image} n ON {same} AND n.x = p.nx AND n.y = p.ny), "
         f"{name} AS (SELECT {keys}, x, y, sum(v::DOUBLE * w) / sum(w) AS v FROM {name}_nb GROUP BY ALL)"
     )
 
 
-def _expanded_sql(image: str, name: str) -> str:
-    """CTE `name`: image (series, x, y, v) blurred, halved and interpolated back, 8 x 8."""
+def _expanded_sql(image: str, name: str, side: int = SIDE) -> str:
+    """CTE `name`: image (series, x, y, v) blurred, halved and interpolated back, for an even side."""
+    n, last = side // 2, side - 1
     return (
-        f"{name}_t AS (SELECT d, w FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) v(d, w)), {name}_o AS (SELECT unnest(range(0, 4))::BIGINT AS o), "
-        f"{name}_d AS (SELECT p.series, gx.o AS x, gy.o AS y, sum(a.w * b.w * p.v) / 256 AS v FROM {name}_o gx CROSS JOIN {name}_o gy CROSS JOIN {name}_t a CROSS JOIN {name}_t b "
-        f"JOIN {image} p ON p.x = least(greatest(2 * gx.o + a.d, 0), 7) AND p.y = least(greatest(2 * gy.o + b.d, 0), 7) GROUP BY ALL), "
-        f"{name}_g AS (SELECT o, (o * 3) // 7 AS lo, least((o * 3) // 7 + 1, 3) AS hi, o * 3 / 7.0::DOUBLE - floor(o * 3 / 7.0::DOUBLE) AS f FROM (SELECT unnest(range(0, 8))::BIGINT AS o)), "
-        f"{name} AS (SELECT a.series, gx.o AS x, gy.o AS y, (a.v * (1 - gx.f) + b.v * gx.f) * (1 - gy.f) + (c.v * (1 - gx.f) + d.v * gx.f) * gy.f AS v FROM {name}_d a JOIN {name}_g gx ON a.x = gx.lo JOIN {name}_g gy ON a.y = gy.lo "
-        f"JOIN {name}_d b ON b.series = a.series AND b.x = gx.hi AND b.y = gy.lo JOIN {name}_d c ON c.series = a.series AND c.x = gx.lo AND c.y = gy.hi JOIN {name}_d d ON d.series = a.series AND d.x = gx.hi AND d.y = gy.hi)"
+        f"{name}_t AS (SELECT d, w FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) v(d, w)), {name}_o AS (SELECT unnest(range(0, {n}))::BIGINT AS o), "
+        f"{name}_k AS (SELECT o, least(greatest(2 * o + d, 0), {last}) AS i, sum(w) AS w FROM {name}_o CROSS JOIN {name}_t GROUP BY ALL), "
+        f"{name}_d AS (SELECT p.series, a.o AS x, b.o AS y, sum(a.w * b.w * p.v) / 256 AS v FROM {image} p JOIN {name}_k a ON p.x = a.i JOIN {name}_k b ON p.y = b.i GROUP BY ALL), "
+        f"{name}_g AS (SELECT o, (o * {n - 1}) // {last} AS lo, least((o * {n - 1}) // {last} + 1, {n - 1}) AS hi, o * {n - 1} / {last}.0::DOUBLE - floor(o * {n - 1} / {last}.0::DOUBLE) AS f FROM (SELECT unnest(range(0, {side}))::BIGINT AS o)), "
+        f"{name}_u AS (SELECT o, i, sum(w) AS w FROM (SELECT o, lo AS i, 1 - f AS w FROM {name}_g UNION ALL SELECT o, hi, f FROM {name}_g) GROUP BY ALL), "
+        f"{name} AS (SELECT p.series, a.o AS x, b.o AS y, sum(a.w * b.w * p.v) AS v FROM {name}_d p JOIN {name}_u a ON p.x = a.i JOIN {name}_u b ON p.y = b.i GROUP BY ALL)"
     )
 
 
@@ -155,6 +157,59 @@ def volume_laplacian_mip(spark, sf):
     return explode_frames(laplacian_mip(frames(spark, sf), "series", "sop", SIDE, SIDE), ["series"], SIDE)
 
 
+#: Frames of 64 x 64, each from one embedding: the product of its values at x and y. Tiles of 16, four frames trimmed.
+BIG, TILE, SKIPPED = 64, 16, (1, 3)
+BIG_PX = (
+    "WITH big AS (SELECT label::BIGINT AS series, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, count(*) OVER (PARTITION BY label) AS n, embedding FROM embeddings), "
+    f"few AS (SELECT * FROM big WHERE idx >= {SKIPPED[0]} AND idx < n - {SKIPPED[1]}), line AS (SELECT unnest(range(0, {BIG}))::BIGINT AS o), "
+    "px AS (SELECT series, idx, n, ax.o AS x, ay.o AS y, floor(least(greatest(embedding[ax.o + 1]::DOUBLE, 0) * greatest(embedding[ay.o + 1]::DOUBLE, 0), 1) * 65535)::BIGINT AS px FROM few CROSS JOIN line ax CROSS JOIN line ay), "
+)
+
+
+def big_frames(spark, sf):
+    """(series, sop, data): 64 x 64 frames as little-endian u16."""
+    from voxlake.operators.tiles import map_rows
+
+    def each(rows):
+        import numpy as np
+
+        for series, sop, v in rows:
+            e = np.maximum(np.array(v, np.float32).astype(np.float64), 0)
+            yield series, sop, np.floor(np.minimum(np.outer(e, e), 1) * 65535).astype("<u2").tobytes()
+
+    df = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("series"), F.col("vec_id").cast("long").alias("sop"), "embedding")
+    return map_rows(df, each, T.StructType.fromDDL("series long, sop long, data binary"))
+
+
+def _big_fused(centre: str) -> str:
+    return BIG_PX + (
+        f"two AS (SELECT series, x, y, max(px) AS m, sum(px)::BIGINT AS s, max(px) FILTER (WHERE idx - {SKIPPED[0]} = (n - {sum(SKIPPED)}) // 2) AS mid, count(*) AS n FROM px GROUP BY ALL), "
+        f"im AS (SELECT series, x, y, CAST(m::FLOAT / 65535::FLOAT AS FLOAT) AS v FROM two), ic AS (SELECT series, x, y, {centre} AS v FROM two), "
+        + _bilateral_sql("im", "series", "bm", BIG) + ", " + _bilateral_sql("ic", "series", "bc", BIG) + ", " + _expanded_sql("bm", "em", BIG) + ", " + _expanded_sql("bc", "ec", BIG) +
+        " SELECT t.series, t.x, t.y, CASE WHEN t.n = 1 THEN t.m ELSE floor(least(greatest(ec.v + 2 * ec.v * ((bc.v - ec.v) + 1.5 * (bm.v - em.v)), 0), 1) * 65535)::BIGINT END AS px FROM two t "
+        "JOIN bm USING (series, x, y) JOIN bc USING (series, x, y) JOIN em USING (series, x, y) JOIN ec USING (series, x, y)"
+    )
+
+
+def _fuse_big(spark, sf, central):
+    from voxlake.operators import tiles
+
+    grid = tiles.Grid(BIG, BIG, TILE)
+    return tiles.tile_samples(tiles.fuse_tiles(big_frames(spark, sf), "series", ["sop"], grid, central=central, skip_start=SKIPPED[0], skip_end=SKIPPED[1], empty="drop"), ["series"], grid)
+
+
+@query(_big_fused("CASE WHEN max(s) OVER (PARTITION BY series) > 0 THEN CAST(s::FLOAT / (max(s) OVER (PARTITION BY series))::FLOAT AS FLOAT) ELSE 0::FLOAT END"))
+def fusion_tiles_parallel_beam(spark, sf):
+    """Fusion with the depth sum as the centre, frames trimmed, tile by tile."""
+    return _fuse_big(spark, sf, "parallel-beam")
+
+
+@query(_big_fused("CAST(mid::FLOAT / 65535::FLOAT AS FLOAT)"))
+def fusion_tiles_central_slice(spark, sf):
+    """Fusion with the middle frame as the centre, frames trimmed, tile by tile."""
+    return _fuse_big(spark, sf, "central-slice")
+
+
 def _lines(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("channel"), F.col("l_linestatus").alias("part"), F.col("l_extendedprice").alias("v"))
 
