@@ -76,10 +76,15 @@ class Dataset(dict):
         return [NAME.get(p, f"({p[0]:04X},{p[1]:04X})") for p in struct.iter_unpack("<HH", v)] if isinstance(v, bytes) and len(v) % 4 == 0 else []
 
 
+def _at(c: bytes, kinds: str, at: int) -> tuple:
+    """Numbers at a place of anything that gives bytes for a slice."""
+    return struct.unpack(kinds, c[at : at + struct.calcsize(kinds)])
+
+
 def _items(c: bytes, at: int, end: int, explicit: bool) -> tuple[list[Dataset], int]:
     out = []
     while at + 8 <= end:
-        g, e, n = struct.unpack_from("<HHI", c, at)
+        g, e, n = _at(c, "<HHI", at)
         at += 8
         if (g, e) != (0xFFFE, 0xE000):
             break
@@ -88,10 +93,10 @@ def _items(c: bytes, at: int, end: int, explicit: bool) -> tuple[list[Dataset],
     return out, at
 
 
-def _elements(c: bytes, at: int, end: int, explicit: bool, meta: bool = False) -> tuple[Dataset, int]:
+def _elements(c: bytes, at: int, end: int, explicit: bool, meta: bool = False, spans: bool = False) -> tuple[Dataset, int]:
     ds = Dataset()
     while at + 8 <= end:
-        g, e = struct.unpack_from("<HH", c, at)
+        g, e = _at(c, "<HH", at)
         if meta and g != 2:
             break
         if g == 0xFFFE:
@@ -101,23 +106,28 @@ def _elements(c: bytes, at: int, end: int, explicit: bool, meta: bool = False) -
         if explicit:
             vr = c[at + 4 : at + 6].decode("latin-1")
             if vr in LONG:
-                (n,), at = struct.unpack_from("<I", c, at + 8), at + 12
+                (n,), at = _at(c, "<I", at + 8), at + 12
             else:
-                (n,), at = struct.unpack_from("<H", c, at + 6), at + 8
+                (n,), at = _at(c, "<H", at + 6), at + 8
         else:
             vr = ATTRIBUTES[key][2] if isinstance(key, str) else "UN"
-            (n,), at = struct.unpack_from("<I", c, at + 4), at + 8
+            (n,), at = _at(c, "<I", at + 4), at + 8
         ds.vr[key] = vr
         if key == "PixelData" and n == UNDEFINED:
             frags = []
             while at + 8 <= len(c):
-                ig, ie, m = struct.unpack_from("<HHI", c, at)
+                ig, ie, m = _at(c, "<HHI", at)
                 at += 8
                 if (ig, ie) != (0xFFFE, 0xE000):
                     break
-                frags.append(c[at : at + m])
+                frags.append(range(at, at + m) if spans else c[at : at + m])
                 at += m
             ds[key] = frags
+        elif key == "PixelData" and spans:
+            if at + n > len(c):
+                raise ImageError("TRUNCATED_DICOM", f"{key} ends beyond the file")
+            ds[key] = [range(at, at + n)]
+            at += n
         elif vr == "SQ" or n == UNDEFINED:
             ds[key], at = _items(c, at, end if n == UNDEFINED else at + n, explicit)
         else:
@@ -128,24 +138,25 @@ def _elements(c: bytes, at: int, end: int, explicit: bool, meta: bool = False) -
     return ds, at
 
 
-def parse(content: bytes) -> Dataset:
-    """The dataset with its file meta attributes."""
+def parse(content: bytes, spans: bool = False) -> Dataset:
+    """The dataset with its file meta attributes; spans: pixel data as the ranges of its bytes in the file, which aren't read."""
     if content[128:132] != b"DICM":
         raise ImageError("NOT_DICOM", "no DICM at byte 128")
     try:
-        return _parse(content)
+        return _parse(content, spans)
     except (struct.error, UnicodeDecodeError, zlib.error, RecursionError) as e:
         raise ImageError("INVALID_DICOM", str(e)) from e
 
 
-def _parse(content: bytes) -> Dataset:
+def _parse(content: bytes, spans: bool = False) -> Dataset:
     meta, at = _elements(content, 132, len(content), True, meta=True)
     syntax = meta.text("TransferSyntaxUID") or EXPLICIT
     if syntax == BIG_ENDIAN:
         raise ImageError("UNSUPPORTED_TRANSFER_SYNTAX", syntax)
     if syntax == DEFLATED:
-        content, at = zlib.decompress(content[at:], -15), 0
-    ds, _ = _elements(content, at, len(content), syntax != IMPLICIT)
+        content, at = zlib.decompress(content[at:], -15), 0  # ranges would be of what was inflated
+        spans = False
+    ds, _ = _elements(content, at, len(content), syntax != IMPLICIT, spans=spans)
     for k, v in meta.items():
         ds.setdefault(k, v)
         ds.vr.setdefault(k, meta.vr[k])

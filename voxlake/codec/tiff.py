@@ -282,38 +282,42 @@ class Page:
 
 
 class Tiff:
-    """Pages of a classic TIFF of either byte order."""
+    """Pages of a classic TIFF of either byte order; content may be anything that gives bytes for a slice."""
 
     def __init__(self, content: bytes) -> None:
         if content[:4] not in (b"II*\0", b"MM\0*"):
             raise ImageError("NOT_TIFF", "no TIFF header")
         self.content, self.order = content, "<" if content[:2] == b"II" else ">"
         self._pages: list[Page] = []
-        self._next = struct.unpack_from(self.order + "I", content, 4)[0]
+        (self._next,) = self._values("I", 4)
         self._seen: set[int] = set()
 
+    def _values(self, kinds: str, at: int) -> tuple:
+        kinds = self.order + kinds
+        return struct.unpack(kinds, self.content[at : at + struct.calcsize(kinds)])
+
     def _read(self) -> bool:
         if not self._next or self._next in self._seen:
             return False
         self._seen.add(self._next)
-        o, c, at = self.order, self.content, self._next
-        (n,) = struct.unpack_from(o + "H", c, at)
+        c, at = self.content, self._next
+        (n,) = self._values("H", at)
         page = Page()
         for i in range(n):
-            tag, kind, count = struct.unpack_from(o + "HHI", c, at + 2 + 12 * i)
+            tag, kind, count = self._values("HHI", at + 2 + 12 * i)
             size = SIZES.get(kind, 1) * count
             p = at + 10 + 12 * i
             if size > 4:
-                (p,) = struct.unpack_from(o + "I", c, p)
+                (p,) = self._values("I", p)
             if kind == 2:
                 page.tags[tag] = [c[p : p + count]]
             elif kind in (5, 10):
-                v = struct.unpack_from(f"{o}{2 * count}{'I' if kind == 5 else 'i'}", c, p)
+                v = self._values(f"{2 * count}{'I' if kind == 5 else 'i'}", p)
                 page.tags[tag] = [a / b if b else 0.0 for a, b in zip(v[::2], v[1::2])]
             elif kind in FORMATS:
-                page.tags[tag] = list(struct.unpack_from(f"{o}{count}{FORMATS[kind]}", c, p))
+                page.tags[tag] = list(self._values(f"{count}{FORMATS[kind]}", p))
         self._pages.append(page)
-        (self._next,) = struct.unpack_from(o + "I", c, at + 2 + 12 * n)
+        (self._next,) = self._values("I", at + 2 + 12 * n)
         return True
 
     def page(self, i: int) -> Page:

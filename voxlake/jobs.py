@@ -16,11 +16,12 @@ from voxlake.functions.coords import CropMap, FlipMap, PadMap, ResizeMap
 from voxlake.operators import ordering, prepare, relational, validation
 from voxlake.sources import files as S
 from voxlake.sources import sinks
+from voxlake.sources.headers import scan_headers
 
 
 def session() -> SparkSession:
     """Files of hundreds of MB travel one by one: few rows a batch, and a bound on its bytes."""
-    build = SparkSession.builder.appName("voxlake").config("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    build = SparkSession.builder.appName("voxlake").config("spark.sql.execution.arrow.maxRecordsPerBatch", "4").config("spark.sql.python.filterPushdown.enabled", "true")
     return build.config("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20)).getOrCreate()
 
 
@@ -36,7 +37,7 @@ def run_preprocess(spark: SparkSession, source: str, out: str, cfg: Preprocessor
 def run_series(spark: SparkSession, source: str, out: str, cfg: Preprocessor, compression: str = "packbits") -> DataFrame:
     """The single-frame files of each series put in order, prepared together and written as one TIFF; rejected series become errors."""
     found = S.load_source(spark, source)
-    order = series_positions(found)
+    order = series_positions(header_rows(spark, source))
     sound = found.join(order.where("error is null").select("series", "path", "position", "spacing"), "path")
     made = prepare.preprocess_series(sound, cfg, spacing="spacing", compression=compression)
     rejected = order.where("error is not null").select("path", "error")
@@ -44,17 +45,16 @@ def run_series(spark: SparkSession, source: str, out: str, cfg: Preprocessor, co
 
 
 def written(made: DataFrame, out: str) -> DataFrame:
-    """(path, error) of prepared files, whose TIFFs are written."""
+    """(path, error) of prepared files, whose TIFFs are written; files that failed and files without a name have an error."""
     target = paths.output_path(F.lit(plain_path(out)), F.col("study_instance_uid"), F.col("series_instance_uid"), F.col("sop_instance_uid"))
-    made = made.withColumn("target", target)
-    done = sinks.write_files(made.where("target is not null"), "target", "tiff")
-    failed = made.where("error_code is not null or target is null").select("path", F.coalesce("error_code", F.lit("NO_OUTPUT_NAME")).alias("error"))
-    return done.select("path", F.lit(None).cast("string").alias("error")).unionByName(failed)
+    failed = F.coalesce("error_code", F.when(target.isNull(), F.lit("NO_OUTPUT_NAME")))
+    rows = made.select(F.col("path").alias("source"), failed.alias("error"), target.alias("target"), F.when(failed.isNull(), F.col("tiff")).alias("tiff"))
+    return sinks.write_files(rows, plain_path(out), "target", "tiff", ["source", "error", "target"]).select(F.when(F.col("error").isNull(), F.col("target")).otherwise(F.col("source")).alias("path"), "error")
 
 
 def run_manifest(spark: SparkSession, source: str, out: str | None = None) -> DataFrame:
-    found = S.find_tiffs(spark, source)
-    info = prepare.tiff_info(found).select("path", "width", "height", "channels", "num_frames")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    info = scan_headers(spark, source, "tiff").select("path", *map(zero, ("width", "height", "channels", "num_frames")))
     table = relational.manifest(S.with_inode(info))
     if out:
         sinks.write_table(table, out, single=True)
@@ -63,13 +63,12 @@ def run_manifest(spark: SparkSession, source: str, out: str | None = None) -> Da
 
 def run_validate(spark: SparkSession, source: str, decode: bool = True) -> DataFrame:
     """One row a file: findings, counts, a JSON report. Frame 0 is decoded only where the rules found no error."""
-    found = S.load_source(spark, source)
-    checked = validation.validate(prepare.headers(found))
+    checked = validation.validate(header_rows(spark, source))
     if decode:
-        sound = found.join(checked.where("valid").select("path"), "path", "left_semi")
+        sound = S.read_files(checked.where("valid").select(F.lit(0).cast("long").alias("n"), "path"))
         checked = validation.with_decode(checked, prepare.decode_checks(sound))
     else:
-        none = prepare.decode_checks(found.where("false"))
+        none = prepare.decode_checks(checked.where("false").select("path", F.lit(None).cast("binary").alias("content")))
         checked = validation.with_decode(checked, none, "not asked for")
     return validation.report_json(checked)
 
@@ -94,7 +93,7 @@ def run_traces(spark: SparkSession, source: str, traces: str, out: str | None =
         boxes = table.groupBy("sop_instance_uid").agg(F.collect_list(F.struct("x_min", "x_max", "y_min", "y_max")).alias("boxes"))
         drawn = found.select(sop, "content").join(boxes, "sop_instance_uid")
         target = F.concat(F.lit(plain_path(previews) + "/"), F.col("sop_instance_uid"), F.lit(".tiff"))
-        sinks.write_files(prepare.previews(drawn.select(target.alias("path"), "content", "boxes"))).count()
+        sinks.write_files(prepare.previews(drawn.select(target.alias("path"), "content", "boxes")), plain_path(previews))
     return table
 
 
@@ -120,7 +119,7 @@ def run_combine(spark: SparkSession, source: str, meta: str, out: str) -> DataFr
         return pa.table({"path": [target], "content": pa.array([tiff.encode(frames, meta_)], pa.binary()), "files": pa.array([len(frames)], pa.int64())})
 
     stacks = j.select("series_instance_uid", "study_instance_uid", "stack_name", "slot", "content").groupBy("series_instance_uid").applyInArrow(one, "path string, content binary, files long")
-    return sinks.write_files(stacks)
+    return sinks.write_files(stacks, plain_path(out))
 
 
 def run_stats(spark: SparkSession, source: str, normalize: bool = False) -> DataFrame:
@@ -135,7 +134,7 @@ def run_stats(spark: SparkSession, source: str, normalize: bool = False) -> Data
 
 
 def run_voilut(spark: SparkSession, source: str) -> DataFrame:
-    return prepare.headers(S.load_source(spark, source)).select("path", "VOILUTFunction", "RescaleSlope", "RescaleIntercept", "WindowCenter", "WindowWidth")
+    return header_rows(spark, source).select("path", "VOILUTFunction", "RescaleSlope", "RescaleIntercept", "WindowCenter", "WindowWidth")
 
 
 def run_resize(spark: SparkSession, source: str, out: str, scale: float, kind: str = "nearest") -> DataFrame:
@@ -150,17 +149,23 @@ def run_resize(spark: SparkSession, source: str, out: str, scale: float, kind: s
             made = [prepare.resize_tiff(c, scale, kind) for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
-    return sinks.write_files(rows.mapInArrow(run, "path string, content binary"))
+    return sinks.write_files(rows.mapInArrow(run, "path string, content binary"), plain_path(out))
 
 
 def run_order(spark: SparkSession, source: str) -> DataFrame:
     """Order of the files of each series by geometry, else by instance number."""
-    return series_positions(S.load_source(spark, source))
+    return series_positions(header_rows(spark, source))
+
+
+def header_rows(spark: SparkSession, source: str) -> DataFrame:
+    """Header columns of a folder's or a list's files; what stands before the samples is all that is read of a folder."""
+    if source.endswith(".txt"):
+        return prepare.headers(S.load_source(spark, source))
+    return scan_headers(spark, source)
 
 
-def series_positions(found: DataFrame) -> DataFrame:
-    """(series, path, position, strategy, spacing, error) of single-frame files (path, content)."""
-    h = prepare.headers(found)
+def series_positions(h: DataFrame) -> DataFrame:
+    """(series, path, position, strategy, spacing, error) of single-frame files, from their header rows."""
     text = {"frame_of_reference": "FrameOfReferenceUID", "rows": "Rows", "columns": "Columns", "samples": "SamplesPerPixel", "bits": "BitsAllocated", "photometric": "PhotometricInterpretation"}
     rows = h.select(
         F.col("SeriesInstanceUID").alias("series"), "path", *[F.col(c).alias(n) for n, c in text.items()], F.col("PixelSpacing").alias("pixel_spacing"),
@@ -238,7 +243,7 @@ def main(argv: list[str] | None = None) -> int:
         done = run(spark, a.source, a.output, cfg, a.compression).groupBy(F.col("error").isNotNull().alias("failed")).count().collect()
         counts = {r.failed: r["count"] for r in done}
         print(f"{counts.get(False, 0)} written, {counts.get(True, 0)} failed")
-        return 0 if counts.get(False) or not counts else 1
+        return int(bool(counts.get(True)))
     if a.job == "manifest":
         print(run_manifest(spark, a.source, a.output).count(), "files")
     elif a.job == "validate":

@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import LongType, StructField, StructType
+
+from .ranges import opened
 
 
 def write_table(df: DataFrame, path: str, single: bool = False) -> None:
@@ -30,28 +40,116 @@ def _only_part(spark: SparkSession, folder: str, path: str) -> None:
     store.delete(source, True)
 
 
-def write_files(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, bytes): every row's bytes under its path, by Arrow's file systems.
+@dataclass
+class TaskFiles(WriterCommitMessage):
+    """Where a task left its files, and how many."""
+
+    folder: str
+    files: int
+
 
-    A file is written under another name and moved, so a repeated task leaves whole files only.
+class FileWriter(DataSourceArrowWriter):
+    """Files by a two-step commit.
+
+    A task writes its files under a folder of its own below `_staging-...` in the root, with a table of what they are to be; the
+    job's commit moves the files of the tasks that count to their names and their tables to the report, then removes the rest.
+    A task that fails, or an attempt that isn't counted, leaves no file; a job that fails leaves none at all.
     """
 
-    def run(it):
-        import re
-
-        import pyarrow as pa
-        from pyarrow import fs
-
-        for b in it:
-            sizes = []
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", p))
-                store.create_dir(at.rpartition("/")[0], recursive=True)
-                tmp = f"{at}.{uuid.uuid4().hex}"
-                with store.open_output_stream(tmp) as f:
-                    f.write(c)
-                store.move(tmp, at)
-                sizes.append(len(c))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
-
-    return df.where(F.col(content).isNotNull()).select(path, content).mapInArrow(run, "path string, bytes long")
+    def __init__(self, root: str, report: str, columns: list[str]) -> None:
+        self.root, self.report, self.columns = root.rstrip("/"), report, columns
+        self.staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> TaskFiles:
+        folder = f"{self.staging}/{uuid.uuid4().hex}"
+        store, at = opened(folder)
+        store.create_dir(at, recursive=True)
+        tables, files, said = [], 0, self.columns.index("path")
+        for b in iterator:
+            names, sizes = [], []
+            for i in range(b.num_rows):
+                target, content = b.column(said)[i].as_py(), b.column(self.columns.index("content"))[i]
+                if target is None or not content.is_valid:
+                    names.append(None)
+                    sizes.append(None)
+                    continue
+                if not target.startswith(f"{self.root}/") or ".." in target.split("/"):
+                    raise ValueError(f"{target} isn't below {self.root}")
+                with store.open_output_stream(f"{at}/{files}") as f:
+                    f.write(content.as_buffer())
+                names.append(str(files))
+                sizes.append(len(content.as_buffer()))
+                files += 1
+            kept = [c for c in self.columns if c != "content"]
+            tables.append(pa.table({c: b.column(self.columns.index(c)) for c in kept} | {"bytes": pa.array(sizes, pa.int64()), "__file": pa.array(names, pa.string())}))
+        if tables:
+            with store.open_output_stream(f"{at}/table.parquet") as f:
+                pq.write_table(pa.concat_tables(tables), f)
+        return TaskFiles(folder if tables else "", files)
+
+    def commit(self, messages: list[TaskFiles | None]) -> None:
+        store, _ = opened(self.staging)
+        goal = opened(self.report)[1]
+        store.create_dir(goal, recursive=True)
+        with ThreadPoolExecutor(16) as pool:
+            for n, m in enumerate(messages):
+                if m is None or not m.folder:
+                    continue
+                at = opened(m.folder)[1]
+                with store.open_input_file(f"{at}/table.parquet") as f:
+                    table = pq.read_table(f)
+                moves = [(f"{at}/{f}", opened(t)[1]) for f, t in zip(table.column("__file").to_pylist(), table.column("path").to_pylist()) if f is not None]
+                for d in {t.rpartition("/")[0] for _, t in moves}:
+                    store.create_dir(d, recursive=True)
+                list(pool.map(lambda x: moved(store, *x), moves))
+                with store.open_output_stream(f"{goal}/part-{n:05d}.parquet") as f:
+                    pq.write_table(table.drop_columns(["__file"]), f)
+        self._clear()
+
+    def abort(self, messages: list[TaskFiles | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        store, at = opened(self.staging)
+        if store.get_file_info(at).type == fs.FileType.Directory:
+            store.delete_dir(at)
+
+
+def moved(store: fs.FileSystem, source: str, target: str) -> None:
+    """Rename; a file that stands there goes first where the store doesn't replace it."""
+    try:
+        store.move(source, target)
+    except OSError:
+        if store.get_file_info(target).type != fs.FileType.File:
+            raise
+        store.delete_file(target)
+        store.move(source, target)
+
+
+class Files(DataSource):
+    """Rows of path, content and whatever is to stand in the report: df.write.format("voxlake_files").mode("append")."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "voxlake_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
+        if overwrite:
+            raise ValueError("files are added to a folder: use mode append")
+        return FileWriter(self.options["path"], self.options["report"], schema.names)
+
+
+def write_files(df: DataFrame, root: str, path: str = "path", content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """Writes every row's bytes under its path, once; returns (path, bytes) and the kept columns of all rows.
+
+    Rows without a path or content write nothing and are reported with null bytes. Of two rows with one path, one's content
+    stays. All paths lie below `root`. The report is a table under the root's `_reports`.
+    """
+    spark = df.sparkSession
+    spark.dataSource.register(Files)
+    rows = df.select(F.col(path).alias("path"), F.col(content).alias("content"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    report = f"{root.rstrip('/')}/_reports/{uuid.uuid4().hex}"
+    rows.write.format("voxlake_files").option("report", report).mode("append").save(root)
+    names = [("path", "path"), ("bytes", "bytes"), *((f"keep_{c}", c) for c in keep)]
+    schema = StructType([*(f for f in rows.schema if f.name != "content"), StructField("bytes", LongType())])
+    return spark.read.schema(schema).parquet(report).select(*(F.col(a).alias(b) for a, b in names))
