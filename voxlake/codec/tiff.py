@@ -217,52 +217,64 @@ def frame_total(tags: dict[int, list]) -> int | None:
 
 def encode(frames: list[np.ndarray], meta: Preparation | None = None, compression: str = "packbits") -> bytes:
     """Frames of u8, u16 (rows, columns) or u8 (rows, columns, 3), each with all metadata tags."""
-    if compression not in CODES:
-        compression = "none"
-    if not frames:
-        raise ImageError("EMPTY_VOLUME", "no frame to write")
-    if len(frames) > 65535:
-        raise ImageError("TOO_MANY_FRAMES", "a page number holds 16 bits")
-    meta = meta or Preparation(num_frames=len(frames))
-    out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
-    link = 4
-    for f in frames:
+    pages = Pages(len(frames), meta, compression)
+    return b"".join(map(pages.add, frames))
+
+
+class Pages:
+    """A TIFF page by page: add() gives the bytes that follow, tags before samples, so no page is kept."""
+
+    def __init__(self, total: int, meta: Preparation | None = None, compression: str = "packbits") -> None:
+        if not total:
+            raise ImageError("EMPTY_VOLUME", "no frame to write")
+        if total > 65535:
+            raise ImageError("TOO_MANY_FRAMES", "a page number holds 16 bits")
+        self.total, self.meta = total, meta or Preparation(num_frames=total)
+        self.compression = compression if compression in CODES else "none"
+        self.done = self.at = 0
+
+    def add(self, f: np.ndarray) -> bytes:
         if f.ndim == 3 and f.shape[2] == 1:
             f = f[:, :, 0]
         rgb = f.ndim == 3
         if not (f.dtype == np.uint8 and (not rgb or f.shape[2] == 3)) and not (f.dtype == np.uint16 and not rgb):
             raise ImageError("UNSUPPORTED_COLOR_TYPE", f"{f.dtype} with shape {f.shape}")
         h, w = f.shape[:2]
-        raw = np.ascontiguousarray(f.astype(f.dtype.newbyteorder("<"))).tobytes()
-        data = compress(raw, compression, w * f.itemsize * (3 if rgb else 1))
-        at = len(out)
-        out += data + b"\0" * (len(data) % 2)
         n = 3 if rgb else 1
+        data = compress(np.ascontiguousarray(f.astype(f.dtype.newbyteorder("<"))).tobytes(), self.compression, w * f.itemsize * n)
+        head = b"" if self.at else struct.pack("<2sHI", b"II", 42, 8)
+        ifd = self.at + len(head)
         tags = {
-            WIDTH: (4, [w]), HEIGHT: (4, [h]), BITS: (3, [f.itemsize * 8] * n), COMPRESSION: (3, [CODES[compression]]), PHOTOMETRIC: (3, [2 if rgb else 1]), OFFSETS: (4, [at]), SAMPLES: (3, [n]),
-            ROWS: (4, [h]), COUNTS: (4, [len(data)]), PLANAR: (3, [1]), PAGE: (3, [0, len(frames)]), SOFTWARE: (2, [b"voxlake\0"]), FORMAT: (3, [1] * n), **meta.tags(),
+            WIDTH: (4, [w]), HEIGHT: (4, [h]), BITS: (3, [f.itemsize * 8] * n), COMPRESSION: (3, [CODES[self.compression]]), PHOTOMETRIC: (3, [2 if rgb else 1]), OFFSETS: (4, [0]), SAMPLES: (3, [n]),
+            ROWS: (4, [h]), COUNTS: (4, [len(data)]), PLANAR: (3, [1]), PAGE: (3, [0, self.total]), SOFTWARE: (2, [b"voxlake\0"]), FORMAT: (3, [1] * n), **self.meta.tags(),
         }
-        body, tail = bytearray(struct.pack("<H", len(tags))), bytearray()
-        ifd = len(out)
-        base = ifd + 2 + 12 * len(tags) + 4
-        for tag in sorted(tags):
-            kind, values = tags[tag]
-            if kind == 2:
-                blob, count = values[0], len(values[0])
-            elif kind == 5:
-                blob, count = b"".join(struct.pack("<II", *v) for v in values), len(values)
-            else:
-                blob, count = struct.pack(f"<{len(values)}{FORMATS[kind]}", *values), len(values)
-            if len(blob) <= 4:
-                where = blob.ljust(4, b"\0")
-            else:
-                where = struct.pack("<I", base + len(tail))
-                tail += blob + b"\0" * (len(blob) % 2)
-            body += struct.pack("<HHI", tag, kind, count) + where
-        struct.pack_into("<I", out, link, ifd)
-        out += body + struct.pack("<I", 0) + tail
-        link = ifd + len(body)
-    return bytes(out)
+        size = len(_directory(tags, ifd, 0))
+        tags[OFFSETS] = (4, [ifd + size])
+        data += b"\0" * (len(data) % 2)
+        self.done += 1
+        self.at = ifd + size + len(data)
+        return head + _directory(tags, ifd, self.at if self.done < self.total else 0) + data
+
+
+def _directory(tags: dict[int, tuple[int, list]], at: int, following: int) -> bytes:
+    """Tags at a place of the file, with the place of the next directory and of values that don't fit into 4 bytes."""
+    body, tail = bytearray(struct.pack("<H", len(tags))), bytearray()
+    base = at + 2 + 12 * len(tags) + 4
+    for tag in sorted(tags):
+        kind, values = tags[tag]
+        if kind == 2:
+            blob, count = values[0], len(values[0])
+        elif kind == 5:
+            blob, count = b"".join(struct.pack("<II", *v) for v in values), len(values)
+        else:
+            blob, count = struct.pack(f"<{len(values)}{FORMATS[kind]}", *values), len(values)
+        if len(blob) <= 4:
+            where = blob.ljust(4, b"\0")
+        else:
+            where = struct.pack("<I", base + len(tail))
+            tail += blob + b"\0" * (len(blob) % 2)
+        body += struct.pack("<HHI", tag, kind, count) + where
+    return bytes(body + struct.pack("<I", following) + tail)
 
 
 # ---------------------------------------------------------------- reading

@@ -14,6 +14,7 @@ from voxlake.functions import paths
 from voxlake.functions.codes import numbers
 from voxlake.functions.coords import CropMap, FlipMap, PadMap, ResizeMap
 from voxlake.operators import ordering, prepare, relational, validation
+from voxlake.operators.series import write_series
 from voxlake.sources import files as S
 from voxlake.sources import sinks
 from voxlake.sources.headers import scan_headers
@@ -36,12 +37,9 @@ def run_preprocess(spark: SparkSession, source: str, out: str, cfg: Preprocessor
 
 def run_series(spark: SparkSession, source: str, out: str, cfg: Preprocessor, compression: str = "packbits") -> DataFrame:
     """The single-frame files of each series put in order, prepared together and written as one TIFF; rejected series become errors."""
-    found = S.load_source(spark, source)
     order = series_positions(header_rows(spark, source))
-    sound = found.join(order.where("error is null").select("series", "path", "position", "spacing"), "path")
-    made = prepare.preprocess_series(sound, cfg, spacing="spacing", compression=compression)
-    rejected = order.where("error is not null").select("path", "error")
-    return written(made, out).unionByName(rejected)
+    made = write_series(order.where("error is null"), plain_path(out), cfg, compression=compression)
+    return made.select("path", "error").unionByName(order.where("error is not null").select("path", "error"))
 
 
 def written(made: DataFrame, out: str) -> DataFrame:

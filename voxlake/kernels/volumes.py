@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -36,24 +36,38 @@ def max_intensity(frames: Iterable[np.ndarray]) -> np.ndarray:
     return out
 
 
+def interpolated(frames: Iterable[np.ndarray], n: int, target: int) -> Iterator[np.ndarray]:
+    """Linear resampling of n frames to `target`; integer samples are truncated. Two frames are alive at a time."""
+    if n <= 1 or target <= 1:
+        yield from (f for i, f in enumerate(frames) if n <= 1 or i == 0)
+        return
+    out, before = 0, None
+    for j, f in enumerate(alike(frames)):
+        while out < target:
+            pos = np.float32(np.float32(out) / np.float32(target - 1)) * np.float32(n - 1)
+            lo, hi = int(np.floor(pos)), min(int(np.ceil(pos)), n - 1)
+            if hi > j:
+                break
+            a = np.float32(pos - np.float32(lo))
+            wide = np.float64 if f.dtype == np.uint16 else np.float32
+            x = f if lo == j else before
+            yield (x.astype(wide) * (wide(1) - wide(a)) + f.astype(wide) * wide(a)).astype(f.dtype)
+            out += 1
+        before = f
+
+
 def interpolate(frames: Sequence[np.ndarray], target: int) -> list[np.ndarray]:
-    """Linear resampling to `target` frames; integer samples are truncated."""
-    n = len(frames)
-    if n <= 1:
-        return list(frames)
-    if target <= 1:
-        return [frames[0]]
-    same_shape(frames)
-    out = []
-    for i in range(target):
-        pos = np.float32(np.float32(i) / np.float32(target - 1)) * np.float32(n - 1)
-        lo, hi = int(np.floor(pos)), min(int(np.ceil(pos)), n - 1)
-        a = np.float32(pos - np.float32(lo))
-        x, y = frames[lo], frames[hi]
-        wide = np.float64 if x.dtype == np.uint16 else np.float32
-        mix = x.astype(wide) * (wide(1) - wide(a)) + y.astype(wide) * wide(a)
-        out.append(mix.astype(x.dtype))
-    return out
+    return list(interpolated(frames, len(frames), target))
+
+
+def alike(frames: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """The frames, as long as they are like the first."""
+    shape = dtype = None
+    for i, f in enumerate(frames):
+        if i and (f.shape != shape or f.dtype != dtype):
+            raise ImageError("INCOMPATIBLE_FRAMES", f"frame {i} differs from the first", frame_index=i)
+        shape, dtype = f.shape, f.dtype
+        yield f
 
 
 def blur(x: np.ndarray) -> np.ndarray:
@@ -113,23 +127,26 @@ def combine(m: np.ndarray, c: np.ndarray, em: np.ndarray, ec: np.ndarray, mip_we
     return (np.clip(out, 0, 1) * 65535).astype(np.uint16)
 
 
-def laplacian_mip(frames: Sequence[np.ndarray], *, mip_weight: float = 1.5, skip_start: int = 0, skip_end: int = 0, central: str = "parallel-beam") -> np.ndarray:
-    """Pyramid fusion of the maximum and a central image of u16 frames."""
-    kept = [frames[i] for i in trim(len(frames), skip_start, skip_end)]
+def laplacian_mip(frames: Iterable[np.ndarray], *, n: int | None = None, mip_weight: float = 1.5, skip_start: int = 0, skip_end: int = 0, central: str = "parallel-beam") -> np.ndarray:
+    """Pyramid fusion of the maximum and a central image of u16 frames, of which one is alive besides these two; n: their number."""
+    if central not in ("central-slice", "parallel-beam"):
+        raise ValueError(f"unknown projection {central!r}")
+    n = len(frames) if n is None else n
+    kept = trim(n, skip_start, skip_end)
     if not kept:
         raise ImageError("EMPTY_VOLUME", "no frame is left to project")
+    top = total = middle = None
+    for i, f in enumerate(alike(f for i, f in enumerate(frames) if i in kept)):
+        top = f if top is None else np.maximum(top, f)
+        if central == "parallel-beam":
+            total = f.astype(np.uint64) if total is None else np.add(total, f, out=total)
+        elif i == len(kept) // 2:
+            middle = f
     if len(kept) == 1:
-        return kept[0]
-    same_shape(kept)
-    unit = [np.asarray(f, np.float32) / np.float32(65535) for f in kept]
-    mip = max_intensity(unit)
-    return fuse(mip, central_image(unit, central), mip_weight)
-
-
-def central_image(unit: Sequence[np.ndarray], mode: str) -> np.ndarray:
-    if mode == "central-slice":
-        return unit[len(unit) // 2]
-    if mode != "parallel-beam":
-        raise ValueError(f"unknown projection {mode!r}")
-    s = np.sum(np.stack(unit), axis=0, dtype=np.float32)
-    return s / s.max() if s.max() > 0 else s
+        return top
+    if central == "central-slice":
+        centre = np.asarray(middle, np.float32) / np.float32(65535)
+    else:
+        centre = total.astype(np.float32)
+        centre = centre / centre.max() if centre.max() > 0 else centre
+    return fuse(np.asarray(top, np.float32) / np.float32(65535), centre, mip_weight)

@@ -7,7 +7,7 @@ together. Errors become columns unless the settings are strict.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,19 +122,52 @@ def resolution_of(ds: dicom.Dataset, spacing: float | None) -> tuple[float, floa
     return float(np.float32(1) / np.float32(s[1])), float(np.float32(1) / np.float32(s[0])), float(np.float32(1) / np.float32(z)) if z else None
 
 
-def handle(frames: list[np.ndarray], h: Handler) -> list[np.ndarray]:
-    """A volume of one frame is kept whatever the handler."""
-    if not frames:
+def handled(frames: Iterable[np.ndarray], n: int, h: Handler) -> Iterator[np.ndarray]:
+    """What the handler makes of n frames that come one by one. A volume of one frame is kept whatever the handler."""
+    if not n:
         raise ImageError("EMPTY_VOLUME", "no frames")
-    if len(frames) == 1 or h.kind == "keep":
-        return frames
-    if h.kind == "central-slice":
-        return [frames[len(frames) // 2]]
-    if h.kind == "max-intensity":
-        return [V.max_intensity(frames[i] for i in V.trim(len(frames), h.skip_start, h.skip_end))]
-    if h.kind == "interpolate":
-        return V.interpolate(frames, h.target_frames)
-    return [V.laplacian_mip([K.convert(f, "u16") for f in frames], mip_weight=h.mip_weight, skip_start=h.skip_start, skip_end=h.skip_end, central=h.projection)]
+    if n == 1 or h.kind == "keep":
+        yield from frames
+    elif h.kind == "central-slice":
+        yield from (f for i, f in enumerate(frames) if i == n // 2)
+    elif h.kind == "max-intensity":
+        kept = V.trim(n, h.skip_start, h.skip_end)
+        yield V.max_intensity(f for i, f in enumerate(frames) if i in kept)
+    elif h.kind == "interpolate":
+        yield from V.interpolated(frames, n, h.target_frames)
+    else:
+        yield V.laplacian_mip((K.convert(f, "u16") for f in frames), n=n, mip_weight=h.mip_weight, skip_start=h.skip_start, skip_end=h.skip_end, central=h.projection)
+
+
+def handle(frames: list[np.ndarray], h: Handler) -> list[np.ndarray]:
+    return list(handled(frames, len(frames), h))
+
+
+def depth_target(n: int, cfg: Preprocessor, resolution) -> int | None:
+    """Frames that n are resampled to for the wanted distance, where there is one."""
+    if not (cfg.spacing and cfg.spacing[2] and resolution and resolution[2] and n > 1):
+        return None
+    target = int(np.floor(float(np.float32((n - 1) / np.float32(resolution[2])) / np.float32(cfg.spacing[2])) + 0.5)) + 1
+    return target if target > 1 and target != n else None
+
+
+def resampled(resolution, n: int, target: int):
+    return resolution[0], resolution[1], float(np.float32(resolution[2]) * np.float32(target - 1) / np.float32(n - 1))
+
+
+def size_plan(w: int, h: int, cfg: Preprocessor, resolution):
+    """(scale, size, resolution) of a cropped frame; scale and size are None where it keeps its own."""
+    scale = size = None
+    if cfg.size:
+        sx, sy, ow, oh = K.fit_size(w, h, *cfg.size, exact=not cfg.use_padding)
+        scale, size = (sx, sy), (max(1, ow), max(1, oh))
+    elif cfg.spacing and resolution:
+        sx, sy = (np.float32(np.float32(1) / np.float32(s)) / np.float32(r) for s, r in zip(cfg.spacing, resolution[:2]))
+        size = tuple(max(1, int(np.floor(float(np.float32(n) * s) + 0.5))) for n, s in ((w, sx), (h, sy)))
+        scale = (sx, sy)
+    if scale and resolution:
+        resolution = (float(np.float32(resolution[0]) * scale[0]), float(np.float32(resolution[1]) * scale[1]), resolution[2])
+    return scale, size, resolution
 
 
 def shape_frames(frames: list[np.ndarray], cfg: Preprocessor, resolution, flip: bool = False) -> tuple[list[np.ndarray], Preparation]:
@@ -143,29 +176,17 @@ def shape_frames(frames: list[np.ndarray], cfg: Preprocessor, resolution, flip:
     if flip:
         h, w = frames[0].shape[:2]
         frames, record = [K.flip(f, True, True) for f in frames], (w, h, True, True)
-    if cfg.spacing and cfg.spacing[2] and resolution and resolution[2] and len(frames) > 1:
-        n = len(frames)
-        target = int(np.floor(float(np.float32((n - 1) / np.float32(resolution[2])) / np.float32(cfg.spacing[2])) + 0.5)) + 1
-        if target > 1 and target != n:
-            frames = V.interpolate(frames, target)
-            resolution = (resolution[0], resolution[1], float(np.float32(resolution[2]) * np.float32(target - 1) / np.float32(n - 1)))
+    n = len(frames)
+    if target := depth_target(n, cfg, resolution):
+        frames, resolution = V.interpolate(frames, target), resampled(resolution, n, target)
     crop = None
     if cfg.crop:
         box = K.common_box(frames, components=cfg.components, check_max=cfg.crop_max, border=cfg.border)
         frames, crop = [box.cut(f) for f in frames], (box.left, box.top, box.width, box.height)
     h, w = frames[0].shape[:2]
-    scale = size = None
-    if cfg.size:
-        sx, sy, ow, oh = K.fit_size(w, h, *cfg.size, exact=not cfg.use_padding)
-        scale, size = (sx, sy), (max(1, ow), max(1, oh))
-    elif cfg.spacing and resolution:
-        sx, sy = (np.float32(np.float32(1) / np.float32(s)) / np.float32(r) for s, r in zip(cfg.spacing, resolution[:2]))
-        size = tuple(max(1, int(np.floor(float(np.float32(n) * s) + 0.5))) for n, s in ((w, sx), (h, sy)))
-        scale = (sx, sy)
+    scale, size, resolution = size_plan(w, h, cfg, resolution)
     if scale:
         frames = [K.resize(f, *size, cfg.filter) for f in frames]
-        if resolution:
-            resolution = (float(np.float32(resolution[0]) * scale[0]), float(np.float32(resolution[1]) * scale[1]), resolution[2])
     padding = None
     if cfg.size and cfg.use_padding:
         padding = K.padding_of(frames[0], *cfg.size, cfg.padding)

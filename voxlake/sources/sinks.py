@@ -60,32 +60,39 @@ class FileWriter(DataSourceArrowWriter):
         self.root, self.report, self.columns = root.rstrip("/"), report, columns
         self.staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
 
+    def contents(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Iterator[bytes] | None]]:
+        """What is reported of each row, and its bytes in parts; None for rows that write nothing."""
+        kept = [c for c in self.columns if c != "content"]
+        for b in iterator:
+            for i in range(b.num_rows):
+                row = {c: b.column(self.columns.index(c))[i].as_py() for c in kept}
+                content = b.column(self.columns.index("content"))[i]
+                yield row, iter([content.as_buffer()]) if row["path"] is not None and content.is_valid else None
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> TaskFiles:
         folder = f"{self.staging}/{uuid.uuid4().hex}"
         store, at = opened(folder)
         store.create_dir(at, recursive=True)
-        tables, files, said = [], 0, self.columns.index("path")
-        for b in iterator:
-            names, sizes = [], []
-            for i in range(b.num_rows):
-                target, content = b.column(said)[i].as_py(), b.column(self.columns.index("content"))[i]
-                if target is None or not content.is_valid:
-                    names.append(None)
-                    sizes.append(None)
-                    continue
-                if not target.startswith(f"{self.root}/") or ".." in target.split("/"):
-                    raise ValueError(f"{target} isn't below {self.root}")
-                with store.open_output_stream(f"{at}/{files}") as f:
-                    f.write(content.as_buffer())
-                names.append(str(files))
-                sizes.append(len(content.as_buffer()))
-                files += 1
-            kept = [c for c in self.columns if c != "content"]
-            tables.append(pa.table({c: b.column(self.columns.index(c)) for c in kept} | {"bytes": pa.array(sizes, pa.int64()), "__file": pa.array(names, pa.string())}))
-        if tables:
+        rows, files = [], 0
+        for row, parts in self.contents(iterator):
+            if parts is None:
+                rows.append(row | {"bytes": None, "__file": None})
+                continue
+            if not row["path"].startswith(f"{self.root}/") or ".." in row["path"].split("/"):
+                raise ValueError(f"{row['path']} isn't below {self.root}")
+            size = 0
+            with store.open_output_stream(f"{at}/{files}") as f:
+                for part in parts:
+                    f.write(part)
+                    size += len(part)
+            rows.append(row | {"bytes": size, "__file": str(files)})
+            files += 1
+        if rows:
+            kinds = {"bytes": pa.int64()}  # all else in a report is text
+            table = pa.table({c: pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in rows[0]})
             with store.open_output_stream(f"{at}/table.parquet") as f:
-                pq.write_table(pa.concat_tables(tables), f)
-        return TaskFiles(folder if tables else "", files)
+                pq.write_table(table, f)
+        return TaskFiles(folder if rows else "", files)
 
     def commit(self, messages: list[TaskFiles | None]) -> None:
         store, _ = opened(self.staging)
@@ -147,7 +154,7 @@ def write_files(df: DataFrame, root: str, path: str = "path", content: str = "co
     """
     spark = df.sparkSession
     spark.dataSource.register(Files)
-    rows = df.select(F.col(path).alias("path"), F.col(content).alias("content"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = df.select(F.col(path).alias("path"), F.col(content).alias("content"), *(F.col(c).cast("string").alias(f"keep_{c}") for c in keep))
     report = f"{root.rstrip('/')}/_reports/{uuid.uuid4().hex}"
     rows.write.format("voxlake_files").option("report", report).mode("append").save(root)
     names = [("path", "path"), ("bytes", "bytes"), *((f"keep_{c}", c) for c in keep)]
