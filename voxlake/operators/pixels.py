@@ -25,13 +25,16 @@ def explode_frames(frames: DataFrame, keys: list[str], width: int | Column, data
     )
 
 
-def crop_boxes(pixels: DataFrame, keys: list[str], width: int, height: int, *, check_max: bool = False, border: float | None = None, dtype: str = "u16") -> DataFrame:
-    """The box around the foreground of each frame: (keys, left, top, width, height)."""
+def crop_boxes(frames: DataFrame, keys: list[str], width: int, height: int, *, check_max: bool = False, border: float | None = None, dtype: str = "u16", data: str = "data") -> DataFrame:
+    """The box around the foreground of each frame: (keys, left, top, width, height); row by row, from the places of its foreground samples."""
     x0, x1, gx = border_window(width, border)
     y0, y1, gy = border_window(height, border)
-    x, y = F.col("x"), F.col("y")
-    fg = foreground(F.col("px"), check_max=check_max, dtype=dtype) & (x >= x0) & (x < x1) & (y >= y0) & (y < y1)
-    seen = pixels.groupBy(*keys).agg(*[f(F.when(fg, c)).alias(n) for f, c, n in ((F.min, x, "l"), (F.max, x, "r"), (F.min, y, "t"), (F.max, y, "b"))])
+    column = lambda i: i % width
+    line = lambda i: F.floor(i / width)
+    inside = lambda i: (column(i) >= x0) & (column(i) < x1) & (line(i) >= y0) & (line(i) < y1)
+    fg = F.filter(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: foreground(F.get(data, i), check_max=check_max, dtype=dtype) & inside(i))
+    seen = frames.select(*keys, fg.alias("__fg")).select(*keys, F.transform("__fg", column).alias("__x"), line(F.array_min("__fg")).alias("t"), line(F.array_max("__fg")).alias("b"))
+    seen = seen.select(*keys, F.array_min("__x").alias("l"), F.array_max("__x").alias("r"), "t", "b")
     left = F.greatest(F.lit(0), F.coalesce("l", F.lit(0)) - gx)
     top = F.greatest(F.lit(0), F.coalesce("t", F.lit(0)) - gy)
     right = F.least(F.lit(width - 1), F.coalesce("r", F.lit(width - 1)) + gx)
@@ -107,15 +110,16 @@ def maxpool_frame(data: Column, w: int, h: int, tw: int, th: int) -> Column:
     return F.array(*[F.greatest(*c) if len(c := [F.get(data, y * w + x) for y in range(*ys[v]) for x in range(*xs[u])]) > 1 else c[0] for v in range(th) for u in range(tw)])
 
 
-def edge_zeros(pixels: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
-    """Zero samples of the left, top, right and bottom edges."""
-    z = F.col("px") == 0
-    count = lambda c: F.count(F.when(z & c, 1))
-    return pixels.groupBy(*keys).agg(count(F.col("x") == 0).alias("zl"), count(F.col("y") == 0).alias("zt"), count(F.col("x") == width - 1).alias("zr"), count(F.col("y") == height - 1).alias("zb"))
+def edge_zeros(frames: DataFrame, keys: list[str], width: int, height: int, data: str = "data") -> DataFrame:
+    """Zero samples of the left, top, right and bottom edges; row by row."""
+    along = lambda n, at: F.size(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(data, at(i)) == 0)).cast("long")
+    left, right = along(height, lambda y: y * width), along(height, lambda y: y * width + width - 1)
+    top, bottom = along(width, lambda x: x), along(width, lambda x: x + (height - 1) * width)
+    return frames.select(*keys, left.alias("zl"), top.alias("zt"), right.alias("zr"), bottom.alias("zb"))
 
 
-def zero_padding(pixels: DataFrame, keys: list[str], width: int, height: int, tw: int, th: int) -> DataFrame:
-    e = edge_zeros(pixels, keys, width, height)
+def zero_padding(frames: DataFrame, keys: list[str], width: int, height: int, tw: int, th: int) -> DataFrame:
+    e = edge_zeros(frames, keys, width, height)
     l, t, r, b = padding(F.lit(width), F.lit(height), tw, th, "zero", tuple(F.col(c) for c in ("zl", "zt", "zr", "zb")))
     return e.select(*keys, l.alias("pad_left"), t.alias("pad_top"), r.alias("pad_right"), b.alias("pad_bottom"))
 

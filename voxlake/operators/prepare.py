@@ -353,8 +353,26 @@ def tiff_info(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, ddl)
 
 
+def frame_moments(f: np.ndarray, normalize: bool) -> tuple[int, np.ndarray, np.ndarray]:
+    """Samples a channel, means and squared deviations of one frame."""
+    x = (f[:, :, None] if f.ndim == 2 else f).reshape(-1, 1 if f.ndim == 2 else f.shape[2]).astype(np.float64)
+    if normalize and f.dtype.kind in "ui":
+        x /= float(np.iinfo(f.dtype).max)
+    mean = x.mean(0)
+    return len(x), mean, ((x - mean) ** 2).sum(0)
+
+
+def merged_moments(a: tuple | None, b: tuple) -> tuple:
+    if a is None:
+        return b
+    if len(a[1]) != len(b[1]):
+        raise ImageError("CHANNEL_MISMATCH", f"frames of {len(a[1])} and {len(b[1])} channels")
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + d * d * (a[0] * b[0] / n)
+
+
 def tiff_stats(files: DataFrame, normalize: bool = False) -> DataFrame:
-    """(path, channel, n, mean, m2) of every TIFF; merge with operators.relational.merge_stats."""
+    """(path, channel, n, mean, m2) of every TIFF, frame by frame; merge with operators.relational.merge_stats."""
     ddl = "path string, channel int, n long, mean double, m2 double"
     schema = schema_of(ddl)
 
@@ -364,13 +382,11 @@ def tiff_stats(files: DataFrame, normalize: bool = False) -> DataFrame:
                 for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     with typed("INVALID_TIFF", path):
                         t = tiff.Tiff(content)
-                        frames = [t.frame(i) for i in range(t.count())]
-                    x = np.stack([f[:, :, None] if f.ndim == 2 else f for f in frames]).astype(np.float64)
-                    if normalize and frames[0].dtype.kind in "ui":
-                        x /= float(np.iinfo(frames[0].dtype).max)
-                    for c in range(x.shape[3]):
-                        v = x[..., c]
-                        yield path, c, int(v.size), float(v.mean()), float(((v - v.mean()) ** 2).sum())
+                        moments = None
+                        for i in range(t.count()):
+                            moments = merged_moments(moments, frame_moments(t.frame(i), normalize))
+                    for c, (mean, m2) in enumerate(zip(*moments[1:])):
+                        yield path, c, moments[0], float(mean), float(m2)
 
         yield from to_batches(rows(), schema, 256)
 

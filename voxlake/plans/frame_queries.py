@@ -53,6 +53,11 @@ def foreground_mask(spark, sf):
 SAT = PX + ", sat AS (SELECT series, sop, x, y, CASE WHEN px > 16000 THEN 65535 ELSE px END AS px FROM px)"
 
 
+def saturated_frames(spark, sf):
+    """Bright samples become saturated ones, so that excluding the maximum matters."""
+    return frames(spark, sf).withColumn("data", F.transform("data", lambda v: F.when(v > 16000, F.lit(65535).cast("long")).otherwise(v)))
+
+
 def saturated(spark, sf):
     """Bright samples become saturated ones, so that excluding the maximum matters."""
     return pixels(spark, sf).withColumn("px", F.when(F.col("px") > 16000, F.lit(65535).cast("long")).otherwise(F.col("px")))
@@ -77,30 +82,30 @@ ROW = ' SELECT series, sop, "left", top, width, height FROM box'
 
 @query(_box_sql("px", "px <> 0") + ROW)
 def crop_bbox(spark, sf):
-    return P.crop_boxes(pixels(spark, sf), KEYS, SIDE, SIDE)
+    return P.crop_boxes(frames(spark, sf), KEYS, SIDE, SIDE)
 
 
 @query(_box_sql("px", "px <> 0", 1, 6, 1) + ROW)
 def crop_bbox_border(spark, sf):
-    return P.crop_boxes(pixels(spark, sf), KEYS, SIDE, SIDE, border=0.2)
+    return P.crop_boxes(frames(spark, sf), KEYS, SIDE, SIDE, border=0.2)
 
 
 @query(_box_sql("sat", "px <> 0 AND px <> 65535", head=SAT) + ROW)
 def crop_check_max(spark, sf):
-    return P.crop_boxes(saturated(spark, sf), KEYS, SIDE, SIDE, check_max=True)
+    return P.crop_boxes(saturated_frames(spark, sf), KEYS, SIDE, SIDE, check_max=True)
 
 
 #: Sparse frames: only the brightest samples are foreground, so boxes are small and empty frames occur.
 DIM = PX + ", dim AS (SELECT series, sop, x, y, CASE WHEN px > 15500 THEN px ELSE 0 END AS px FROM px)"
 
 
-def dim_pixels(spark, sf):
-    return pixels(spark, sf).withColumn("px", F.when(F.col("px") > 15500, F.col("px")).otherwise(F.lit(0).cast("long")))
+def dim_frames(spark, sf):
+    return frames(spark, sf).withColumn("data", F.transform("data", lambda v: F.when(v > 15500, v).otherwise(F.lit(0).cast("long"))))
 
 
 @query(_box_sql("dim", "px <> 0", head=DIM) + ', u AS (SELECT series, min("left") AS l, min(top) AS t, max("left" + width) AS r, max(top + height) AS b FROM box GROUP BY series) SELECT series, l AS "left", t AS top, (r - l)::BIGINT AS width, (b - t)::BIGINT AS height FROM u')
 def crop_series_union(spark, sf):
-    return P.union_boxes(P.crop_boxes(dim_pixels(spark, sf), KEYS, SIDE, SIDE), ["series"])
+    return P.union_boxes(P.crop_boxes(dim_frames(spark, sf), KEYS, SIDE, SIDE), ["series"])
 
 
 @query(
@@ -110,7 +115,7 @@ def crop_series_union(spark, sf):
 )
 def crop_intersection(spark, sf):
     """Each frame's box with the box of the frame ten numbers on."""
-    boxes = P.crop_boxes(dim_pixels(spark, sf), KEYS, SIDE, SIDE)
+    boxes = P.crop_boxes(dim_frames(spark, sf), KEYS, SIDE, SIDE)
     other = boxes.select("series", (F.col("sop") - 10).alias("sop"), *[F.col(c).alias(f"o_{c}") for c in ("left", "top", "width", "height")])
     j = boxes.join(other, KEYS)
     cols = ("left", "top", "width", "height")
@@ -120,7 +125,7 @@ def crop_intersection(spark, sf):
 
 @query(_box_sql("dim", "px <> 0", head=DIM) + ' SELECT p.series, p.sop, p.x - b."left" AS x, p.y - b.top AS y, p.px FROM px p JOIN box b ON p.sop = b.sop AND p.series = b.series WHERE p.x >= b."left" AND p.x < b."left" + b.width AND p.y >= b.top AND p.y < b.top + b.height')
 def crop_apply(spark, sf):
-    boxes = P.crop_boxes(dim_pixels(spark, sf), KEYS, SIDE, SIDE)
+    boxes = P.crop_boxes(dim_frames(spark, sf), KEYS, SIDE, SIDE)
     j = frames(spark, sf).join(boxes, KEYS)
     cut = j.withColumn("cut", P.crop_frame(F.col("data"), F.lit(SIDE), F.col("left"), F.col("top"), F.col("width"), F.col("height")))
     return P.explode_frames(cut, KEYS, F.col("width"), "cut")
@@ -228,12 +233,12 @@ PAD_ZERO = PX + (
 
 @query(PAD_ZERO + " SELECT series, sop, pad_left, pad_top, 3 - pad_left AS pad_right, 4 - pad_top AS pad_bottom FROM pad")
 def pad_zero(spark, sf):
-    return P.zero_padding(pixels(spark, sf), KEYS, SIDE, SIDE, 11, 12)
+    return P.zero_padding(frames(spark, sf), KEYS, SIDE, SIDE, 11, 12)
 
 
 @query(PAD_ZERO + ", g AS (SELECT gx.o AS x, gy.o AS y FROM (SELECT unnest(range(0, 11))::BIGINT AS o) gx, (SELECT unnest(range(0, 12))::BIGINT AS o) gy) SELECT a.series, a.sop, g.x, g.y, coalesce(p.px, 0)::BIGINT AS px FROM pad a CROSS JOIN g LEFT JOIN px p ON p.series = a.series AND p.sop = a.sop AND p.x = g.x - a.pad_left AND p.y = g.y - a.pad_top")
 def pad_apply(spark, sf):
-    pads = P.zero_padding(pixels(spark, sf), KEYS, SIDE, SIDE, 11, 12)
+    pads = P.zero_padding(frames(spark, sf), KEYS, SIDE, SIDE, 11, 12)
     j = frames(spark, sf).join(pads, KEYS)
     out = j.withColumn("data", P.pad_frame(F.col("data"), F.lit(SIDE), F.lit(SIDE), F.col("pad_left"), F.col("pad_top"), F.col("pad_right"), F.col("pad_bottom")))
     return P.explode_frames(out, KEYS, 11)
@@ -265,7 +270,7 @@ PREPARE_SQL = (
 @query(PREPARE_SQL)
 def prepare_end_to_end(spark, sf):
     """Common crop of each series, nearest resize to 4x4, centre padding to 6x6, with the crop as metadata; nonzero samples."""
-    box = P.union_boxes(P.crop_boxes(dim_pixels(spark, sf), KEYS, SIDE, SIDE), ["series"])
+    box = P.union_boxes(P.crop_boxes(dim_frames(spark, sf), KEYS, SIDE, SIDE), ["series"])
     j = frames(spark, sf).join(box, "series")
     w, h, one = F.col("width"), F.col("height"), F.lit(1)
     index = P.prepared_index(SIDE, (F.col("left"), F.col("top"), w, h), (4, 4), (one, one))

@@ -40,14 +40,23 @@ def volume_central(spark, sf):
     return explode_frames(V.central_slice(frames(spark, sf), "series", ["sop"]), ["series", "sop"], SIDE)
 
 
+def _mip(spark, sf, skip_start, skip_end):
+    """The largest sample of each place: whole tiles are kept in tasks and merged after the shuffle, no row a sample."""
+    from voxlake.operators import tiles
+
+    grid = tiles.Grid(SIDE, SIDE, SIDE)
+    top = tiles.projected(frames(spark, sf), "series", ["sop"], grid, central="central-slice", skip_start=skip_start, skip_end=skip_end, data="data", empty="drop")
+    return tiles.tile_samples(top.select("series", "ty", "tx", F.col("m").alias("data")), ["series"], grid)
+
+
 @query(PX + " SELECT series, x, y, max(px) AS px FROM px GROUP BY ALL")
 def volume_mip(spark, sf):
-    return V.max_intensity(pixels(spark, sf), "series")
+    return _mip(spark, sf, 0, 0)
 
 
 @query(NUM + " SELECT p.series, p.x, p.y, max(p.px) AS px FROM px p JOIN num ON p.sop = num.sop AND p.series = num.series WHERE num.idx >= 5 AND num.idx < num.n - 5 GROUP BY ALL")
 def volume_mip_skip(spark, sf):
-    return V.max_intensity(explode_frames(V.trimmed(frames(spark, sf), "series", ["sop"], 5, 5), ["series", "sop"], SIDE), "series")
+    return _mip(spark, sf, 5, 5)
 
 
 LERP = NUM + (
