@@ -80,10 +80,10 @@ def sized(table: dict[int, bytes] | list[bytes]) -> np.ndarray:
     return out
 
 
-def piece_encoder(data: bytes) -> tuple[Callable[[str], list[int]], list[bytes]]:
-    """A piece model's encoder, and the bytes of each of its pieces: U+2581 is a space, <0xHH> a byte."""
+def piece_encoder(data: bytes) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes]]:
+    """A piece model's encoder of lists of texts, and the bytes of each of its pieces: U+2581 is a space, <0xHH> a byte."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=data)
     held = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, model.id_to_piece(i)) for i in range(model.get_piece_size()))]
-    return (lambda text: model.encode(text, num_threads=1)), held
+    return (lambda texts: model.encode(texts, num_threads=1)), held
