@@ -39,7 +39,7 @@ SEGMENT = T.StructType([T.StructField(c, INTS, False) for c in ("a_ids", "a_ends
 DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_a", T.LongType(), False), T.StructField("n_b", T.LongType(), False), T.StructField("segments", INTS, False)])
 BATCH = T.StructType([T.StructField("segments", T.ArrayType(SEGMENT, False), False), T.StructField("docs", T.ArrayType(DOCUMENT, False), False)])
 #: Characters of the texts whose segments are encoded together, but for one longer document.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: A cut: a space between characters that aren't white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
