@@ -9,10 +9,10 @@ Items are posted under keys; two items can be linked only if they share one.
    yet connected, and only a spanning forest leaves the task. Near copies of one
    text, however many, become one component here at a cost in proportion to their number.
 3. Of the lists that were dealt, those whose items are all in one component are done.
-   In the others two items of different components may still have to meet: finer
-   keys (if the caller has them; no pair is lost by them) make shorter lists, and in what
-   is still long the items outside the largest component (the probes) meet all
-   others, block by block.
+   In the others two items of different components may still have to meet. The items
+   outside the largest component (the probes) meet all others, block by block, at a
+   cost in proportion to the list while they are at most `bound`. Lists with more of them
+   first get finer keys (if the caller has them; no pair is lost by them).
 4. The components of the sketches' graph are cells. Small cells are confirmed on
    whole texts in one room. In a large cell every item first meets the least item
    it was connected to; then 3. is done again with texts, for lists whose items
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import by_groups, components, materialize, release
 
 EDGE = "a long, b long"
+#: Items of a room, if the caller names no other number.
+BOUND = 200
 
 
 def forest(n: int, hits: Callable[[int, np.ndarray], np.ndarray], classes: np.ndarray | None = None, probes: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
@@ -89,6 +91,15 @@ def crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(rows.join(facts, "key").withColumn("probe", F.col("label") != F.col("commonest")).drop("commonest"), "crossing")
 
 
+def refined(crossed: DataFrame, labels: DataFrame, finer: Callable[[DataFrame], DataFrame] | None, bound: int) -> DataFrame:
+    """crossing()'s lists, those with more than `bound` probes under finer keys."""
+    many = F.col("u") > bound  # and so n too
+    hot = crossed.where(many).select("key", "item")
+    if finer is None or not hot.limit(1).count():
+        return crossed
+    return crossed.where(~many).unionByName(crossing(sharing_lists(finer(hot).distinct()).select("key", "item"), labels))
+
+
 def rooms(crossed: DataFrame, bound: int, room_bytes: int) -> DataFrame:
     """(key, item, label, probe): every probe meets every item of its list, in rooms of about `bound` items and `room_bytes`."""
     fits = (F.col("n") <= bound) & (F.col("w") <= room_bytes)
@@ -126,7 +137,7 @@ def linked(df: DataFrame, value: str, hits_of: Callable) -> DataFrame:
 
 def link_items(
     postings: DataFrame, sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *, near: Callable, confirm: Callable,
-    finer: Callable[[DataFrame], DataFrame] | None = None, bound: int = 200, cell_bound: int = 200, room_bytes: int = 1 << 25,
+    finer: Callable[[DataFrame], DataFrame] | None = None, bound: int = BOUND, cell_bound: int = BOUND, room_bytes: int = 1 << 25,
 ) -> DataFrame:
     """(node, comp) for the items that are linked to another one.
 
@@ -142,10 +153,7 @@ def link_items(
     long = lists.where(F.col("n") > bound)
     if long.limit(1).count():
         held = materialize(own_labels(long, cells, sketches), "labels")
-        again = crossing(long.select("key", "item"), held)
-        if finer is not None:
-            fine = sharing_lists(finer(again.select("key", "item")).distinct())
-            again = crossing(fine.select("key", "item"), held)
+        again = refined(crossing(long.select("key", "item"), held), held, finer, bound)
         met = linked(rooms(again, bound, 1 << 62).join(drawn, "item"), "sketch", near)
         edges = materialize(edges.unionByName(met), "edges")
         cells = components(edges)
@@ -169,7 +177,8 @@ def link_items(
     direct = materialize(linked(leaf.unionByName(root).join(texts, "item"), "text", confirm), "direct")
     held = materialize(own_labels(large, components(direct), sketches), "labels")
     in_cell = lists.join(large.select("item", "comp"), "item").select(F.xxhash64("comp", "key").alias("key"), "item")
-    across = materialize(linked(rooms(crossing(in_cell, held), bound, room_bytes).join(texts, "item"), "text", confirm), "across")
+    crossed = refined(crossing(in_cell, held), held, finer, bound)
+    across = materialize(linked(rooms(crossed, bound, room_bytes).join(texts, "item"), "text", confirm), "across")
     return components(done.unionByName(direct).unionByName(across))
 
 
