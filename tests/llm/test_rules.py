@@ -251,3 +251,30 @@ def test_disclosing_terms_match_brute_force(spark):
     assert len(got) == len(rows) and sum(map(bool, want.values())) > 5
     for r in got:
         assert [(x["s"], x["e"], x["action"]) for x in r.terms or ()] == want[text[r.doc_id]], r.doc_id
+
+
+def test_parts_of_identifiers_are_no_terms(spark):
+    """Letters inside hex strings and names with digits stand with an entity in every text, and are never marked."""
+    assert pii.TERM.findall("ab12 cd_ef x9y hello1 2world Ünïted stay-here a ok. fin") == ["Ünïted", "stay", "here", "ok", "fin"]
+    rows = [(i, f"id 7fab{i:04d}cf9 key_ab{i} mail pat@host{i % 3}.example.org", None, None, None, None, None, None) for i in range(12)]
+    rows += [(100 + i, f"plain words number {i} of text", None, None, None, None, None, None) for i in range(300)]
+    text, want, some = {r[0]: r[1] for r in rows}, brute_terms(rows), 0
+    for r in pii.disclosures(frame(spark, rows)).collect():
+        got = [(x["s"], x["e"], x["action"]) for x in r.terms or ()]
+        assert got == want[text[r.doc_id]], r.doc_id
+        assert {text[r.doc_id][s:e] for s, e, _ in got} <= {"id", "mail", "key"}
+        some += len(got)
+    assert some
+
+
+def test_the_most_texts_a_line_may_stand_in(spark):
+    """In a large host `most_docs` decides, not the share; a line in exactly so many texts stays."""
+    rows = []
+    for i in range(400):
+        lines = [f"own words of document {i} that no other one has at all in this table of texts with more of them {i} {i + 1} {i + 2}"]
+        lines += ["a notice that stands in seven texts"] * (i < 7) + ["a notice that stands in eight texts"] * (i < 8) + ["a notice for a fifth of all"] * (i % 5 == 0)
+        rows.append((i, "\n".join(lines), None, "big", None, None, None, None))
+    found = lambda **o: {r.doc_id: r.n_frequent_lines for r in quality.line_frequency_rules(frame(spark, rows), min_docs=5, share=0.5, **o).collect()}
+    assert set(found(most_docs=1000).values()) == {0}
+    assert found(most_docs=7) == {i: (i < 8) + (i % 5 == 0) for i in range(400)}
+    assert found(most_docs=2) == {i: (i < 7) + (i < 8) + (i % 5 == 0) for i in range(400)}  # never below min_docs

@@ -7,7 +7,7 @@ issuer digits; a phone's country and area. A value that stands in one text or tw
 has too few texts for statistics of its own and is protected through its classes.
 
 The words of a text that holds an entity, outside base spans, are its context,
-however far off. Over the corpus the pointwise mutual information of a word t and
+however far off; a run of letters inside an identifier or a number is no word. Over the corpus the pointwise mutual information of a word t and
 an entity c, PMI = log(n_ct N / (n_c n_t)) with counts of distinct texts, is
 compared with the entity's own information IC = log(N / n_c): a word whose PMI/IC
 reaches `generalise` with any entity discloses it and is generalised to a
@@ -44,7 +44,8 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 PART = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{2,}")
+#: Two letters or more with no letter, digit or _ beside them: a whole word, never a part of an identifier.
+TERM = re.compile(r"\b[^\W\d_]{2,}\b")
 FOUND = (
     "doc_id long, tkey long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<k:int,s:int,e:int>>, "
     "entities array<long>, terms array<long>"
