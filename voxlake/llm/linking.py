@@ -155,7 +155,8 @@ def link_items(
         held = materialize(own_labels(long, cells, sketches), "labels")
         again = refined(crossing(long.select("key", "item"), held), held, finer, bound)
         met = linked(rooms(again, bound, 1 << 62).join(drawn, "item"), "sketch", near)
-        edges = materialize(edges.unionByName(met), "edges")
+        first, edges = edges, materialize(edges.unionByName(met), "edges")
+        release(first, held, cells)
         cells = components(edges)
     members = cells.select(F.col("node").alias("item"), "comp").join(sketches.select("item", "weight"), "item")
     sizes = materialize(members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("weight").alias("bytes")), "sizes")
@@ -164,7 +165,9 @@ def link_items(
     small = sized.where(is_small).select(F.xxhash64("comp").alias("key"), "item")
     large = sized.where(~is_small).select("item", "comp", "weight")
     if not large.limit(1).count():
-        return components(linked(small.join(texts_of(small.select("item")), "item"), "text", confirm))
+        out = components(linked(small.join(texts_of(small.select("item")), "item"), "text", confirm))
+        release(lists, edges, cells, sizes, sized)
+        return out
     texts = materialize(texts_of(sized.select("item")), "texts", texts=True)
     done = materialize(linked(small.join(texts, "item"), "text", confirm), "done")
     # Every item of a large cell and the least item that the sketches connected it to.
@@ -178,7 +181,9 @@ def link_items(
     held = materialize(own_labels(large, components(direct), sketches), "labels")
     in_cell = lists.join(large.select("item", "comp"), "item").select(F.xxhash64("comp", "key").alias("key"), "item")
     across = materialize(linked(rooms(crossing(in_cell, held), bound, room_bytes).join(texts, "item"), "text", confirm), "across")
-    return components(done.unionByName(direct).unionByName(across))
+    out = components(done.unionByName(direct).unionByName(across))
+    release(lists, edges, cells, sizes, sized, texts, done, rays, direct, held, across)
+    return out
 
 
 def own_labels(items: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
