@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxlake.config import Handler
 from voxlake.functions import geometry
+from voxlake.operators import frames as N
 from voxlake.operators import pixels as P
 from voxlake.operators import relational as R
 from voxlake.operators import volume as V
@@ -238,3 +240,28 @@ def stats_channel_normalized(spark, sf):
 def stats_merge(spark, sf):
     parts = R.partial_stats(_lines(spark, sf), ["channel", "part"])
     return R.merge_stats(parts, ["channel"]).select("channel", "n", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+
+
+#: Frames as a file of their samples above 0, two bytes each, behind four bytes of a count; the files begin with eight bytes.
+PLACES = """WITH f AS (SELECT label::BIGINT AS series, vec_id AS sop, 2 * len(list_filter(embedding, lambda v: v::DOUBLE > 0.1))::BIGINT + 4 AS length FROM embeddings),
+o AS (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY series) AS n, 8 + coalesce(sum(length) OVER (PARTITION BY series ORDER BY sop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM f WINDOW w AS (PARTITION BY series ORDER BY sop))"""
+
+
+def _placed(spark, sf):
+    f = frames(spark, sf).select("series", F.col("sop").alias("frame"), (F.size(F.filter("data", lambda v: v > 0)) * 2 + 4).cast("long").alias("length"))
+    return N.byte_places(f, "series", "frame", "length", 8)
+
+
+@query(PLACES + """ SELECT series, p::INTEGER AS shown, sop AS frame, false AS derived, place::BIGINT AS "offset", length FROM o""")
+def frame_index(spark, sf):
+    """Where every frame of every series lies."""
+    return N.shown_frames(_placed(spark, sf), file="series")
+
+
+@query(PLACES + """,
+s AS (SELECT series, n, unnest(range(0, CASE WHEN n <= 1 THEN n ELSE 24 END)) AS shown FROM (SELECT DISTINCT series, n FROM o)),
+a AS (SELECT *, CASE WHEN n <= 1 THEN 0::FLOAT ELSE ((shown::FLOAT / 23::FLOAT)::FLOAT * (n - 1)::FLOAT)::FLOAT END AS x FROM s)
+SELECT a.series, shown::INTEGER AS shown, sop AS frame, x <> floor(x) AS derived, place::BIGINT AS "offset", length FROM a LEFT JOIN o ON o.series = a.series AND x = floor(x) AND o.p = x::BIGINT""")
+def frame_lookup(spark, sf):
+    """Which of 24 resampled frames of every series are stored ones, and where these lie."""
+    return N.shown_frames(_placed(spark, sf), Handler("interpolate", target_frames=24), "series")
