@@ -22,16 +22,16 @@ def _in(series: str, *order) -> Window:
 
 
 def value_facts(df: DataFrame, series: str, number: str, value: str) -> DataFrame:
-    """Adds rising, falling and unique of a value in stored order, tolerance 1e-4."""
-    step = F.col(value) - F.lag(value).over(_in(series, number))
-    gap = F.col(value) - F.lag(value).over(_in(series, value, number))
-    df = df.withColumns({"__step": step, "__gap": gap})
-    w = _in(series)
-    facts = {
-        "rising": F.coalesce(F.bool_or(F.col("__step") > TOL).over(w), F.lit(False)),
-        "falling": F.coalesce(F.bool_or(F.col("__step") < -TOL).over(w), F.lit(False)),
-        "unique": ~F.coalesce(F.bool_or(F.col("__gap") <= TOL).over(w), F.lit(False)),
-    }
+    """Adds rising, falling and unique of a value, tolerance 1e-4, and a row's places in stored and in value order from 0.
+
+    One shuffle and two sorts: steps and places of an order come from one window each, the facts of the series from a third that needs no sort of its own.
+    """
+    stored, sorted_, w = _in(series, number), _in(series, value, number), _in(series)
+    back = lambda o: F.col(value) - F.lag(value).over(o)
+    df = df.select("*", back(stored).alias("__step"), (F.row_number().over(stored) - 1).cast("long").alias("stored_place"))
+    df = df.select("*", back(sorted_).alias("__gap"), (F.row_number().over(sorted_) - 1).cast("long").alias("value_place"))
+    any_ = lambda c: F.coalesce(F.bool_or(c).over(w), F.lit(False))
+    facts = {"rising": any_(F.col("__step") > TOL), "falling": any_(F.col("__step") < -TOL), "unique": ~any_(F.col("__gap") <= TOL)}
     return df.withColumns(facts).drop("__step", "__gap")
 
 
@@ -39,10 +39,9 @@ def order_by_value(df: DataFrame, series: str, number: str, value: str) -> DataF
     """Adds position and direction: input in one direction, even falling, is kept; a mixed one is sorted."""
     df = value_facts(df, series, number, value)
     mixed = F.col("rising") == F.col("falling")
-    kept = F.row_number().over(_in(series, number)) - 1
-    sorted_ = F.row_number().over(_in(series, value, number)) - 1
     name = F.when(mixed, "mixed").when(F.col("rising"), "increasing").otherwise("decreasing")
-    return df.withColumns({"position": F.when(mixed, sorted_).otherwise(kept).cast("long"), "direction": name})
+    df = df.withColumns({"position": F.when(mixed, F.col("value_place")).otherwise(F.col("stored_place")), "direction": name})
+    return df.drop("stored_place", "value_place")
 
 
 def upper_median_gap(df: DataFrame, series: str, position: str, value: str, drop_ties: bool = True) -> DataFrame:

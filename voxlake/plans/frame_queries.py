@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import dtype, geometry
@@ -110,16 +111,15 @@ def crop_series_union(spark, sf):
 
 @query(
     _box_sql("dim", "px <> 0", head=DIM)
-    + ', c AS (SELECT series, sop, "left" AS l, top AS t, "left" + width AS r, top + height AS b FROM box), p AS (SELECT a.series, a.sop, greatest(a.l, z.l) AS l, greatest(a.t, z.t) AS t, least(a.r, z.r) AS r, least(a.b, z.b) AS b '
-    "FROM c a JOIN c z ON a.series = z.series AND z.sop = a.sop + 10) SELECT series, sop, l AS \"left\", t AS top, greatest(0, r - l)::BIGINT AS width, greatest(0, b - t)::BIGINT AS height FROM p"
+    + ', c AS (SELECT series, sop, "left" AS l, top AS t, "left" + width AS r, top + height AS b, row_number() OVER (PARTITION BY series ORDER BY sop) AS i FROM box), p AS (SELECT a.series, a.sop, greatest(a.l, z.l) AS l, greatest(a.t, z.t) AS t, least(a.r, z.r) AS r, least(a.b, z.b) AS b '
+    "FROM c a JOIN c z ON a.series = z.series AND z.i = a.i + 1) SELECT series, sop, l AS \"left\", t AS top, greatest(0, r - l)::BIGINT AS width, greatest(0, b - t)::BIGINT AS height FROM p"
 )
 def crop_intersection(spark, sf):
-    """Each frame's box with the box of the frame ten numbers on."""
-    boxes = P.crop_boxes(dim_frames(spark, sf), KEYS, SIDE, SIDE)
-    other = boxes.select("series", (F.col("sop") - 10).alias("sop"), *[F.col(c).alias(f"o_{c}") for c in ("left", "top", "width", "height")])
-    j = boxes.join(other, KEYS)
-    cols = ("left", "top", "width", "height")
-    out = geometry.box_intersection(tuple(F.col(c) for c in cols), tuple(F.col(f"o_{c}") for c in cols))
+    """Each frame's box with the box of the next frame of its series."""
+    boxes, cols = P.crop_boxes(dim_frames(spark, sf), KEYS, SIDE, SIDE), ("left", "top", "width", "height")
+    following = Window.partitionBy("series").orderBy("sop")
+    j = boxes.withColumn("o", F.lead(F.struct(*cols)).over(following)).where("o is not null")
+    out = geometry.box_intersection(tuple(F.col(c) for c in cols), tuple(F.col("o")[c] for c in cols))
     return j.select("series", "sop", *[c.cast("long").alias(n) for c, n in zip(out, cols)])
 
 
