@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches_of, bit_filter, hash64, hash_words, in_filter, in_filter_all, map_rows, materialize, pieces
+from .common import arrow_schema, batches_of, bit_filter, hash64, hash_words, in_filter, in_filter_all, map_rows, materialize, pieces, release
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -265,7 +265,9 @@ def disclosures(docs: DataFrame, *, support: int = 3, sigmas: float = 3.0, gener
     strong = materialize(strong.groupBy("t").agg(F.max("share").alias("share")), "strong")
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")
     added = places_of(source, strong).join(strong, "t").groupBy("tkey").agg(F.array_sort(F.collect_set(F.struct("s", "e", action))).alias("terms"))
-    return found.drop("entities", "terms").join(materialize(added, "added", texts=True), "tkey", "left")
+    added = materialize(added, "added", texts=True)
+    release(texts, n_c, held, asked, n_t, strong)
+    return found.drop("entities", "terms").join(added, "tkey", "left")
 
 
 def places_of(docs: DataFrame, terms: DataFrame) -> DataFrame:

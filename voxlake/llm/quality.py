@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, hash64, map_rows, materialize, pieces, words_of
+from .common import SPACES, hash64, map_rows, materialize, pieces, release, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -105,6 +105,7 @@ def judged(docs: DataFrame, *, host: str, min_docs: int, share: float, most_docs
     # Small sides are written before they are joined, so that AQE can split a hot key of the other side.
     frequent = materialize(frequent, "frequent")
     hits = materialize(held.join(frequent, F.col("host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh"))).select("host", "tkey", "h", "w"), "frequent-lines")
+    release(held, per_host, frequent)
     gone = hits.groupBy(F.col("host").alias("ghost"), F.col("tkey").alias("gkey")).agg(F.sum("w").alias("gone"), F.count("*").alias("n_frequent_lines"))
     out = stats.drop("lines").join(materialize(gone, "lost"), F.col("host").eqNullSafe(F.col("ghost")) & (F.col("tkey") == F.col("gkey")), "left")
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
