@@ -38,6 +38,27 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: top(n) for n in up if n not in alone}
 
 
+def test_components_in_parts(spark, monkeypatch):
+    """The same components whatever a task holds; a group's edges aren't joined again and again: few rows are written."""
+    rng = random.Random(3)
+    edges = [(n, n + 1) for n in range(40)] + [(100, 101 + n) for n in range(60)] + [(200 + rng.randrange(50), 200 + rng.randrange(50)) for _ in range(400)]
+    df = spark.createDataFrame(edges, "x long, y long")
+    written, write = [], common.materialize
+
+    def watched(out, *args, **options):
+        out = write(out, *args, **options)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "materialize", watched)
+    want = {(r.node, r.comp) for r in common.components(df, "x", "y").collect()}
+    assert len(written) == 2 and written[1] == len(want)  # the edges and the result
+    assert {c for _, c in want} == {0, 100, *(c for _, c in want if c >= 200)}
+    for most in (5, 64):
+        monkeypatch.setattr(common, "EDGES", most)
+        assert {(r.node, r.comp) for r in common.components(df, "x", "y").collect()} == want
+
+
 def test_scratch_folder_needs_a_local_master():
     class Conf:
         def get(self, name, default=None):
